@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, sharding, warc
+from . import exact_dedup, packing, pieces, quality, sharding, warc
 
 QUERIES = {
+    "op2_sentencepiece": pieces.op2_sentencepiece,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_sharding": sharding.op4_sharding,
+    "op6_quality": quality.op6_quality,
     "op9_warc": warc.op9_warc,
     "op10_packing": packing.op10_packing,
 }
