@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, pieces, quality, sharding, warc
+from . import embeddings, exact_dedup, lm, packing, pieces, quality, sharding, warc
 
 QUERIES = {
+    "op1_embedding_near_dedup": embeddings.op1_embedding_near_dedup,
     "op2_sentencepiece": pieces.op2_sentencepiece,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_sharding": sharding.op4_sharding,
+    "op5_lm_scoring": lm.op5_lm_scoring,
     "op6_quality": quality.op6_quality,
     "op9_warc": warc.op9_warc,
     "op10_packing": packing.op10_packing,
