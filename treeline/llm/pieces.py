@@ -49,6 +49,8 @@ class Vocabulary:
         self.ids = {p: i for i, p in enumerate(self.text) if plain[i]}
         self.score = {p: sp.get_score(i) for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids), default=1)
+        #: every ending of a piece, and whether it is a piece itself
+        self.endings = {p[i:]: False for p in self.ids for i in range(len(p))} | dict.fromkeys(self.ids, True)
         self.bytes = {int(self.text[i][3:5], 16): i for i in range(self.size) if sp.is_byte(i)}
         self.unknown = sp.unk_id()
         self.lowest = min(self.score.values(), default=0.0) - 10.0
@@ -151,10 +153,15 @@ class Traversal:
 
     def last_bpe(self, word: str, n: int, back: list[int]) -> int:
         """Where the last piece of word[:n]'s encoding starts."""
-        score = self.v.score
-        for m in range(max(0, n - self.v.longest), n - 1):
-            piece = word[m:n]
-            if piece in score and self.stay_apart(word[back[m] : m], piece):
+        endings, found = self.v.endings, []
+        for m in range(n - 2, -1, -1):
+            whole = endings.get(word[m:n])
+            if whole is None:
+                break
+            if whole:
+                found.append(m)
+        for m in reversed(found):  # the longest is the likeliest
+            if self.stay_apart(word[back[m] : m], word[m:n]):
                 return m
         return n - 1
 
