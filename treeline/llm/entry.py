@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, exact_dedup, lm, packing, pieces, quality, repeats, sharding, warc
+from . import embeddings, exact_dedup, lm, near_dedup, packing, pieces, quality, repeats, sharding, warc
 
 QUERIES = {
     "op1_embedding_near_dedup": embeddings.op1_embedding_near_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_sharding": sharding.op4_sharding,
     "op5_lm_scoring": lm.op5_lm_scoring,
     "op6_quality": quality.op6_quality,
+    "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup,
     "op8_suffix_dedup": repeats.op8_suffix_dedup,
     "op9_warc": warc.op9_warc,
     "op10_packing": packing.op10_packing,

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import batches, fold_of, table, text_of
+from .shared import fold_of, table, text_of
 
 FEATURES = 1 << 14
 CAPITALS, REPEAT = FEATURES, FEATURES + 1
@@ -36,7 +36,6 @@ SPECIAL = 2.0  # weight of a text all in capitals, or of one repeated word, agai
 POWER = 8  # of the similarity, as a vote's weight
 THRESHOLD = 0.3
 BLOCK = 512  # documents of one product
-BATCH = 4 << 20
 
 TERMS = re.compile(r"[^\W\d_]+|[\d_]+|[^\w\s]+|\n")
 
@@ -136,7 +135,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return docs.select(id_col, text_of(text_col).alias("_text")).join(F.broadcast(chosen), id_col).dropDuplicates([id_col]).select("_text", "_label").collect()
 
 
-def score(
+def scorer(
     docs: DataFrame,
     labels: DataFrame,
     id_col: str = "doc_id",
@@ -146,11 +145,9 @@ def score(
     sample: int = SAMPLE,
     dims: int = DIMS,
     k: int = NEIGHBOURS,
-    threshold: float = THRESHOLD,
-) -> DataFrame:
-    """One row per row of docs: id_col, held_out, score, predicted. train: which ids may be learnt from."""
+):
+    """Fit on docs and labels; a function of a text column that gives the score. train: which ids may be learnt from."""
     train = fold_of(F.col(id_col)) != 0 if train is None else train
-    spark = docs.sparkSession
     df, n = document_frequencies(docs, text_col)
     idf = np.log((1 + n) / (1 + df)) + 1
     hashed = Hashed()
@@ -160,23 +157,27 @@ def score(
     prior = float(truth.mean()) if len(truth) else 0.5
     space = latent(rows, dims) if rows else np.zeros((WIDTH, dims), dtype=np.float32)
     known = unit(np.array([w @ space[f] for f, w in rows], dtype=np.float32).reshape(-1, dims))
-    shared = spark.sparkContext.broadcast((idf, space, known, truth, prior))
+    shared = docs.sparkSession.sparkContext.broadcast((idf, space, known, truth, prior))
+    hashed = Hashed()
 
-    def run(frames):
+    @F.pandas_udf("double")
+    def run(text: pd.Series) -> pd.Series:
         idf, space, known, truth, prior = shared.value
-        hashed = Hashed()
-        for pdf in frames:
-            for part in batches([pdf], BATCH, "text"):
-                x = np.zeros((len(part), dims), dtype=np.float32)
-                for i, text in enumerate(part["text"]):
-                    feature, w = weighted(text, hashed, idf)
-                    x[i] = w @ space[feature]
-                s = vote(unit(x), known, truth, prior, k)
-                yield pd.DataFrame({"id": part["id"], "held_out": part["held_out"], "score": s, "predicted": (s >= threshold).astype(np.int32)})
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    whole = docs.select(F.col(id_col).alias("id"), (~train).alias("held_out"), text_of(text_col).alias("text"))
-    return whole.mapInPandas(run, f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+        x = np.zeros((len(text), dims), dtype=np.float32)
+        for i, t in enumerate(text):
+            feature, w = weighted(t, hashed, idf)
+            x[i] = w @ space[feature]
+        return pd.Series(vote(unit(x), known, truth, prior, k))
+
+    return run
+
+
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, train: F.Column | None = None, **fit) -> DataFrame:
+    """One row per row of docs: id_col, held_out, score, predicted."""
+    train = fold_of(F.col(id_col)) != 0 if train is None else train
+    good = scorer(docs, labels, id_col, text_col, train=train, **fit)
+    rows = docs.select(F.col(id_col), (~train).alias("held_out"), good(text_of(text_col)).alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
