@@ -63,10 +63,15 @@ def test_empty_and_clashing_columns(spark):
 
 def test_slabs(monkeypatch):
     rng = np.random.default_rng(0)
-    data = rng.integers(97, 101, 5000).astype(np.uint8)
-    at, g = repeats.anchors(data)
-    monkeypatch.setattr(repeats, "SLAB", 700)
-    again = repeats.anchors(data)
-    assert at.tolist() == again[0].tolist() and g.tolist() == again[1].tolist()
-    # every window holds an anchor
-    assert all(np.any((at >= p) & (at <= p + repeats.LENGTH - repeats.GRAM)) for p in range(len(data) - repeats.LENGTH + 1))
+    for letters in (4, 1):
+        data = rng.integers(97, 97 + letters, 5000).astype(np.uint8)
+        whole = repeats.anchors(data)
+        monkeypatch.setattr(repeats, "SLAB", 700)
+        again = repeats.anchors(data)
+        monkeypatch.undo()
+        assert [x.tolist() for x in whole] == [x.tolist() for x in again]
+        # every window names one anchor that it holds
+        at, _, lo, hi = whole
+        starts = sorted(int(a - d) for a, x, y in zip(at, lo, hi) for d in range(x, y + 1))
+        assert starts == list(range(len(data) - repeats.LENGTH + 1))
+        assert lo.min() >= 0 and hi.max() < repeats.STARTS

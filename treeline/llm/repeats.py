@@ -9,7 +9,7 @@ Which positions: sorting every byte position is a row for each byte of the corpu
 window of `length` bytes instead names one anchor, the leftmost smallest hash among its GRAM-byte
 strings. Equal windows name equal anchors at equal offsets, so comparing windows anchor by anchor
 loses nothing, and about one position in 77 is an anchor. An anchor stands for the windows that
-start lo to hi bytes before it; in each round a run of starts is
+name it, which start lo to hi bytes before it; in each round a run of starts is
 
 * repeated, if the string that holds all its windows is found again at another anchor,
 * unique, if the string that all its windows share is not,
@@ -80,40 +80,42 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def leftmost_smallest(g: np.ndarray, width: int) -> np.ndarray:
-    """Position of the leftmost smallest value of each run of `width` values, by doubling."""
-    value, at, span = g, np.arange(len(g)), 1
-
-    def joined(shift: int):
-        later = value[shift:] < value[:-shift]
-        return np.where(later, value[shift:], value[:-shift]), np.where(later, at[shift:], at[:-shift])
+    """Position of the leftmost smallest value of each run of `width` values, by doubling.
 
+    Values are compared by their upper bits; the lower ones hold the position (under 2^23).
+    """
+    low = np.uint64((1 << 23) - 1)
+    x, span = (g & ~low) | np.arange(len(g), dtype=np.uint64), 1
     while span * 2 <= width:
-        value, at = joined(span)
+        x = np.minimum(x[:-span], x[span:])
         span *= 2
     if width > span:
-        value, at = joined(width - span)
-    return at
+        x = np.minimum(x[: span - width], x[width - span :])
+    return (x & low).astype(np.int64)
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions that some window of the text names, and the hashes of their strings."""
+def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions that some window names, the hashes of their strings, and the fewest and most bytes
+    before each position at which a window that names it starts."""
     n = len(data)
     if n < LENGTH:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    found: list[np.ndarray] = []
-    hashes: list[np.ndarray] = []
+        none = np.zeros(0, dtype=np.int64)
+        return none, none.astype(np.uint64), none, none
+    found = []
     for s in range(0, n - LENGTH + 1, SLAB):
         g = gram_hashes(data[s : s + SLAB + LENGTH - 1])
-        at = np.unique(leftmost_smallest(g, STARTS))
-        found.append(at + s)
-        hashes.append(g[at])
-    at, first = np.unique(np.concatenate(found), return_index=True)
-    return at, np.concatenate(hashes)[first]
-
-
-def bounds(at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fewest and most bytes before an anchor at which a window that holds it starts."""
-    return np.maximum(0, at + LENGTH - n), np.minimum(STARTS - 1, at)
+        named = leftmost_smallest(g, STARTS)
+        # later windows never name earlier positions
+        start = np.flatnonzero(np.diff(named, prepend=-1))
+        end = np.append(start[1:], len(named)) - 1
+        at = named[start]
+        found.append((at + s, g[at], at - end, at - start))
+    at, g, lo, hi = (np.concatenate(x) for x in zip(*found))
+    again = np.flatnonzero(at[1:] == at[:-1])  # a position named on both sides of a slab's edge
+    lo[again] = lo[again + 1]
+    keep = np.ones(len(at), dtype=bool)
+    keep[again + 1] = False
+    return at[keep], g[keep], lo[keep], hi[keep]
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -147,41 +149,55 @@ def count_grams(texts: DataFrame) -> DataFrame:
     def run(frames):
         for pdf in frames:
             for part in batches([pdf], BATCH, "_text"):
-                g = [anchors(np.frombuffer(t.encode(), dtype=np.uint8))[1] for t in part["_text"]]
+                g = [anchors(np.frombuffer(t.encode(), dtype=np.uint8))[1] for t in part["_text"]]  # whole texts, one by one
                 code, n = np.unique(np.concatenate(g), return_counts=True)
                 yield pd.DataFrame({"g": code.view(np.int64), "n": n})
 
     return texts.select("_text").mapInPandas(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
 
 
-ANCHOR = "g long, full binary, doc long, hash long, pos long, lo int, hi int"
+ANCHOR = "g long, f1 long, f2 long, doc long, hash long, pos long, lo int, hi int"
+
+
+def two_longs(data: bytes) -> tuple[int, int]:
+    """A 128-bit hash."""
+    import xxhash
+
+    x = xxhash.xxh3_128_digest(data)
+    return int.from_bytes(x[:8], "little", signed=True), int.from_bytes(x[8:], "little", signed=True)
 
 
 def scan(texts: DataFrame, known, with_text: bool) -> DataFrame:
-    """Anchors whose string the filter lets pass: ANCHOR, and the bytes of all their windows if asked for."""
+    """Anchors whose string the filter lets pass: ANCHOR; or, each string twice a task at most, with the bytes of all their windows."""
 
     def run(frames):
-        import xxhash
-
+        seen: dict[tuple[int, int], int] = {}
         for pdf in frames:
             for part in batches([pdf], BATCH, "_text"):
                 rows = []
                 for doc, key, text in zip(part["_doc"].tolist(), part["_hash"].tolist(), part["_text"]):
                     raw = text.encode()
-                    at, g = anchors(np.frombuffer(raw, dtype=np.uint8))
+                    at, g, lo, hi = anchors(np.frombuffer(raw, dtype=np.uint8))
                     ok = passes(g, known.value)
-                    at, g = at[ok], g[ok]
-                    lo, hi = bounds(at, len(raw))
-                    for x, p, a, b in zip(g.view(np.int64).tolist(), at.tolist(), lo.tolist(), hi.tolist()):
+                    for x, p, a, b in zip(g[ok].view(np.int64).tolist(), at[ok].tolist(), lo[ok].tolist(), hi[ok].tolist()):
                         held = raw[p - b : p - a + LENGTH]
-                        full = xxhash.xxh3_128_digest(b"%d %d " % (a, b) + held)
-                        rows.append((x, full, doc, key, p, a, b, held) if with_text else (x, full, doc, key, p, a, b))
-                yield pd.DataFrame(rows, columns=["g", "full", "doc", "hash", "pos", "lo", "hi", *["held"] * with_text])
+                        f1, f2 = two_longs(b"%d %d " % (a, b) + held)
+                        if not with_text:
+                            rows.append((x, f1, f2, doc, key, p, a, b))
+                            continue
+                        # whether there is one or more is all that counts
+                        times = seen.get((f1, f2), 0)
+                        if times < 2:
+                            seen[f1, f2] = times + 1
+                            rows.append((x, f1, f2, doc, key, p, a, b, held))
+                if len(seen) > 1_000_000:
+                    seen = {}
+                yield pd.DataFrame(rows, columns=["g", "f1", "f2", "doc", "hash", "pos", "lo", "hi", *["held"] * with_text])
 
     return texts.select("_doc", "_hash", "_text").mapInPandas(run, ANCHOR + ", held binary" * with_text)
 
 
-NODE = "core long, full binary, doc long, hash long, pos long, lo int, hi int, k int, own boolean"
+NODE = "core long, f1 long, f2 long, run long, own boolean"  # run: anchor * 256 + k
 
 
 def split(live: DataFrame, level: int) -> DataFrame:
@@ -193,7 +209,7 @@ def split(live: DataFrame, level: int) -> DataFrame:
 
         for pdf in frames:
             rows = []
-            for doc, key, pos, lo, hi, held, todo in pdf.itertuples(index=False):
+            for aid, lo, hi, held, todo in pdf.itertuples(index=False):
                 held = bytes(held)
                 for item in todo:
                     first = item["k"] * wide
@@ -202,12 +218,12 @@ def split(live: DataFrame, level: int) -> DataFrame:
                         a, b = max(lo, least), min(hi, most)
                         if a > b:
                             continue
-                        core = xxhash.xxh3_64_intdigest(b"%d " % k + held[hi - least : hi - most + LENGTH])
-                        full = xxhash.xxh3_128_digest(b"%d %d " % (a, b) + held[hi - b : hi - a + LENGTH])
-                        rows.append((core - (1 << 63), full, doc, key, pos, a, b, k, item["own"]))
+                        # what all windows of the unclipped run share, so that runs that differ at their ends meet
+                        core = xxhash.xxh3_64_intdigest(b"%d " % k + held[hi - least : hi - most + LENGTH]) - (1 << 63)
+                        rows.append((core, *two_longs(b"%d %d " % (a, b) + held[hi - b : hi - a + LENGTH]), aid * 256 + k, item["own"]))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in NODE.split(", ")])
 
-    return live.select("doc", "hash", "pos", "lo", "hi", "held", "todo").mapInPandas(run, NODE)
+    return live.select("aid", "lo", "hi", "held", "todo").mapInPandas(run, NODE)
 
 
 def spans_of(rows: DataFrame) -> DataFrame:
@@ -224,39 +240,46 @@ def release(spark: SparkSession) -> None:
 def repeated_spans(texts: DataFrame, root: str) -> DataFrame:
     """(doc, hash, spans): for each keyed row with repeats, arrays (s, e) whose union goes."""
     spark = texts.sparkSession
-    twice = cut(count_grams(texts).filter("n > 1").select("g"), f"{root}/twice")
+    full, many = ["f1", "f2"], F.count(F.lit(1)).alias("n")
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        out = cut(df, f"{root}/{name}")
+        release(spark)
+        return out
+
+    twice = stored(count_grams(texts).filter("n > 1").select("g"), "twice")
     known = bit_filter(twice, twice.count())
-    release(spark)
-    first = cut(scan(texts, known, False), f"{root}/anchors")
-    fulls = cut(first.groupBy("full").agg(F.count(F.lit(1)).alias("n"), F.min("g").alias("g")), f"{root}/fulls")
-    parts = [cut(spans_of(first.join(fulls.filter("n > 1").select("full"), "full", "left_semi")), f"{root}/spans-0")]
-    open_g = cut(fulls.groupBy("g").agg(F.sum("n").alias("n"), F.min("n").alias("least")).filter("n > 1 and least = 1").select("g"), f"{root}/open")
-    release(spark)
+    first = stored(scan(texts, known, False), "anchors")
+    fulls = stored(first.groupBy(*full).agg(many, F.min("g").alias("g")), "fulls")
+    parts = [stored(spans_of(first.join(fulls.filter("n > 1").select(*full), full, "left_semi")), "spans-0")]
+    open_g = stored(fulls.groupBy("g").agg(F.sum("n").alias("n"), F.min("n").alias("least")).filter("n > 1 and least = 1").select("g"), "open")
     # one anchor for each string that is still open, with its bytes
     known = bit_filter(open_g, open_g.count())
     row = F.struct("doc", "hash", "pos", "lo", "hi", "held")
-    held = scan(texts, known, True).groupBy("full").agg(F.first(row).alias("r"), F.count(F.lit(1)).alias("n"), F.first("g").alias("g"))
-    held = held.join(open_g, "g", "left_semi").select("r.*", (F.col("n") == 1).alias("own"))
-    held = cut(held, f"{root}/held")
-    release(spark)
-    live = held.withColumn("todo", F.array(F.struct(F.lit(0).alias("k"), F.col("own").alias("own"))))
+    held = scan(texts, known, True).groupBy(*full).agg(F.first(row).alias("r"), many, F.first("g").alias("g"))
+    held = held.join(open_g, "g", "left_semi").select(F.monotonically_increasing_id().alias("aid"), "r.*", (F.col("n") == 1).alias("own"))
+    held = stored(held, "held")
+    live = held.select("aid", "lo", "hi", "held", F.array(F.struct(F.lit(0).alias("k"), F.col("own").alias("own"))).alias("todo"))
     for level in range(1, len(SPANS)):
-        nodes = cut(split(live, level), f"{root}/nodes-{level}")
-        one = F.first(F.struct("doc", "hash", "pos", "k", "own"))
-        ranked = cut(nodes.groupBy("full").agg(F.count(F.lit(1)).alias("n"), F.min("core").alias("core"), one.alias("r")), f"{root}/ranked-{level}")
-        again = ranked.filter("n > 1").select("full")
-        parts.append(cut(spans_of(nodes.filter("own").join(again, "full", "left_semi")), f"{root}/spans-{level}"))
+        short = SPANS[level]
+        nodes = stored(split(live, level), f"nodes-{level}")
+        ranked = stored(nodes.groupBy(*full).agg(many, F.min("core").alias("core"), F.min("run").alias("run"), F.max("own").alias("own")), f"ranked-{level}")
+        mine = nodes.filter("own").join(ranked.filter("n > 1").select(*full), full, "left_semi")
+        mine = mine.select(F.shiftright("run", 8).alias("aid"), (F.col("run") % 256).cast("int").alias("k"))
+        mine = mine.join(held.select("aid", "doc", "hash", "pos", F.col("lo").alias("l"), F.col("hi").alias("h")), "aid")
+        mine = mine.withColumns({"lo": F.greatest("l", F.col("k") * short), "hi": F.least("h", (F.col("k") + 1) * short - 1)})
+        parts.append(stored(spans_of(mine), f"spans-{level}"))
         if level == len(SPANS) - 1:
             break
         still = ranked.groupBy("core").agg(F.sum("n").alias("m"), F.min("n").alias("least")).filter("m > 1 and least = 1").select("core")
-        rest = ranked.join(still, "core", "left_semi").select("r.doc", "r.hash", "r.pos", F.struct("r.k", ((F.col("n") == 1) & F.col("r.own")).alias("own")).alias("x"))
-        todo = rest.groupBy("doc", "hash", "pos").agg(F.collect_list("x").alias("todo"))  # at most STARTS runs of one anchor
-        live = held.drop("own").join(todo, ["doc", "hash", "pos"])
-        release(spark)
+        rest = ranked.join(still, "core", "left_semi")
+        item = F.struct((F.col("run") % 256).cast("int").alias("k"), ((F.col("n") == 1) & F.col("own")).alias("own"))
+        todo = rest.groupBy(F.shiftright("run", 8).alias("aid")).agg(F.collect_list(item).alias("todo"))  # at most STARTS runs of one anchor
+        live = held.select("aid", "lo", "hi", "held").join(stored(todo, f"todo-{level}"), "aid")
     spans = parts[0]
     for p in parts[1:]:
         spans = spans.unionByName(p)
-    return cut(spans.distinct().groupBy("doc", "hash").agg(F.collect_list(F.struct("s", "e")).alias("spans")), f"{root}/spans")
+    return stored(spans.groupBy("doc", "hash").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
 
 
 def union_of(spans) -> list[tuple[int, int]]:
