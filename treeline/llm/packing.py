@@ -3,7 +3,7 @@
 Documents become pieces of at most `size` tokens; only documents that are longer are cut, and then
 into full pieces with the shorter one first. The histogram of piece lengths (at most `size` bins,
 whatever the input) is all that the driver sees. Patterns of up to three lengths that fill a
-sequence exactly are fitted to it by non-negative least squares, the repeat counts are rounded to
+sequence exactly are fitted to it by non-negative least squares, the repeat counts are rounded down to
 what the histogram holds, and the residual lengths are packed best-fit decreasing. The plan is a
 list of runs (length, first rank, count, first sequence, offset), again bounded by the bins and
 patterns; each piece finds its run by its rank among the pieces of its length.
@@ -132,10 +132,10 @@ def plan(histogram: np.ndarray, size: int = SIZE) -> tuple[list[tuple[int, int,
         pats = patterns(size)
         x = fit(left, pats)
         for i in np.argsort(-x, kind="stable"):
-            if x[i] < 0.5:
+            if x[i] < 1:
                 break
             need = Counter(int(v) for v in pats[i] if v)
-            times = min(int(round(x[i])), *(int(left[v]) // k for v, k in need.items()))
+            times = min(int(x[i]), *(int(left[v]) // k for v, k in need.items()))
             if times:
                 recipes.append((tuple(int(v) for v in pats[i] if v), times))
                 for v, k in need.items():
