@@ -52,7 +52,7 @@ def planted(seed=2):
     return [(i, t) for i, t in enumerate(rows)] + [(900, ""), (901, ""), (902, None), (903, "one two"), (904, "one two"), (905, "one three")]
 
 
-@pytest.mark.parametrize("block", [96, 3])
+@pytest.mark.parametrize("block", [512, 3])
 def test_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(near, "BLOCK", block)
     rows = planted()

@@ -10,9 +10,10 @@ shingles gives L / (a + b - L) >= 0.8: the Jaccard similarity of the sequences i
 * Texts of the same words are one class, of which the smallest id is compared.
 * In each bucket every class is compared with the bucket's smallest; this is a row for each member,
   not for each pair. Links make components. Buckets whose other members still lie in several
-  components are compared within tasks, a block against a block: members of one component are not
-  compared again, pairs whose lengths or shared shingles rule them out are not aligned, all others
-  are. No bucket is capped, and no pair of a bucket is left undecided between components.
+  components are compared within tasks, a block against a block, blocks bounded by texts and by
+  characters: posting lists of shingles count what a text shares with each other text of the two
+  blocks, and only pairs of different components that share enough are aligned. No bucket is
+  capped, and no pair of a bucket is left undecided between components.
 * Alignment: pairs that differ by more than (a + b) / 9 insertions and deletions cannot be near
   copies, so the alignment is confined to that band, bit-parallel.
 
@@ -37,7 +38,8 @@ WORDS = 5
 SIMILARITY = 0.8
 SKETCHES = 20
 PICKS = 3
-BLOCK = 96  # classes of a block in the comparison within buckets
+BLOCK = 512  # classes of a block in the comparison within buckets
+BLOCK_CHARS = 8 << 20  # and its characters, but for single longer texts
 BATCH = 4 << 20
 WIDE = 1 << 16  # shingles from which on sketches are made one by one
 SEEDS = np.random.default_rng(11).integers(1, 1 << 63, SKETCHES, dtype=np.uint64)
@@ -146,8 +148,44 @@ def prepared(text: str, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     return sh, np.sort(labelled(sh))
 
 
+def compared(ready: list, reps: np.ndarray, block: np.ndarray | None, part: np.ndarray) -> list[tuple[int, int]]:
+    """Links (of reps) that join all near copies among the texts `ready`, given what `part` joins already.
+
+    Texts of the same block are not compared (block None: all are). The texts go by length; each asks
+    the posting lists of its labelled shingles for how many it shares with every longer one.
+    """
+    length = np.array([len(sh) for sh, _ in ready])
+    order = np.argsort(length, kind="stable")
+    length, part, at = length[order], part[order].copy(), order.tolist()
+    owner = np.repeat(np.arange(len(at)), length)
+    flat = np.concatenate([ready[k][1] for k in at])
+    by_label = np.argsort(flat, kind="stable")  # owners ascend within a label
+    label = flat[by_label]
+    begins = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]]))
+    ends = np.append(begins[1:], len(label))
+    posting = owner[by_label]
+    place = np.empty(len(flat), dtype=np.int64)  # each shingle's own place in its list
+    place[by_label] = np.arange(len(flat))
+    end = np.repeat(ends, ends - begins)
+    edges, out = np.concatenate([[0], np.cumsum(length)]), []
+    for u, k in enumerate(at):
+        mine = place[edges[u] : edges[u + 1]]
+        after = [posting[p + 1 : e] for p, e in zip(mine.tolist(), end[mine].tolist()) if e > p + 1]
+        if not after:
+            continue
+        shared = np.bincount(np.concatenate(after), minlength=len(at))
+        enough = shared >= SIMILARITY * (length[u] + length) / (1 + SIMILARITY) - 1e-9
+        if block is not None:
+            enough &= block[order] != block[k]
+        for v in np.flatnonzero(enough & (part != part[u])).tolist():
+            if part[v] != part[u] and similar(*(ready[x][y] for y in (0, 1) for x in (k, at[v]))):
+                part[part == part[v]] = part[u]
+                out.append((int(reps[k]), int(reps[at[v]])))
+    return out
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, s1, s2 (which words, in order), keys; texts with words only."""
+    """doc_id, s1, s2 (which words, in order), keys, size in characters; texts with words only."""
 
     def run(frames):
         import xxhash
@@ -161,10 +199,10 @@ def sketches(docs: DataFrame) -> DataFrame:
                     if words:
                         same = xxhash.xxh3_128_digest(b" ".join(words))
                         keys = sketch(shingles(words, hashes)).view(np.int64)
-                        rows.append((doc, int.from_bytes(same[:8], "little", signed=True), int.from_bytes(same[8:], "little", signed=True), keys))
-                yield pd.DataFrame(rows, columns=["doc_id", "s1", "s2", "keys"])
+                        rows.append((doc, int.from_bytes(same[:8], "little", signed=True), int.from_bytes(same[8:], "little", signed=True), keys, len(text)))
+                yield pd.DataFrame(rows, columns=["doc_id", "s1", "s2", "keys", "size"])
 
-    return docs.filter("doc_id is not null").mapInPandas(run, "doc_id long, s1 long, s2 long, keys array<long>")
+    return docs.filter("doc_id is not null").mapInPandas(run, "doc_id long, s1 long, s2 long, keys array<long>, size long")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", root: str | None = None) -> DataFrame:
@@ -173,10 +211,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     root = root or work_dir(spark, "near")
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     made = cut(sketches(whole), f"{root}/sketches")
-    classes = cut(made.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), f"{root}/classes")
+    classes = cut(made.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.max("size").alias("size")), f"{root}/classes")
     same = made.join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).select("doc_id", "rep")
 
-    members = classes.select("rep", F.posexplode("keys").alias("j", "key")).select("rep", F.xxhash64("j", "key").alias("bucket"))
+    members = classes.select("rep", "size", F.posexplode("keys").alias("j", "key")).select("rep", "size", F.xxhash64("j", "key").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("leader")).filter("n > 1")
     inside = cut(members.join(buckets, "bucket"), f"{root}/members")
     pairs = cut(inside.filter("rep <> leader").groupBy("leader", "rep").agg(F.count(F.lit(1)).alias("shared")).drop("shared"), f"{root}/pairs")
@@ -206,41 +244,21 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # buckets whose members, besides the leader, lie in several components
     placed = inside.filter("rep <> leader and n > 2").join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    placed = cut(placed.select("bucket", "rep", F.coalesce("component", "rep").alias("part")), f"{root}/placed")
+    placed = cut(placed.select("bucket", "rep", "size", F.coalesce("component", "rep").alias("part")), f"{root}/placed")
     several = placed.groupBy("bucket").agg(
-        F.min("part").alias("x"), F.max("part").alias("y"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("set")
+        F.min("part").alias("x"), F.max("part").alias("y"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("set")
     )
-    several = several.filter("x < y").groupBy("set", "n").agg(F.min("bucket").alias("bucket"))  # one of the buckets with the same members
-    blocks = F.ceil(F.col("n") / BLOCK)
+    several = several.filter("x < y").groupBy("set", "n", "size").agg(F.min("bucket").alias("bucket"))  # one of the buckets with the same members
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("size") / BLOCK_CHARS))
     mine = placed.join(several.select("bucket", blocks.cast("long").alias("blocks")), "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
     mine = mine.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     mine = mine.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "part")
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
         hashes = WordHashes()
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        pdf = pdf.sort_values("rep")
         ready = [prepared(t, hashes) for t in pdf["text"]]
-        reps, block, up = pdf["rep"].tolist(), pdf["block"].tolist(), {}
-        for r, p in zip(reps, pdf["part"].tolist()):
-            up.setdefault(p, p)
-
-        def top(x):
-            while up[x] != x:
-                up[x] = x = up[up[x]]
-            return x
-
-        part, out = pdf["part"].tolist(), []
-        by_length = sorted(range(len(reps)), key=lambda k: len(ready[k][0]))
-        for u, a in enumerate(by_length):
-            for b in by_length[u + 1 :]:
-                if len(ready[a][0]) < SIMILARITY * len(ready[b][0]) - 1e-9:
-                    break
-                if (i != j and block[a] == block[b]) or top(part[a]) == top(part[b]):
-                    continue
-                if similar(ready[a][0], ready[b][0], ready[a][1], ready[b][1]):
-                    up[top(part[a])] = top(part[b])
-                    out.append((reps[a], reps[b]))
+        apart = pdf["i"].iloc[0] != pdf["j"].iloc[0]
+        out = compared(ready, pdf["rep"].to_numpy(), pdf["block"].to_numpy() if apart else None, pdf["part"].to_numpy())
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     more = mine.join(texts, "rep").groupBy("bucket", "i", "j").applyInPandas(within, "a long, b long")
