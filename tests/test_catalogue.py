@@ -1,6 +1,6 @@
 import duckdb
 import pytest
-from treeline.plans.catalogue import ORACLES, QUERIES
+from treeline.plans import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

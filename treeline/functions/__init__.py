@@ -1 +1,38 @@
-"""Kept for what a later version adds."""
+"""Scalar functions of the query surface, as column expressions."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import functions as F
+
+
+def normalize_space(a: F.Column) -> F.Column:
+    return F.trim(F.regexp_replace(a, r"[ \t\n\r]+", " "))
+
+
+def before(a: F.Column, mark: str) -> F.Column:
+    """What stands before the first mark; empty if there is none."""
+    return F.when(F.contains(a, F.lit(mark)), F.substring_index(a, mark, 1)).otherwise("")
+
+
+def after(a: F.Column, mark: str) -> F.Column:
+    return F.when(F.contains(a, F.lit(mark)), F.substring(a, F.locate(mark, a) + len(mark), F.length(a))).otherwise("")
+
+
+def shortened(a: F.Column, size: int = 100) -> F.Column:
+    return F.when(F.length(a) < size, a).otherwise(F.concat(F.substring(a, 1, size), F.lit("...")))
+
+
+def is_identifier(a: F.Column, keywords: tuple[str, ...] = ()) -> F.Column:
+    """A letter or underscore, then letters, digits and underscores, and no keyword."""
+    return a.rlike("^[A-Za-z_][A-Za-z0-9_]*$") & ~a.isin(*keywords)
+
+
+def renamed(a: F.Column, old: str, new: str) -> F.Column:
+    """Every whole identifier `old` becomes `new`; longer identifiers that hold it stay."""
+    return F.regexp_replace(a, whole(old), re.sub(r"([\\$])", r"\\\1", new))
+
+
+def whole(name: str) -> str:
+    return rf"(?<![A-Za-z0-9_])\Q{name}\E(?![A-Za-z0-9_])"

@@ -1 +1,6 @@
-"""Registered queries over the given tables, and their SQL."""
+"""Registered queries beside their SQL."""
+
+from . import analysis
+from .catalogue import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "analysis"]
