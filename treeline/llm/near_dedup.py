@@ -38,7 +38,7 @@ WORDS = 5
 SIMILARITY = 0.8
 SKETCHES = 20
 PICKS = 3
-BLOCK = 512  # classes of a block in the comparison within buckets
+BLOCK = 2048  # classes of a block in the comparison within buckets
 BLOCK_CHARS = 8 << 20  # and its characters, but for single longer texts
 BATCH = 4 << 20
 WIDE = 1 << 16  # shingles from which on sketches are made one by one
