@@ -64,9 +64,8 @@ def counts(text: str, hashed: Hashed) -> tuple[np.ndarray, np.ndarray]:
     return feature, n
 
 
-def weighted(text: str, hashed: Hashed, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """tf-idf vector of length 1, sparse."""
-    feature, n = counts(text, hashed)
+def weighted(feature: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """tf-idf vector of length 1, sparse, from a text's counts."""
     w = (1 + np.log(n)) * idf[feature]
     special = feature >= FEATURES
     if special.any():  # shares of the terms, on the scale of all else
@@ -128,11 +127,21 @@ def vote(vectors: np.ndarray, known: np.ndarray, labels: np.ndarray, prior: floa
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train: F.Column, sample: int) -> list:
-    """(text, label) of the training rows with the smallest hashes, at most `sample`."""
+    """(features, counts, label) of the training rows with the smallest hashes, at most `sample`; no text leaves its task."""
     truth = labels.filter(F.col(label_col).isNotNull()).groupBy(id_col).agg((F.avg(label_col) >= 0.5).cast("int").alias("_label"))
     # a broadcast of at most `sample` ids; the texts stay where they are
     chosen = truth.filter(train & F.col(id_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(sample)
-    return docs.select(id_col, text_of(text_col).alias("_text")).join(F.broadcast(chosen), id_col).dropDuplicates([id_col]).select("_text", "_label").collect()
+
+    def run(frames):
+        hashed = Hashed()
+        for pdf in frames:
+            found = [counts(t, hashed) for t in pdf["_text"]]
+            yield pd.DataFrame({"_id": pdf["_id"], "feature": [f for f, _ in found], "n": [n for _, n in found], "label": pdf["_label"]})
+
+    texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(chosen.withColumnRenamed(id_col, "_id")), "_id")
+    kind = docs.schema[id_col].dataType.simpleString()
+    made = texts.mapInPandas(run, f"_id {kind}, feature array<int>, n array<int>, label int")
+    return made.dropDuplicates(["_id"]).orderBy("_id").toArrow().to_pylist()
 
 
 def scorer(
@@ -150,10 +159,9 @@ def scorer(
     train = fold_of(F.col(id_col)) != 0 if train is None else train
     df, n = document_frequencies(docs, text_col)
     idf = np.log((1 + n) / (1 + df)) + 1
-    hashed = Hashed()
     taken = labelled_sample(docs, labels, id_col, text_col, label_col, train, sample)
-    rows = [weighted(r["_text"], hashed, idf) for r in taken]
-    truth = np.array([r["_label"] for r in taken], dtype=np.float64)
+    rows = [weighted(np.array(r["feature"], dtype=np.int64), np.array(r["n"], dtype=np.int64), idf) for r in taken]
+    truth = np.array([r["label"] for r in taken], dtype=np.float64)
     prior = float(truth.mean()) if len(truth) else 0.5
     space = latent(rows, dims) if rows else np.zeros((WIDTH, dims), dtype=np.float32)
     known = unit(np.array([w @ space[f] for f, w in rows], dtype=np.float32).reshape(-1, dims))
@@ -165,7 +173,7 @@ def scorer(
         idf, space, known, truth, prior = shared.value
         x = np.zeros((len(text), dims), dtype=np.float32)
         for i, t in enumerate(text):
-            feature, w = weighted(t, hashed, idf)
+            feature, w = weighted(*counts(t, hashed), idf)
             x[i] = w @ space[feature]
         return pd.Series(vote(unit(x), known, truth, prior, k))
 
