@@ -36,3 +36,14 @@ def renamed(a: F.Column, old: str, new: str) -> F.Column:
 
 def whole(name: str) -> str:
     return rf"(?<![A-Za-z0-9_])\Q{name}\E(?![A-Za-z0-9_])"
+
+
+def named(a: F.Column, names: dict[str, str], other: str = "unknown") -> F.Column:
+    """The name of a code; what has none, null included, gets `other`."""
+    pairs = [F.lit(x) for pair in names.items() for x in pair]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), a), F.lit(other))
+
+
+def holds_sql(a: F.Column) -> F.Column:
+    """Whether a string reads like an SQL statement."""
+    return F.coalesce(a.rlike(r"(?is)\bselect\b.*\bfrom\b|\binsert\s+into\b|\bupdate\b.*\bset\b|\bdelete\s+from\b"), F.lit(False))

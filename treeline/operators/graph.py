@@ -32,3 +32,10 @@ def reach(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
             break
         seen = seen.unionByName(front.withColumn("depth", F.lit(d)))
     return seen.filter("depth > 0")
+
+
+def members_of(derived: DataFrame, members: DataFrame) -> DataFrame:
+    """derived (base, derived), members (owner, member) -> members of a derived node that its base has, too."""
+    own = members.distinct()
+    theirs = derived.join(own.withColumnRenamed("owner", "base"), "base")
+    return theirs.join(own.withColumnRenamed("owner", "derived"), ["derived", "member"]).select("base", "derived", "member")

@@ -1,6 +1,6 @@
 """Registered queries beside their SQL."""
 
-from . import analysis
+from . import analysis, relations
 from .catalogue import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "analysis"]
+__all__ = ["ORACLES", "QUERIES", "analysis", "relations"]
