@@ -22,21 +22,47 @@ AXES = {
 }
 
 
-def step(context: DataFrame, nodes: DataFrame, axis: str, kind: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Nodes on the axis of each context row; `keep` columns of the context come along as ctx_*."""
+#: The same where nodes carry their ancestors (anc): equi-joins, so that a large tree spreads over tasks. `up` is an exploded ancestor.
+NEAR = {
+    "descendant": "n.up = c.node_id",
+    "descendant-or-self": "n.up = c.node_id",
+    "ancestor": "n.node_id = c.up",
+    "ancestor-or-self": "n.node_id = c.up",
+    "following": "n.up = c.parent_id AND n.node_id > c.node_id",
+    "preceding": "n.up = c.parent_id AND n.node_id < c.node_id",
+}
+
+
+def _sides(context: DataFrame, nodes: DataFrame, axis: str, kind: str | None) -> tuple[DataFrame, DataFrame, str]:
+    """Both sides and the condition of an axis."""
     c, n = context, nodes if kind is None else nodes.filter(F.col("kind") == kind)
+    if axis in NEAR and "anc" in context.columns and "anc" in nodes.columns:
+        up = F.explode(F.concat("anc", F.array("node_id")) if axis.endswith("-or-self") else F.col("anc"))
+        if axis.startswith("ancestor"):
+            c = c.withColumn("up", up)
+        else:
+            n = n.withColumn("up", up)
+        return c, n, f"c.tree_id = n.tree_id AND {NEAR[axis]}"
     if axis in ("following", "preceding"):
         ends = nodes.select(F.col("tree_id").alias("t"), F.col("node_id").alias("p"), F.col("sub_end").alias("parent_end"))
         c = c.join(ends, (F.col("tree_id") == F.col("t")) & (F.col("parent_id") == F.col("p")), "left").drop("t", "p")
-    on = F.expr(f"c.tree_id = n.tree_id AND {AXES[axis]}")
-    return c.alias("c").join(n.alias("n"), on).select("n.*", *[F.col(f"c.{k}").alias(f"ctx_{k}") for k in keep])
+    return c, n, f"c.tree_id = n.tree_id AND {AXES[axis]}"
+
+
+def step(context: DataFrame, nodes: DataFrame, axis: str, kind: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Nodes on the axis of each context row; `keep` columns of the context come along as ctx_*."""
+    c, n, on = _sides(context, nodes, axis, kind)
+    return c.alias("c").join(n.alias("n"), F.expr(on)).select(*[F.col(f"n.{x}") for x in nodes.columns], *[F.col(f"c.{k}").alias(f"ctx_{k}") for k in keep])
 
 
 def exists(context: DataFrame, nodes: DataFrame, axis: str, kind: str | None = None, negate: bool = False) -> DataFrame:
     """Context rows with (or without) a node on the axis: a semi or anti join."""
-    n = nodes if kind is None else nodes.filter(F.col("kind") == kind)
-    on = F.expr(f"c.tree_id = n.tree_id AND {AXES[axis]}")
-    return context.alias("c").join(n.alias("n"), on, "left_anti" if negate else "left_semi")
+    c, n, on = _sides(context, nodes, axis, kind)
+    how = "left_anti" if negate else "left_semi"
+    if "up" in c.columns and "up" not in context.columns:  # a row for each ancestor: those that meet a node mark their row
+        met = c.alias("c").join(n.alias("n"), F.expr(on), "left_semi").select("tree_id", "node_id").distinct()
+        return context.join(met, ["tree_id", "node_id"], how)
+    return c.alias("c").join(n.alias("n"), F.expr(on), how).select(*[F.col(f"c.{x}") for x in context.columns])
 
 
 def position(rows: DataFrame, n: int, per: list[str], from_end: bool = False) -> DataFrame:

@@ -10,25 +10,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def numbered(rows: DataFrame, tree: str, keys: list[str]) -> DataFrame:
-    """Add node_id, sub_end and parent_id to rows of a tree given by nested keys (null below a node's own level).
+#: First keys of one bucket when subtrees are laid end to end.
+SPAN = 1 << 16
 
-    A tree is bounded by its partition key; node_id is the pre-order rank, sub_end the last rank of
-    the subtree.
+
+def numbered(rows: DataFrame, tree: str, keys: list[str], span: int = SPAN) -> DataFrame:
+    """Add depth, node_id, sub_end, parent_id and anc to rows of a tree given by nested keys (null below a node's own level).
+
+    node_id is the pre-order rank, sub_end the last rank of the subtree, anc the ids of the node's
+    ancestors from the root down. The first key is a whole number; no task holds more of a tree than
+    one subtree of the first key, or the sizes of `span` of them, or of all such buckets.
     """
-    order = Window.partitionBy(tree).orderBy(*[F.asc_nulls_first(k) for k in keys])
-    out = rows.withColumn("node_id", (F.row_number().over(order) - 1).cast("long"))
-    level = sum((F.col(k).isNotNull().cast("int") for k in keys), F.lit(0))
-    out = out.withColumn("depth", level)
-    size = F.lit(1).cast("long")
-    parent = F.lit(None).cast("long")
-    for d in range(len(keys) + 1):
+    first = keys[0]
+    units = rows.groupBy(tree, first).agg(F.count(F.lit(1)).alias("_n")).withColumn("_bucket", F.floor(F.col(first) / span))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    sums = units.groupBy(tree, "_bucket").agg(F.sum("_n").alias("_sum"))
+    total = F.sum("_sum").over(Window.partitionBy(tree)).alias("_total")
+    sums = sums.select(F.col(tree).alias("_t"), F.col("_bucket").alias("_b"), total, F.sum("_sum").over(before.partitionBy(tree).orderBy(F.asc_nulls_first("_bucket"))).alias("_base"))
+    inside = F.sum("_n").over(before.partitionBy(tree, "_bucket").orderBy(F.asc_nulls_first(first)))
+    bases = units.join(sums, F.col(tree).eqNullSafe(F.col("_t")) & F.col("_bucket").eqNullSafe(F.col("_b")))
+    none = F.lit(0).cast("long")
+    bases = bases.select("_t", F.col(first).alias("_f"), "_total", (F.coalesce("_base", none) + F.coalesce(inside, none)).alias("_start"))
+
+    order = Window.partitionBy(tree, first).orderBy(*[F.asc_nulls_first(k) for k in keys])
+    out = rows.join(bases, F.col(tree).eqNullSafe(F.col("_t")) & F.col(first).eqNullSafe(F.col("_f")))
+    out = out.withColumn("node_id", (F.col("_start") + F.row_number().over(order) - 1).cast("long"))
+    depth = sum((F.col(k).isNotNull().cast("int") for k in keys), F.lit(0))
+    out = out.withColumn("depth", depth)
+    size, up = F.col("_total"), [F.when(depth > 0, none)]
+    for d in range(1, len(keys) + 1):
         w = Window.partitionBy(tree, *keys[:d])
         size = F.when(F.col("depth") == d, F.count(F.lit(1)).over(w)).otherwise(size)
-        if d:
-            above = Window.partitionBy(tree, *keys[: d - 1])
-            parent = F.when(F.col("depth") == d, F.min("node_id").over(above)).otherwise(parent)
-    return out.withColumns({"sub_end": F.col("node_id") + size - 1, "parent_id": parent})
+        up.append(F.when(F.col("depth") > d, F.min("node_id").over(w)))
+    out = out.withColumns({"sub_end": F.col("node_id") + size - 1, "anc": F.array_compact(F.array(*up))})
+    return out.withColumn("parent_id", F.try_element_at("anc", F.lit(-1))).drop("_t", "_f", "_total", "_start")
 
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
