@@ -41,10 +41,9 @@ def overrides(spark, sf):
     return members_of(derived.select(F.col("start").alias("base"), F.col("node").alias("derived")), members)
 
 
-@query("SELECT user_id FROM events WHERE event_type = 'view' EXCEPT SELECT user_id FROM events WHERE event_type = 'purchase'")
+@query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
 def set_except(spark, sf):
-    e = table(spark, sf, "events")
-    return e.filter("event_type = 'view'").select("user_id").subtract(e.filter("event_type = 'purchase'").select("user_id"))
+    return table(spark, sf, "documents").select("doc_id").subtract(table(spark, sf, "labels").select("doc_id"))
 
 
 @query("SELECT user_id FROM events WHERE event_type = 'view' INTERSECT SELECT user_id FROM events WHERE event_type = 'purchase'")
