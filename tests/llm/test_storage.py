@@ -81,6 +81,24 @@ def test_packing_is_whole_and_tight(spark, sf):
     assert len(sequences) <= -(-sum(r["length"] for r in got) // 1024) + 2
 
 
+def test_long_runs_of_blanks_are_packed(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    n = 2_000_000
+    rows = [(1, " " * n), (2, " " * n + "x"), (3, "a" + "\n" * n + "x"), (4, "b" + " \u3000" * (n // 2) + "é"), (5, "short")]
+    got = defaultdict(list)
+    for r in packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r["doc_id"]].append(r)
+    for doc, text in rows:
+        ids = np.array(whole.encode(text, add_special_tokens=False).ids + [2], dtype="<u4")
+        mine = sorted(got[doc], key=lambda r: r["piece"])
+        assert [(r["start"], r["length"]) for r in mine] == packing.cuts(len(ids), 1024)
+        assert all(r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in mine)
+
+
 def test_plans_hold_every_length():
     rng = np.random.default_rng(0)
     for _ in range(5):

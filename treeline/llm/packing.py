@@ -15,6 +15,7 @@ of any length is cut as above.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -30,6 +31,8 @@ from .shared import cut, slices, table, text_of, work_dir
 SIZE = 1024
 END = 2  # id that closes each document
 SPECIAL = "<|endoftext|>"  # in a text, the JSON tokenizer alone treats it as one id
+LONG_RUN = 100_000  # blanks in a row; from about a million on the rank twin's regex engine panics
+BLANK_RUN = re.compile(r"(?<!\s)\s{%d}" % LONG_RUN)  # begins at runs only, so that the search is linear
 PER_SALT = 50_000_000  # pieces for each part in which a length is ranked, and the most parts
 MAX_SALTS = 4096
 
@@ -50,7 +53,7 @@ def encoder(json_path: str | None = None, ranks_path: str | None = None):
     whole = Tokenizer.from_file(json_path or public_tokenizers.path("byte_bpe_50k.json"))
 
     def encode(text: str) -> list[int]:
-        if SPECIAL in text:
+        if SPECIAL in text or (len(text) >= LONG_RUN and BLANK_RUN.search(text)):
             return whole.encode(text, add_special_tokens=False).ids
         return quick.encode_ordinary(text)
 
