@@ -1,8 +1,8 @@
 """Corpus pipeline: quality, exact dedup, near dedup, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir), works on every row that its predecessor kept, and returns
-the columns of docs (extra ones, too), but for the last, which returns pieces with their places. Ids
-are compared null-safe. A text that loses repeated passages keeps its row, with n_chars counted anew.
+the columns of docs (extra ones, too), but for the last, which returns pieces with their places. Rows
+are told apart by a stored key of their own, so null and repeated ids are documents like others. A text that loses repeated passages keeps its row, with n_chars counted anew.
 """
 
 from __future__ import annotations
@@ -20,17 +20,29 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return docs.filter(good(text_of("text")) >= quality.THRESHOLD)
 
 
+def with_rows(docs: DataFrame, root: str, **more: F.Column) -> DataFrame:
+    """docs, stored, with a key of each row as _row."""
+    return cut(docs.withColumns({"_row": F.monotonically_increasing_id(), **more}), f"{root}/rows", codec="snappy")
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest id."""
-    kept = exact_dedup.exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.sha2(normalised(text_of("text")), 256) == F.col("_sha"))
-    return docs.join(kept, same, "left_semi")
+    """Of equal texts the row with the smallest id, and of several such rows one."""
+    root = work_dir(spark, "exact-stage")
+    rows = with_rows(docs, root, _sha=F.sha2(normalised(text_of("text")), 256))
+    kept = exact_dedup.exact_dedup(rows, root=f"{root}/exact").filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_text")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_text"))
+    one = rows.select("_row", "doc_id", "_sha").join(kept, same, "left_semi").groupBy("_sha").agg(F.min("_row").alias("_row"))
+    return rows.join(one.select("_row"), "_row", "left_semi").select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    kept = near_dedup.near_copies(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """One row of each group of near copies, the one with the smallest id; rows are compared whatever their ids."""
+    root = work_dir(spark, "near-stage")
+    rows = with_rows(docs, root)
+    groups = near_dedup.near_copies(rows, id_col="_row", root=f"{root}/near").select("_row", "class_id").join(rows.select("_row", "doc_id"), "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    one = groups.groupBy("class_id").agg(first.alias("first")).select(F.col("first._row").alias("_row"))
+    return rows.join(one, "_row", "left_semi").select(*docs.columns)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

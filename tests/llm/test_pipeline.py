@@ -1,13 +1,14 @@
 """Every stage of the pipeline on its own input, held against brute force."""
 
 import re
+import zlib
 from collections import defaultdict
 
 import corpus_pipeline as pipeline
 import numpy as np
 import pytest
 from test_near_dedup import brute as near_brute
-from treeline.llm import quality
+from treeline.llm import packing, quality
 from treeline.llm.shared import cut, work_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id string"
@@ -106,3 +107,29 @@ def test_run_is_the_stages_in_turn_and_takes_empty_tables(spark, sf):
     assert sorted(map(tuple, pipeline.run(spark, sf).select(key).collect())) == sorted(map(tuple, want.select(key).collect()))
     empty = docs.limit(0)
     assert all(stage(spark, empty, sf).count() == 0 for _, stage in pipeline.STAGES)
+
+
+def test_run_keeps_one_of_repeated_rows_and_null_ids(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    a, b, c, d, e = (" ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(120)) for _ in range(5))
+    near = d.split()
+    near[50] = "changed"
+    rows = [(1, a), (1, a), (None, b), (None, b), (None, b.replace(" ", "\t", 1)), (3, c), (None, c), (7, c), (None, d), (None, " ".join(near)), (1, e)]
+    home = work_dir(spark, "repeated")
+    table = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    table.write.parquet(f"{home}/documents.parquet")
+    monkeypatch.setattr(pipeline, "STAGES", pipeline.STAGES[1:])  # the classifier would drop such texts
+    got = pipeline.run(spark, home).select("doc_id", "piece", "length", "ids_crc32").collect()
+    encode = packing.encoder()
+
+    def of(doc, text):
+        ids = np.array([*encode(text), packing.END], dtype="<u4")
+        return [(doc, k, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(packing.cuts(len(ids), 1024))]
+
+    # of equal or near rows without ids any may stay
+    wants = [
+        sorted([*of(1, a), *of(None, x), *of(3, c), *of(None, y), *of(1, e)], key=str)
+        for x in (b, b.replace(" ", "\t", 1))
+        for y in (d, " ".join(near))
+    ]
+    assert sorted(map(tuple, got), key=str) in wants
