@@ -38,6 +38,26 @@ def test_shards_commit_once_and_old_versions_stay(spark):
         store.commit(store.manifest(2), 2)
 
 
+def test_shards_stay_whole_over_many_commits(spark):
+    schema = "doc_id long, text string, lang string"
+    rows = lambda ids, k: [(i, "x" * 50, f"commit {k}") for i in ids]
+    store = ShardStore(spark, fresh(), "doc_id", "text", target=4000, smallest=500)
+    have = []
+    # arrivals overlap, ids repeat or are null, and compactions follow each other
+    steps = [range(0, 105), range(55, 130), None, [None] * 30, [None] * 60, None, range(100, 190), range(190, 400), None, range(20), None]
+    for k, ids in enumerate(steps):
+        if ids is None:
+            store.compact()
+        else:
+            store.append(spark.createDataFrame(rows(ids, k), schema), F.floor(F.col("doc_id") / 10))
+            have += rows(ids, k)
+        assert sorted(map(tuple, store.read().select("doc_id", "text", "lang").collect()), key=str) == sorted(have, key=str)
+        total = store.manifest().agg(F.sum("rows"), F.sum("bytes")).first()
+        assert tuple(total) == (len(have), 50 * len(have))
+    small = store.manifest().filter("bytes < 4000").groupBy("tier").count().collect()
+    assert sum(r["count"] for r in small) < 10
+
+
 def test_archives_round_trip_and_show_damage(spark):
     html = "<p>é</p>" * 200
     rows = [(1, "http://a/ b%20\n", html), (2, None, html), (3, "u", None), (4, "u", "short"), (5, "u", "short"), (None, "n", html)]

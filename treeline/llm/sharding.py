@@ -13,7 +13,8 @@ arrival above the target is cut at target-sized steps, so no source or arrival m
 
 Defined results: null text counts as zero bytes and stays null; a null id goes to arrival -1;
 repeated rows are all kept; an empty table commits an empty manifest. Other columns are stored as
-they are, but for the store's own (_shard), which must not clash and is refused.
+they are, but for the store's own (_shard, _folder), which must not clash and are refused. Names of shards
+are given anew in each version: a shard is known by its folder and name together.
 """
 
 from __future__ import annotations
@@ -75,9 +76,13 @@ class ShardStore:
     def _size(self) -> F.Column:
         return F.coalesce(F.octet_length(F.col(self.text_col).cast("string")), F.lit(0)).cast("long")
 
+    def _rows(self, folders: list[str]) -> DataFrame:
+        """All rows of some folders, with _shard and _folder."""
+        return self.spark.read.option("basePath", f"{self.root}/shards").parquet(*[f"{self.root}/shards/_folder={x}" for x in folders])
+
     def append(self, docs: DataFrame, arrival: F.Column) -> int:
         """Store docs as one small shard for each arrival and commit."""
-        if "_shard" in docs.columns or "_arrival" in docs.columns:
+        if {"_shard", "_folder", "_arrival"} & set(docs.columns):
             raise ValueError("docs has a column of the store's own")
         based_on = self.version()
         folder = f"shards-{based_on + 1:06d}"
@@ -86,8 +91,8 @@ class ShardStore:
         cut_up = docs.withColumn("_arrival", F.coalesce(arrival.cast("long"), F.lit(-1).cast("long")))
         before = F.sum(self._size()).over(w) - self._size()
         named = cut_up.withColumn("_shard", F.format_string("a%012d-%05d", "_arrival", F.floor(before / self.target))).drop("_arrival")
-        named.write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
-        stored = self.spark.read.parquet(f"{self.root}/{folder}")
+        named.write.option("compression", "zstd").parquet(f"{self.root}/shards/_folder={folder}")
+        stored = self.spark.read.parquet(f"{self.root}/shards/_folder={folder}")
         size = F.sum(self._size())
         new = stored.groupBy(F.col("_shard").alias("shard")).agg(F.lit(folder).alias("folder"), F.count(F.lit(1)).alias("rows"), size.alias("bytes"))
         new = new.withColumn("tier", tier(F.col("bytes"), self.smallest, self.fanout, self.target))
@@ -97,41 +102,40 @@ class ShardStore:
         """Shards of the current version below the target, each with the name of the shard it goes to."""
         small = self.manifest().filter(F.col("bytes") < self.target)
         # metadata only, a row for each shard; each tier is summed up on its own
-        w = Window.partitionBy("tier").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        w = Window.partitionBy("tier").orderBy("shard", "folder").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         before = F.sum("bytes").over(w) - F.col("bytes")
         return small.withColumn("goal", F.format_string("m%02d-%012d", "tier", F.floor(before / self.target)))
 
     def compact(self) -> int:
         """Merge similarly sized shards into target-sized files and commit."""
         based_on = self.version()
-        plan = self.plan().select(F.col("shard").alias("_shard"), "folder", "goal")
+        plan = self.plan().select(F.col("shard").alias("_shard"), F.col("folder").alias("_folder"), "goal")
         folder = f"shards-{based_on + 1:06d}"
-        sources = [r["folder"] for r in plan.select("folder").distinct().collect()]  # one for each commit
+        sources = [r["_folder"] for r in plan.select("_folder").distinct().collect()]  # one for each commit
         if not sources:
             return based_on
         moves = plan.count()
-        plan = plan.drop("folder")
         if moves <= PLAN_BROADCAST:
             plan = F.broadcast(plan)
-        rows = self.spark.read.parquet(*[f"{self.root}/{x}" for x in sources]).join(plan, "_shard")
-        merged = rows.drop("_shard").withColumnRenamed("goal", "_shard")
+        rows = self._rows(sources).join(plan, ["_folder", "_shard"])
+        merged = rows.drop("_folder", "_shard").withColumnRenamed("goal", "_shard")
         # a goal holds at most about twice the target: one file of one task
-        merged.repartition("_shard").sortWithinPartitions("_shard", self.id_col).write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
-        stored = self.spark.read.parquet(f"{self.root}/{folder}")
+        merged.repartition("_shard").sortWithinPartitions("_shard", self.id_col).write.option("compression", "zstd").parquet(f"{self.root}/shards/_folder={folder}")
+        stored = self.spark.read.parquet(f"{self.root}/shards/_folder={folder}")
         new = stored.groupBy(F.col("_shard").alias("shard")).agg(F.lit(folder).alias("folder"), F.count(F.lit(1)).alias("rows"), F.sum(self._size()).alias("bytes"))
         new = new.withColumn("tier", tier(F.col("bytes"), self.smallest, self.fanout, self.target))
         stay = self.manifest(based_on).filter(F.col("bytes") >= self.target)
         return self.commit(stay.unionByName(new), based_on)
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version with their shard as _shard."""
+        """The rows of a version with their shard as _shard and its folder as _folder; the two together tell shards apart."""
         listed = self.manifest(version)
         folders = [r["folder"] for r in listed.select("folder").distinct().collect()]
         if not folders:
             raise ValueError("the version has no shards")
-        names = listed.select(F.col("shard").alias("_shard"))
+        names = listed.select(F.col("folder").alias("_folder"), F.col("shard").alias("_shard"))
         names = F.broadcast(names) if names.count() <= PLAN_BROADCAST else names
-        return self.spark.read.parquet(*[f"{self.root}/{x}" for x in folders]).join(names, "_shard", "left_semi")
+        return self._rows(folders).join(names, ["_folder", "_shard"], "left_semi")
 
 
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", arrival_rows: int = ARRIVAL_ROWS, target: int = TARGET, root: str | None = None) -> ShardStore:
