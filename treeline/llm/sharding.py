@@ -3,33 +3,42 @@
 Arrivals (runs of `arrival_rows` ids) are appended as small immutable shards. Compaction puts
 shards of a similar size (their tier: how often `fanout` fits into size / smallest size) side by
 side in id order and merges neighbours of a tier into files of about `target` bytes; a shard of the
-target's size stays as it is. Each change writes new folders and then one manifest version; the
-version's folder gets its name by a rename that fails if another writer took it, so readers see the
-old version or the new one, whole. Merged shards are never changed; superseded folders are only
-dropped from the manifest.
+target's size stays as it is. A shard is one file in a folder of its own. Each change writes new
+folders, a manifest aside, and then creates the file that names it a version; creating fails if
+another writer was first, so readers see the old version or the new one, whole. (A writer that is
+lost between creating and filling that file leaves it empty: it is no version, and must be deleted
+before others commit.) Shards are never changed; superseded ones are only dropped from the manifest.
 
 Sizes are bytes of text (not of compressed files), so the same rows always make the same shards. An
-arrival above the target is cut at target-sized steps, so no source or arrival meets in one task.
+arrival above the target is cut at target-sized steps, and one of over `MOST_ROWS` rows (ids that
+repeat or are null) is dealt out in parts of about that many, so no source or arrival meets in one task.
 
 Defined results: null text counts as zero bytes and stays null; a null id goes to arrival -1;
-repeated rows are all kept; an empty table commits an empty manifest. Other columns are stored as
-they are, but for the store's own (_shard, _folder), which must not clash and are refused. Names of shards
-are given anew in each version: a shard is known by its folder and name together.
+repeated rows are all kept; an empty table commits an empty manifest, which read() refuses and
+op4_sharding answers with no rows. Other columns are stored as they are, but for the store's own
+(_shard, _folder, _arrival, _part), which must not clash and are refused. Names of shards are given
+anew in each version: a shard is known by its folder and name together.
 """
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import table, work_dir
+from .shared import cut, table, work_dir
 
 ARRIVAL_ROWS = 1000  # ids of one arrival
 TARGET = 32 << 20  # bytes of text in a merged shard
 FANOUT = 4
 SMALLEST = 64 << 10  # shards of up to this size are of tier 0
+MOST_ROWS = 16_000  # of an arrival that is not dealt out
 PLAN_BROADCAST = 1_000_000  # shards; a larger plan is joined by a shuffle
 
+MANIFEST = "shard string, folder string, rows long, bytes long, tier int"
+
 
 def tier(size: F.Column, smallest: int, fanout: int, target: int) -> F.Column:
     """How many of smallest * fanout^k, below the target, the size reaches."""
@@ -55,21 +64,30 @@ class ShardStore:
         top = self._path(f"{self.root}/manifest")
         if not self._fs.exists(top):
             return 0
-        names = [s.getPath().getName() for s in self._fs.listStatus(top)]
-        return max([int(x[2:]) for x in names if x.startswith("v=")], default=0)
+        # a name without content is a commit under way
+        names = [s.getPath().getName() for s in self._fs.listStatus(top) if s.getLen() > 0]
+        return max([int(x[2:]) for x in names if x.startswith("v-")], default=0)
 
     def manifest(self, version: int | None = None) -> DataFrame:
         """Rows (shard, folder, rows, bytes, tier) of a version."""
         v = version or self.version()
-        return self.spark.read.parquet(f"{self.root}/manifest/v={v}").select("shard", "folder", "rows", "bytes", "tier")
+        stream = self._fs.open(self._path(f"{self.root}/manifest/v-{v:06d}"))
+        try:
+            rows = bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+        return self.spark.read.parquet(f"{self.root}/manifest/{rows}").select("shard", "folder", "rows", "bytes", "tier")
 
     def commit(self, rows: DataFrame, based_on: int) -> int:
-        """Write rows aside, then name them version based_on + 1; fails if that exists."""
-        aside = f"{self.root}/manifest/_aside-{based_on + 1}-{abs(hash(rows)) % 10**9}"
-        rows.coalesce(8).write.mode("overwrite").parquet(aside)
-        final = self._path(f"{self.root}/manifest/v={based_on + 1}")
-        if self._fs.exists(final) or not self._fs.rename(self._path(aside), final):
-            raise RuntimeError(f"version {based_on + 1} was committed by another writer")
+        """Write rows aside, then create the file that names them version based_on + 1; fails if it is there."""
+        name = f"rows-{based_on + 1:06d}-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.root}/manifest/{name}")
+        try:
+            out = self._fs.create(self._path(f"{self.root}/manifest/v-{based_on + 1:06d}"), False)  # exclusive
+        except Py4JJavaError as e:
+            raise RuntimeError(f"version {based_on + 1} was committed by another writer") from e
+        out.write(bytearray(name.encode()))
+        out.close()
         return based_on + 1
 
     # -- data -----------------------------------------------------------------------------------
@@ -77,53 +95,65 @@ class ShardStore:
         return F.coalesce(F.octet_length(F.col(self.text_col).cast("string")), F.lit(0)).cast("long")
 
     def _rows(self, folders: list[str]) -> DataFrame:
-        """All rows of some folders, with _shard and _folder."""
+        """All rows of some folders, with _shard and _folder, which are parts of the paths."""
         return self.spark.read.option("basePath", f"{self.root}/shards").parquet(*[f"{self.root}/shards/_folder={x}" for x in folders])
 
+    def _store(self, rows: DataFrame, folder: str) -> DataFrame:
+        """Write rows, a file for each _shard, and what the manifest says of them."""
+        rows.write.partitionBy("_shard").option("compression", "zstd").parquet(f"{self.root}/shards/_folder={folder}")
+        if not self._fs.globStatus(self._path(f"{self.root}/shards/_folder={folder}/_shard=*")):
+            return self.spark.createDataFrame([], MANIFEST)
+        new = self._rows([folder]).groupBy(F.col("_shard").alias("shard")).agg(F.lit(folder).alias("folder"), F.count(F.lit(1)).alias("rows"), F.sum(self._size()).alias("bytes"))
+        return new.withColumn("tier", tier(F.col("bytes"), self.smallest, self.fanout, self.target))
+
     def append(self, docs: DataFrame, arrival: F.Column) -> int:
         """Store docs as one small shard for each arrival and commit."""
-        if {"_shard", "_folder", "_arrival"} & set(docs.columns):
+        if {"_shard", "_folder", "_arrival", "_part"} & set(docs.columns):
             raise ValueError("docs has a column of the store's own")
         based_on = self.version()
-        folder = f"shards-{based_on + 1:06d}"
-        w = Window.partitionBy("_arrival").orderBy(self.id_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        # one arrival is bounded by its rows, whatever the table's size
-        cut_up = docs.withColumn("_arrival", F.coalesce(arrival.cast("long"), F.lit(-1).cast("long")))
-        before = F.sum(self._size()).over(w) - self._size()
-        named = cut_up.withColumn("_shard", F.format_string("a%012d-%05d", "_arrival", F.floor(before / self.target))).drop("_arrival")
-        named.write.option("compression", "zstd").parquet(f"{self.root}/shards/_folder={folder}")
-        stored = self.spark.read.parquet(f"{self.root}/shards/_folder={folder}")
-        size = F.sum(self._size())
-        new = stored.groupBy(F.col("_shard").alias("shard")).agg(F.lit(folder).alias("folder"), F.count(F.lit(1)).alias("rows"), size.alias("bytes"))
-        new = new.withColumn("tier", tier(F.col("bytes"), self.smallest, self.fanout, self.target))
+        folder = f"shards-{based_on + 1:06d}-{uuid.uuid4().hex[:8]}"
+        named = docs.withColumn("_arrival", F.coalesce(arrival.cast("long"), F.lit(-1).cast("long")))
+        # an arrival of too many rows is dealt out in parts
+        hot = named.groupBy("_arrival").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > MOST_ROWS).select("_arrival", F.ceil(F.col("_n") / MOST_ROWS).alias("_parts"))
+        hot = cut(hot, f"{self.root}/hot/{folder}")
+        few = hot.count() <= PLAN_BROADCAST
+        named = named.join(F.broadcast(hot) if few else hot, "_arrival", "left")
+        # the row's own number, as a part may consist of equal rows
+        named = named.withColumn("_part", F.when(F.col("_parts").isNull(), -1).otherwise(F.pmod(F.xxhash64(F.monotonically_increasing_id()), "_parts"))).drop("_parts")
+        w = Window.partitionBy("_arrival", "_part").orderBy(self.id_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        step = F.floor((F.sum(self._size()).over(w) - self._size()) / self.target)
+        name = F.when(F.col("_part") < 0, F.format_string("a%012d-%05d", "_arrival", step)).otherwise(F.format_string("a%012d-%05d-%05d", "_arrival", "_part", step))
+        new = self._store(named.withColumn("_shard", name).drop("_arrival", "_part"), folder)
         return self.commit(self.manifest(based_on).unionByName(new) if based_on else new, based_on)
 
     def plan(self) -> DataFrame:
-        """Shards of the current version below the target, each with the name of the shard it goes to."""
-        small = self.manifest().filter(F.col("bytes") < self.target)
-        # metadata only, a row for each shard; each tier is summed up on its own
-        w = Window.partitionBy("tier").orderBy("shard", "folder").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        before = F.sum("bytes").over(w) - F.col("bytes")
-        return small.withColumn("goal", F.format_string("m%02d-%012d", "tier", F.floor(before / self.target)))
+        """Shards of the current version below the target, each with the name of the shard it goes to.
+
+        Metadata only, a row for each shard. Names that begin alike are summed up on their own, so a
+        task holds the shards of one beginning, or a row for each beginning.
+        """
+        small = self.manifest().filter(F.col("bytes") < self.target).withColumn("_begin", F.substring("shard", 1, 10))
+        w = Window.partitionBy("tier", "_begin").orderBy("shard", "folder").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        sums = small.groupBy("tier", "_begin").agg(F.sum("bytes").alias("_sum"))
+        over = Window.partitionBy("tier").orderBy("_begin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        sums = sums.select("tier", "_begin", (F.sum("_sum").over(over) - F.col("_sum")).alias("_base"))
+        before = F.col("_base") + F.sum("bytes").over(w) - F.col("bytes")
+        goal = F.format_string("m%02d-%012d", "tier", F.floor(before / self.target))
+        return small.join(sums, ["tier", "_begin"]).withColumn("goal", goal).drop("_begin", "_base")
 
     def compact(self) -> int:
         """Merge similarly sized shards into target-sized files and commit."""
         based_on = self.version()
-        plan = self.plan().select(F.col("shard").alias("_shard"), F.col("folder").alias("_folder"), "goal")
-        folder = f"shards-{based_on + 1:06d}"
+        plan = cut(self.plan().select(F.col("shard").alias("_shard"), F.col("folder").alias("_folder"), "goal"), f"{self.root}/plans/{based_on:06d}-{uuid.uuid4().hex[:8]}")
+        folder = f"shards-{based_on + 1:06d}-{uuid.uuid4().hex[:8]}"
         sources = [r["_folder"] for r in plan.select("_folder").distinct().collect()]  # one for each commit
         if not sources:
             return based_on
-        moves = plan.count()
-        if moves <= PLAN_BROADCAST:
+        if plan.count() <= PLAN_BROADCAST:
             plan = F.broadcast(plan)
-        rows = self._rows(sources).join(plan, ["_folder", "_shard"])
-        merged = rows.drop("_folder", "_shard").withColumnRenamed("goal", "_shard")
-        # a goal holds at most about twice the target: one file of one task
-        merged.repartition("_shard").sortWithinPartitions("_shard", self.id_col).write.option("compression", "zstd").parquet(f"{self.root}/shards/_folder={folder}")
-        stored = self.spark.read.parquet(f"{self.root}/shards/_folder={folder}")
-        new = stored.groupBy(F.col("_shard").alias("shard")).agg(F.lit(folder).alias("folder"), F.count(F.lit(1)).alias("rows"), F.sum(self._size()).alias("bytes"))
-        new = new.withColumn("tier", tier(F.col("bytes"), self.smallest, self.fanout, self.target))
+        merged = self._rows(sources).join(plan, ["_folder", "_shard"]).drop("_folder", "_shard").withColumnRenamed("goal", "_shard")
+        # a goal holds at most about twice the target: one task writes it, as one file
+        new = self._store(merged.repartition("_shard").sortWithinPartitions("_shard", self.id_col), folder)
         stay = self.manifest(based_on).filter(F.col("bytes") >= self.target)
         return self.commit(stay.unionByName(new), based_on)
 
@@ -148,7 +178,10 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", arriv
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, shard, n_bytes and text_sha256 of every stored row, read back from the committed version."""
-    rows = shard(table(spark, sf_dir, "documents")).read()
+    store = shard(table(spark, sf_dir, "documents"))
+    if store.manifest().isEmpty():
+        return spark.createDataFrame([], "doc_id long, shard string, n_bytes long, text_sha256 string")
+    rows = store.read()
     text = F.coalesce(F.col("text"), F.lit(""))
     return rows.select("doc_id", F.col("_shard").alias("shard"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"))
 
