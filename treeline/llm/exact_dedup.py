@@ -2,9 +2,14 @@
 
 An arrival's rows gather in memtables (its input splits). A memtable flushes as a run sorted by
 digest, one entry per digest: smallest id and count. Compaction merges `fanout` runs of a
-generation at a time and keeps the smallest identifier. A fixed-size bit filter over the digests
-that occur more than once lets the second scan pass only hits, and hits are compared byte by byte:
-they are grouped by their whole text, so a digest collision splits into its texts.
+generation at a time and keeps the smallest identifier and the count: these are the answer. A bit
+filter over the compacted run's digests that occur more than once lets the second scan pass only hits,
+and hits are compared byte by byte: a digest that turns out to hold several texts is answered by its
+whole texts instead. The filter's size is bounded; beyond some 10^8 repeated digests it passes more
+texts than hits, at worst all of them, each shuffled once.
+
+Runs carry no filters of their own: an arrival's runs are all merged before the first lookup, which
+the one filter over the last run serves.
 
 Defined results: null text counts as empty; empty texts equal each other; a null id sorts after
 every id (a group of null ids keeps them all, its keep_id is null); rows that repeat an id and its
@@ -90,10 +95,6 @@ class MergeIndex:
         self.levels = [merged]
         return merged
 
-    def lookup(self, digests: DataFrame) -> DataFrame:
-        """digests (digest, ...) with keep and n, null where the index has none."""
-        return digests.join(self.compact().drop("run"), "digest", "left")
-
 
 def exact_dedup(
     docs: DataFrame,
@@ -115,17 +116,12 @@ def exact_dedup(
     index.append(entries.select("id", "digest"))
     repeated = index.compact().filter("n > 1").select("digest", "keep", "n")
 
-    # hits: the filter drops other texts before anything is shuffled
+    # byte verification: the filter drops other texts before anything is shuffled
     found = bit_filter(repeated, "digest", repeated.count())
     hits = may_contain(whole.select("id", "norm", digest(F.col("norm")).alias("digest")), "digest", found)
     texts = hits.groupBy("digest", "norm").agg(F.min("id").alias("keep"), F.count(F.lit(1)).alias("n"))
-    verified = cut(
-        texts.groupBy("digest").agg(F.min("keep").alias("keep"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")).filter("n > 1"),
-        f"{root}/verified",
-    )
-    answer = entries.join(verified.filter("texts = 1").select("digest", "keep", "n"), "digest", "left")
-    answer = answer.select("id", "digest", "sha", "keep", "n")
-    split = verified.filter("texts > 1").select("digest")
+    split = cut(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("digest"), f"{root}/split")
+    answer = entries.join(repeated, "digest", "left").select("id", "digest", "sha", "keep", "n")
     if not split.isEmpty():
         # one digest, several texts: decide by the text itself
         by_text = hits.join(split, "digest", "left_semi").select("id", sha256(F.col("norm")).alias("sha"), "digest", "norm")
