@@ -11,7 +11,7 @@ response and the others revisit it; a revisit holds the response's HTTP head, wi
 length, and its digest, but no payload.
 
 Defined results: a null payload counts as empty; null URLs are left out of the record; equal
-payloads are told by SHA-1 and length; records that repeat the largest page_id are all responses;
+payloads are told by SHA-1, SHA-256 and length; records that repeat the largest page_id are all responses;
 a null page_id is smaller than any other (a group of null ids is all responses); an empty table
 gives an empty index. Columns other than those named are not read.
 """
@@ -29,11 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, table, work_dir
+from .shared import cut, slices, table, work_dir
 
 LEAST = 1000  # payloads of fewer bytes are never revisits
 ROLL = 1 << 30  # bytes of an archive before a task begins another
 CHUNK = 8 << 20  # bytes of one range read
+TASK = 128 << 20  # bytes of archives that one task reads
 GAP = 64 << 10  # bytes between selected records that are read and dropped
 
 INDEX = "file string, offset long, length long, page_id long, url string, digest string, record_type string, refers_to long"
@@ -106,11 +107,11 @@ def with_revisits(pages: DataFrame, id_col: str, url_col: str, payload_col: str,
     """page_id, url, payload, digest, refers_to and whether the record is a revisit."""
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumns({"digest": F.sha1("payload"), "n": F.length("payload")})
+    rows = rows.withColumns({"digest": F.sha1("payload"), "n": F.length("payload"), "same": F.unhex(F.sha2("payload", 256))})
     large = rows.filter(F.col("n") >= least)
     # ids and digests alone are gathered, and by map-side sums; the payloads move once
-    keepers = large.groupBy("digest", "n").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
-    rows = rows.join(keepers, ["digest", "n"], "left")
+    keepers = large.groupBy("digest", "same", "n").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
+    rows = rows.join(keepers, ["digest", "same", "n"], "left")
     revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     return rows.select("page_id", "url", "payload", "digest", F.when(revisit, F.col("keeper")).alias("refers_to"), revisit.alias("revisit"))
 
@@ -180,8 +181,11 @@ def read_selected(selected: DataFrame, root: str) -> DataFrame:
                 if rows:
                     yield _frame(rows)
 
-    # a large archive is dealt out by chunks of it
-    dealt = selected.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / CHUNK))
+    # a large archive is dealt out by chunks of it, over as many tasks as its bytes ask for
+    spark = selected.sparkSession
+    total = selected.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(slices(total, TASK), min(spark.sparkContext.defaultParallelism, slices(total, CHUNK)))
+    dealt = selected.select("file", "offset", "length").repartition(tasks, "file", F.floor(F.col("offset") / CHUNK))
     return dealt.sortWithinPartitions("file", "offset").mapInPandas(read, RECORD)
 
 
