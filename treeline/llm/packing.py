@@ -3,8 +3,10 @@
 Documents become pieces of at most `size` tokens; only documents that are longer are cut, and then
 into full pieces with the shorter one first. The histogram of piece lengths (at most `size` bins,
 whatever the input) is all that the driver sees. Patterns of up to three lengths that fill a
-sequence exactly are fitted to it by non-negative least squares, the repeat counts are rounded down to
-what the histogram holds, and the residual lengths are packed best-fit decreasing. The plan is a
+sequence exactly are fitted to it by non-negative least squares, the repeat counts are rounded to
+what the histogram holds, the residual is fitted again, and what then is left is packed best-fit
+decreasing. Of several such plans, from patterns of few repeats on or of many, the one of the fewest
+sequences stays; none has more than best fit decreasing alone. The plan is a
 list of runs (length, first rank, count, first sequence, offset), again bounded by the bins and
 patterns; each piece finds its run by its rank among the pieces of its length.
 
@@ -15,6 +17,7 @@ of any length is cut as above.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from array import array
@@ -33,6 +36,8 @@ END = 2  # id that closes each document
 SPECIAL = "<|endoftext|>"  # in a text, the JSON tokenizer alone treats it as one id
 LONG_RUN = 100_000  # blanks in a row; from about a million on the rank twin's regex engine panics
 BLANK_RUN = re.compile(r"(?<!\s)\s{%d}" % LONG_RUN)  # begins at runs only, so that the search is linear
+LEAST = (0.5, 1, 4, 16, 64, math.inf)  # fewest repeats of the patterns that a plan takes
+ROUND = 0.5  # repeat counts are rounded to the nearest, as far as the histogram holds
 PER_SALT = 50_000_000  # pieces for each part in which a length is ranked, and the most parts
 MAX_SALTS = 4096
 
@@ -121,40 +126,35 @@ def fit(histogram: np.ndarray, pats: np.ndarray, rounds: int = 400) -> np.ndarra
     return x
 
 
-def plan(histogram: np.ndarray, size: int = SIZE) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Runs (length, first rank, count, first sequence, offset) and the number of sequences.
-
-    histogram[l]: pieces of l tokens. It is bounded by size, and so are all loops here by bins and patterns.
-    """
-    left = histogram.astype(np.int64).copy()
-    recipes: list[tuple[tuple[int, ...], int]] = []  # lengths of a sequence, how often
-    if left[size]:
-        recipes.append(((size,), int(left[size])))
-        left[size] = 0
-    if left.sum():
-        pats = patterns(size)
-        x = fit(left, pats)
-        for i in np.argsort(-x, kind="stable"):
-            if x[i] < 1:
-                break
-            need = Counter(int(v) for v in pats[i] if v)
-            times = min(int(x[i]), *(int(left[v]) // k for v, k in need.items()))
-            if times:
-                recipes.append((tuple(int(v) for v in pats[i] if v), times))
-                for v, k in need.items():
-                    left[v] -= k * times
-    # residual: best fit decreasing over groups of equal sequences
+def from_patterns(histogram: np.ndarray, pats: np.ndarray, x: np.ndarray, least: float) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+    """Recipes (lengths of a sequence, how often) of the patterns with repeat counts of at least `least`,
+    rounded to what the histogram holds, and the residual histogram."""
+    left, recipes = histogram.copy(), []
+    for i in np.argsort(-x, kind="stable"):
+        if x[i] < least:
+            break
+        need = Counter(int(v) for v in pats[i] if v)
+        times = min(int(x[i] + ROUND), *(int(left[v]) // k for v, k in need.items()))
+        if times:
+            recipes.append((tuple(int(v) for v in pats[i] if v), times))
+            for v, k in need.items():
+                left[v] -= k * times
+    return recipes, left
+
+
+def best_fit(histogram: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
+    """Recipes of best fit decreasing, over groups of equal sequences."""
     rooms: list[int] = []  # free tokens that some open group has, sorted
-    open_groups: dict[int, list[list]] = defaultdict(list)  # free tokens -> [lengths, how often]
+    open_groups: dict[int, list[tuple]] = defaultdict(list)  # free tokens -> (lengths, how often)
 
     def put(lengths: tuple[int, ...], times: int) -> None:
         free = size - sum(lengths)
         if not open_groups[free]:
             insort(rooms, free)
-        open_groups[free].append([lengths, times])
+        open_groups[free].append((lengths, times))
 
     for length in range(size, 0, -1):
-        n = int(left[length])
+        n = int(histogram[length])
         while n:
             k = bisect_left(rooms, length)
             if k == len(rooms):
@@ -175,13 +175,35 @@ def plan(histogram: np.ndarray, size: int = SIZE) -> tuple[list[tuple[int, int,
                 put(lengths, times - used)
             put((*lengths, length), used)
             n -= used
-    recipes += [(tuple(g), t) for free in sorted(open_groups) for g, t in open_groups[free]]
-    runs, taken, sequence = [], Counter(), 0
-    for lengths, times in recipes:
+    return [(g, t) for free in sorted(open_groups) for g, t in open_groups[free]]
+
+
+def plan(histogram: np.ndarray, size: int = SIZE) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """Runs (length, first rank, count, first sequence, offset) and the number of sequences.
+
+    histogram[l]: pieces of l tokens. It is bounded by size, and so are all loops here by bins and
+    patterns. Patterns are taken from several repeat counts on, the residual is packed best-fit, and
+    the plan of the fewest sequences stays; from no pattern at all on, it is best fit alone.
+    """
+    left = histogram.astype(np.int64).copy()
+    full = [((size,), int(left[size]))] if left[size] else []
+    left[size] = 0
+    recipes: list[tuple[tuple[int, ...], int]] = []
+    if left.sum():
+        pats = patterns(size)
+        x = fit(left, pats)
+        tried = []
+        for least in LEAST:
+            taken, rest = from_patterns(left, pats, x, least)
+            again, rest = from_patterns(rest, pats, fit(rest, pats), least) if taken and rest.sum() else ([], rest)
+            tried.append(taken + again + best_fit(rest, size))
+        recipes = min(tried, key=lambda r: sum(t for _, t in r))
+    runs, count, sequence = [], Counter(), 0
+    for lengths, times in full + recipes:
         offset = 0
         for length in lengths:
-            runs.append((length, taken[length], times, sequence, offset))
-            taken[length] += times
+            runs.append((length, count[length], times, sequence, offset))
+            count[length] += times
             offset += length
         sequence += times
     return runs, sequence
