@@ -50,11 +50,26 @@ def test_query_is_brute_force(spark, sf):
 
 def test_nulls_repeats_and_empty_tables(spark):
     schema = "vec_id long, embedding array<float>"
-    got = embeddings.near_vectors(spark.createDataFrame([(None, [1.0, 0.0]), (5, [1.0, 0.0]), (5, [1.0, 0.0]), (7, [0.0, 1.0])], schema)).collect()
-    assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0) for r in got) == [(0, 0, 0), (5, 1, 5), (5, 1, 5), (7, 0, 7)]
+    triples = lambda rows: sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in embeddings.near_vectors(spark.createDataFrame(rows, schema)).collect())
+    a, b = [1.0, 0.0], [0.0, 1.0]
+    assert triples([(None, a), (5, a), (5, a), (7, b)]) == [(0, 2, 5, False), (5, 2, 5, True), (5, 2, 5, True), (7, 0, 7, True)]
+    # rows that repeat an id are told apart, in any order
+    rows = [(1, a), (1, b), (2, a), (3, [1.0, 0.1]), (4, [1.0, 0.2]), (5, None), (5, [0.1, 1.0]), (None, None), (None, [-1.0, 0.0])]
+    want = sorted([(1, 3, 1, True), (1, 1, 1, True), (2, 3, 1, False), (3, 3, 1, False), (4, 3, 1, False), (5, 0, 5, True), (5, 1, 1, False), (0, 0, 0, True), (0, 0, 0, True)])
+    assert triples(rows) == want == triples(rows[::-1])
     assert embeddings.near_vectors(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_planes_between_pivots_keep_vectors_out(spark, monkeypatch):
+    """Clusters far apart: each vector stays in few cells, and nothing is lost."""
+    monkeypatch.setattr(embeddings, "CELL", 40)
+    rng = np.random.default_rng(7)
+    base = embeddings.unit_rows(rng.standard_normal((10, 4)).tolist())[0]
+    vectors = [(base[i % 10] + 0.04 * rng.standard_normal(4)).tolist() for i in range(400)]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    assert result(embeddings.near_vectors(df, cosine=0.97)) == brute(range(400), vectors, 0.97)
+
+
 def test_components(spark):
     import tempfile
 

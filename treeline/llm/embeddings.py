@@ -3,17 +3,21 @@
 Cosine >= 0.9 is an angle of at most r, and angles are a metric. A bounded number of pivots spread
 over a bounded sample gives each vector its home, the nearest pivot. By the triangle inequality a
 vector within r of one whose home is q has an angle to q of at most R_q + r (R_q: the widest angle
-of q's own vectors) and of at most its own nearest angle + 2 r; vectors that satisfy both are
-copied into cell q, and then each cell finds the links of its own vectors alone. A large cell is
+of q's own vectors) and of at most its own nearest angle + 2 r, and is within r of the plane halfway
+between q and its own home; vectors that satisfy all three are copied into cell q, and then each cell
+finds the links of its own vectors alone. Pivots grow with the table, one for CELL vectors, up to
+MAX_PIVOTS for a length; beyond 33 million vectors cells grow instead. A large cell is
 dealt out as blocks of its own vectors against blocks of all it holds, so no task holds more than
 two blocks. A block returns counts and, for components, the edges of a spanning forest: at most one
 row for each vector it holds, however many links there are. Products are compared in single
 precision where that is certain and else in double.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, link with
-nothing: n_links 0, component_id their own id. Vectors of different lengths never link. Rows that
-repeat an id are one vector each: they link with one another if alike; a null id links with
-nothing. An empty table gives no rows. Labels and other columns are not read.
+nothing: n_links 0, component_id their own id. Vectors of different lengths never link. Every row is
+a vector of its own, compared whatever its id: rows that repeat an id have links and components of
+their own, and so have rows with a null id, whose component_id is the smallest id of their component,
+null if it has none (kept is then true). An empty table gives no rows. Labels and other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -30,9 +34,10 @@ from .shared import cut, slices, table, work_dir
 
 COSINE = 0.9
 SAMPLE = 4096  # vectors that pivots are chosen from
-MAX_PIVOTS = 256
+MAX_PIVOTS = 4096
 CELL = 8192  # vectors that a pivot is meant for
 BLOCK = 4096  # vectors of one block
+STRIP = 1024  # vectors whose angles to all pivots are held at once
 SLACK = 1e-7  # of angles, for rounding
 UNSURE = 1e-4  # single-precision cosines nearer to the bound are computed again
 
@@ -50,22 +55,28 @@ def unit_rows(raw: list) -> tuple[np.ndarray, np.ndarray]:
     return x[at] / size[at, None], at
 
 
-def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """id, dims, unit (doubles as bytes) of vectors that can link."""
+UNITS = "row long, id long, no_id boolean, dims int, unit binary"
+
+
+def unit_table(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """UNITS: every row with a number of its own; dims 0 and no unit (doubles as bytes) where it can link with nothing."""
 
     def run(frames):
         for pdf in frames:
+            dims, unit = np.zeros(len(pdf), dtype=np.int32), np.full(len(pdf), None, dtype=object)
             groups: dict[int, list[int]] = {}
             for i, v in enumerate(pdf["v"]):
                 if v is not None and len(v):
                     groups.setdefault(len(v), []).append(i)
-            for dims, at in groups.items():
+            for d, at in groups.items():
                 x, ok = unit_rows([[math.nan if c is None else c for c in pdf["v"].iloc[i]] for i in at])
-                ids = pdf["id"].to_numpy()[at][ok]
-                yield pd.DataFrame({"id": ids.astype(np.int64), "dims": np.int32(dims), "unit": [r.tobytes() for r in x]})
+                for i, r in zip(np.array(at)[ok], x):
+                    dims[i], unit[i] = d, r.tobytes()
+            yield pdf[["row", "id", "no_id"]].assign(dims=dims, unit=unit)
 
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    return rows.filter("id is not null and v is not null").mapInPandas(run, "id long, dims int, unit binary")
+    key = F.col(id_col).cast("long")
+    rows = vectors.select(F.monotonically_increasing_id().alias("row"), F.coalesce(key, F.lit(0).cast("long")).alias("id"), key.isNull().alias("no_id"), F.col(vec_col).cast("array<double>").alias("v"))
+    return rows.mapInPandas(run, UNITS)
 
 
 def matrix(units) -> np.ndarray:
@@ -124,70 +135,83 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     """One row per row of vectors: id_col, n_links, component_id, kept."""
     spark = vectors.sparkSession
     root = root or work_dir(spark, "vectors")
-    good = cut(usable(vectors, id_col, vec_col), f"{root}/units")
+    every = cut(unit_table(vectors, id_col, vec_col), f"{root}/units")
+    good = every.filter("dims > 0").select("row", "dims", "unit")
     reach = math.acos(cosine) + SLACK
     sizes = {r["dims"]: r["n"] for r in good.groupBy("dims").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each vector length
     pivots: dict[int, np.ndarray] = {}
     for dims, n in sizes.items():
-        few = good.filter(F.col("dims") == dims).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("unit").collect()
-        pivots[dims] = spread(matrix([r["unit"] for r in few]), min(MAX_PIVOTS, slices(n, CELL)))
+        k = min(MAX_PIVOTS, slices(n, CELL))
+        if k == 1:  # one cell, whatever its pivot
+            pivots[dims] = np.eye(1, dims)
+            continue
+        few = good.filter(F.col("dims") == dims).orderBy(F.xxhash64("unit"), "row").limit(min(SAMPLE, 16 * k)).select("unit").collect()
+        pivots[dims] = spread(matrix([r["unit"] for r in few]), k)
     shared = spark.sparkContext.broadcast(pivots)
 
+    def strips(pdf):
+        """Rows of one length, so many that their angles to all pivots stay small."""
+        for dims, part in pdf.groupby("dims"):
+            for at in range(0, len(part), STRIP):
+                some = part.iloc[at : at + STRIP]
+                yield dims, some, angles(matrix(some["unit"].tolist()), shared.value[dims])
+
     def homes(frames):
         for pdf in frames:
-            for dims, part in pdf.groupby("dims"):
-                theta = angles(matrix(part["unit"].tolist()), shared.value[dims])
+            for _, part, theta in strips(pdf):
                 cell = theta.argmin(axis=1)
                 yield part.assign(cell=cell.astype(np.int32), theta=theta[np.arange(len(part)), cell])
 
-    placed = cut(good.mapInPandas(homes, "id long, dims int, unit binary, cell int, theta double"), f"{root}/homes")
+    placed = cut(good.mapInPandas(homes, "row long, dims int, unit binary, cell int, theta double"), f"{root}/homes")
     # a row for each cell: at most MAX_PIVOTS for a length
     own = {(r["dims"], r["cell"]): (r["n"], r["widest"]) for r in placed.groupBy("dims", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("theta").alias("widest")).collect()}
     reach_of = spark.sparkContext.broadcast({d: np.array([own.get((d, q), (0, -10.0))[1] for q in range(len(p))]) for d, p in pivots.items()})
 
     def cells(frames):
         for pdf in frames:
-            for dims, part in pdf.groupby("dims"):
-                theta = angles(matrix(part["unit"].tolist()), shared.value[dims])
-                widest = reach_of.value[dims]
+            for dims, part, theta in strips(pdf):
+                widest, home = reach_of.value[dims], part["cell"].to_numpy()
                 goes = (theta <= widest + reach + SLACK) & (theta <= part["theta"].to_numpy()[:, None] + 2 * reach + SLACK) & (widest >= 0)
-                goes[np.arange(len(part)), part["cell"].to_numpy()] = True
+                # the plane between both pivots parts the cells: its angle to the vector, by the pivots' chord
+                chord = 2 * np.sin(angles(shared.value[dims], shared.value[dims]) / 2)[home]
+                goes &= np.cos(part["theta"].to_numpy())[:, None] - np.cos(theta) <= math.sin(min(reach, math.pi / 2)) * chord + SLACK
+                goes[np.arange(len(part)), home] = True
                 i, q = np.nonzero(goes)
-                yield pd.DataFrame({"id": part["id"].to_numpy()[i], "dims": np.int32(dims), "unit": part["unit"].to_numpy()[i], "cell": q.astype(np.int32), "own": q == part["cell"].to_numpy()[i]})
+                yield pd.DataFrame({"row": part["row"].to_numpy()[i], "dims": np.int32(dims), "unit": part["unit"].to_numpy()[i], "cell": q.astype(np.int32), "own": q == home[i]})
 
-    copied = placed.mapInPandas(cells, "id long, dims int, unit binary, cell int, own boolean")
+    copied = placed.mapInPandas(cells, "row long, dims int, unit binary, cell int, own boolean")
     held = {(r["dims"], r["cell"]): r["n"] for r in copied.groupBy("dims", "cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = [(d, q, slices(own.get((d, q), (0, 0))[0], BLOCK), slices(n, BLOCK)) for (d, q), n in held.items()]
     blocks = F.broadcast(spark.createDataFrame(plan or [(0, 0, 1, 1)], "dims int, cell int, homes int, others int"))
-    dealt = copied.join(blocks, ["dims", "cell"]).withColumn("at", F.xxhash64("id"))
-    mine = dealt.filter("own").select("dims", "cell", F.pmod("at", "homes").alias("h"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("others").cast("long") - 1)).alias("o"), F.lit(True).alias("home"), "id", "unit")
-    all_ = dealt.select("dims", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("homes").cast("long") - 1)).alias("h"), F.pmod("at", "others").alias("o"), F.lit(False).alias("home"), "id", "unit")
+    dealt = copied.join(blocks, ["dims", "cell"]).withColumn("at", F.xxhash64("row"))
+    mine = dealt.filter("own").select("dims", "cell", F.pmod("at", "homes").alias("h"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("others").cast("long") - 1)).alias("o"), F.lit(True).alias("home"), "row", "unit")
+    all_ = dealt.select("dims", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("homes").cast("long") - 1)).alias("h"), F.pmod("at", "others").alias("o"), F.lit(False).alias("home"), "row", "unit")
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         is_home = pdf["home"].to_numpy()
         a, b = pdf[is_home], pdf[~is_home]
-        empty = pd.DataFrame({"id": np.array([], dtype=np.int64), "to": np.array([], dtype=np.int64), "n": np.array([], dtype=np.int64)})
+        empty = pd.DataFrame({"row": np.array([], dtype=np.int64), "to": np.array([], dtype=np.int64), "n": np.array([], dtype=np.int64)})
         if a.empty or b.empty:
             return empty
-        ids, others = a["id"].to_numpy(), b["id"].to_numpy()
+        rows, others = a["row"].to_numpy(), b["row"].to_numpy()
         links = linked(matrix(a["unit"].tolist()), matrix(b["unit"].tolist()), cosine)
         n = links.sum(axis=1)  # a vector meets itself in one block of its home: taken off once, below
         some = n > 0
-        edges = forest(links, ids, others)
-        out = [pd.DataFrame({"id": ids[some], "to": ids[some], "n": n[some].astype(np.int64)})]
+        edges = forest(links, rows, others)
+        out = [pd.DataFrame({"row": rows[some], "to": rows[some], "n": n[some].astype(np.int64)})]
         if edges:
             e = np.array(edges, dtype=np.int64)
-            out.append(pd.DataFrame({"id": e[:, 0], "to": e[:, 1], "n": np.int64(0)}))
+            out.append(pd.DataFrame({"row": e[:, 0], "to": e[:, 1], "n": np.int64(0)}))
         return pd.concat(out)
 
-    found = cut(mine.unionByName(all_).groupBy("dims", "cell", "h", "o").applyInPandas(join, "id long, to long, n long"), f"{root}/found")
-    groups = components(found.filter("n = 0").select(F.col("id").alias("a"), F.col("to").alias("b")), f"{root}/components")
-    links = found.filter("n > 0").groupBy("id").agg(F.sum("n").alias("n"))
-    # a repeated id: each of its rows counted itself and the others
-    rows = good.groupBy("id").agg(F.count(F.lit(1)).alias("copies"))
-    per_id = rows.join(links, "id", "left").select("id", (F.coalesce("n", F.col("copies")) / F.col("copies") - 1).cast("long").alias("n_links"))
-    answer = vectors.select(F.col(id_col).cast("long").alias("id")).join(per_id, "id", "left").join(groups.withColumnRenamed("node", "id"), "id", "left")
-    component = F.coalesce("component", "id")
+    found = cut(mine.unionByName(all_).groupBy("dims", "cell", "h", "o").applyInPandas(join, "row long, to long, n long"), f"{root}/found")
+    groups = components(found.filter("n = 0").select(F.col("row").alias("a"), F.col("to").alias("b")), f"{root}/components")
+    links = found.filter("n > 0").groupBy("row").agg((F.sum("n") - 1).alias("n_links"))
+    ids = every.select("row", F.when(~F.col("no_id"), F.col("id")).alias("id"))
+    members = ids.join(groups.withColumnRenamed("node", "row"), "row")
+    firsts = members.groupBy("component").agg(F.min("id").alias("first"))  # combined before the shuffle
+    answer = ids.join(links, "row", "left").join(members.join(firsts, "component").select("row", "first"), "row", "left")
+    component = F.coalesce("first", "id")
     return answer.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 

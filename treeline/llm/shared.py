@@ -51,6 +51,18 @@ def fold_of(id_col: F.Column) -> F.Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(5))
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it as long as df has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def slices(rows: int, each: int) -> int:
     """How many parts of about `each` rows, at least one."""
     return max(1, math.ceil(rows / each))
