@@ -74,5 +74,17 @@ def test_band_is_the_full_alignment():
 def test_nulls_repeats_and_empty_tables(spark):
     schema = "doc_id long, text string"
     got = near.near_copies(spark.createDataFrame([(None, "a b c"), (3, "a b c"), (3, "a b c"), (2, "a b c")], schema)).collect()
-    assert sorted((r["doc_id"] or 0, r["class_id"] or 0, r["kept"]) for r in got) == [(0, 0, True), (2, 2, True), (3, 2, False), (3, 2, False)]
+    assert sorted((r["doc_id"] or 0, r["class_id"] or 0, r["kept"]) for r in got) == [(0, 2, False), (2, 2, True), (3, 2, False), (3, 2, False)]
     assert near.near_copies(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_rows_that_repeat_an_id_keep_their_own_classes(spark):
+    rng = np.random.default_rng(3)
+    a, b = (" ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(80)) for _ in range(2))
+    near_b = b.split()
+    near_b[40] = "changed"
+    rows = [(1, a), (1, b), (2, " ".join(near_b)), (None, a.upper()), (None, "on its own"), (7, " \t")]
+    want = sorted([(1, 1, True), (1, 1, True), (2, 1, False), (0, 1, False), (0, 0, True), (7, 7, True)])
+    for order in (rows, rows[::-1], rows[1:] + rows[:1]):
+        got = near.near_copies(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert sorted((r["doc_id"] or 0, r["class_id"] or 0, r["kept"]) for r in got) == want

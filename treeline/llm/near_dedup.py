@@ -7,7 +7,7 @@ shingles gives L / (a + b - L) >= 0.8: the Jaccard similarity of the sequences i
 * Sketch: each of SKETCHES hashes picks the PICKS smallest occurrence-labelled shingles, kept in text
   order; texts that share a pick in the same order share a bucket. At similarity 0.8 a sketch agrees
   with probability about 0.5, so a pair escapes all with probability under 1e-6.
-* Texts of the same words are one class, of which the smallest id is compared.
+* Texts of the same words are one class and compared as one, whatever ids they have.
 * In each bucket every class is compared with the bucket's smallest; this is a row for each member,
   not for each pair. Links make components. Buckets whose other members still lie in several
   components are compared within tasks, a block against a block, blocks bounded by texts and by
@@ -17,10 +17,10 @@ shingles gives L / (a + b - L) >= 0.8: the Jaccard similarity of the sequences i
 * Alignment: pairs that differ by more than (a + b) / 9 insertions and deletions cannot be near
   copies, so the alignment is confined to that band, bit-parallel.
 
-Defined results: null text is empty; texts without words are near copies of nothing; a null id links
-with nothing, its class_id is null and it is kept; rows that repeat an id are one document of that
-id, whatever their texts, and linked through all of them; an empty table gives no rows. Other
-columns are not read.
+Defined results: null text is empty; texts without words are near copies of nothing; each row is a
+document of its own, so rows that repeat an id with other texts lie in classes of their own, in any
+order of rows; a null id is larger than any other: its class_id is the smallest id of its class, null
+if that has none (kept is then true); an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .exact_dedup import bit_filter, may_contain
-from .shared import batches, cut, table, text_of, work_dir
+from .shared import batches, cut, normalised, table, text_of, work_dir
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -184,47 +184,51 @@ def compared(ready: list, reps: np.ndarray, block: np.ndarray | None, part: np.n
     return out
 
 
+SKETCH = "row long, doc_id long, no_id boolean, key binary, keys array<long>, size long"
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, s1, s2 (which words, in order), keys, size in characters; texts with words only."""
+    """SKETCH of (row, doc_id, no_id, key, text); texts without words have no key and no keys."""
 
     def run(frames):
-        import xxhash
-
         hashes = WordHashes()
         for pdf in frames:
             for part in batches([pdf], BATCH, "text"):
-                rows = []
-                for doc, text in zip(part["doc_id"].tolist(), part["text"]):
+                key, keys = part["key"].tolist(), []
+                for i, text in enumerate(part["text"]):
                     words = tokens(text)
-                    if words:
-                        same = xxhash.xxh3_128_digest(b" ".join(words))
-                        keys = sketch(shingles(words, hashes)).view(np.int64)
-                        rows.append((doc, int.from_bytes(same[:8], "little", signed=True), int.from_bytes(same[8:], "little", signed=True), keys, len(text)))
-                yield pd.DataFrame(rows, columns=["doc_id", "s1", "s2", "keys", "size"])
+                    keys.append(sketch(shingles(words, hashes)).view(np.int64) if words else [])
+                    if not words:
+                        key[i] = None
+                yield part[["row", "doc_id", "no_id"]].assign(key=key, keys=keys, size=part["text"].str.len())
 
-    return docs.filter("doc_id is not null").mapInPandas(run, "doc_id long, s1 long, s2 long, keys array<long>, size long")
+    return docs.mapInPandas(run, SKETCH)
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", root: str | None = None) -> DataFrame:
     """One row per row of docs: id_col, class_id (smallest id of its near copies), kept."""
     spark = docs.sparkSession
     root = root or work_dir(spark, "near")
-    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    made = cut(sketches(whole), f"{root}/sketches")
-    classes = cut(made.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.max("size").alias("size")), f"{root}/classes")
-    same = made.join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).select("doc_id", "rep")
+    text, doc = text_of(text_col), F.col(id_col).cast("long")
+    whole = docs.select(F.coalesce(doc, F.lit(0).cast("long")).alias("doc_id"), doc.isNull().alias("no_id"), F.unhex(F.md5(F.trim(normalised(text)))).alias("key"), text.alias("text"))
+    made = cut(sketches(whole.withColumn("row", F.monotonically_increasing_id())), f"{root}/sketches")
+    classes = made.filter("key is not null").groupBy("key").agg(
+        F.min("row").alias("rep"), F.min(F.when(~F.col("no_id"), F.col("doc_id"))).alias("first"), F.min(F.struct("doc_id", "no_id")).alias("one"), F.first("keys").alias("keys"), F.max("size").alias("size")
+    )
+    classes = cut(classes, f"{root}/classes")
 
     members = classes.select("rep", "size", F.posexplode("keys").alias("j", "key")).select("rep", "size", F.xxhash64("j", "key").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("leader")).filter("n > 1")
     inside = cut(members.join(buckets, "bucket"), f"{root}/members")
     pairs = cut(inside.filter("rep <> leader").groupBy("leader", "rep").agg(F.count(F.lit(1)).alias("shared")).drop("shared"), f"{root}/pairs")
 
-    # texts of the classes that meet others; the filter drops the rest before a shuffle
-    wanted = inside.select("rep").distinct()
-    found = bit_filter(wanted, "rep", wanted.count())
-    few = may_contain(whole.withColumnRenamed("doc_id", "rep"), "rep", found)
-    # an id that repeats with other texts is compared by one of them
-    texts = cut(few.join(wanted, "rep", "left_semi").groupBy("rep").agg(F.first("text").alias("text")), f"{root}/texts")
+    # texts of the classes that meet others; the filter drops the rest, and all but one id's rows of a class, before a shuffle
+    row_of = lambda key, one: F.xxhash64(key, F.when(~one["no_id"], one["doc_id"]))
+    wanted = cut(classes.join(inside.select("rep").distinct(), "rep").select("rep", "key", row_of(F.col("key"), F.col("one")).alias("which")), f"{root}/wanted")
+    found = bit_filter(wanted, "which", wanted.count())
+    few = may_contain(whole.select("key", row_of(F.col("key"), F.struct("doc_id", "no_id")).alias("which"), "text"), "which", found)
+    texts = few.groupBy("key").agg(F.first("text").alias("text"))  # of the same words: any of them
+    texts = cut(texts.join(wanted.select("rep", "key"), "key").select("rep", "text"), f"{root}/texts")
     both = pairs.join(texts, "rep").join(texts.select(F.col("rep").alias("leader"), F.col("text").alias("other")), "leader")
 
     def verify(frames):
@@ -262,12 +266,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     more = mine.join(texts, "rep").groupBy("bucket", "i", "j").applyInPandas(within, "a long, b long")
-    # an id with several texts joins its classes
-    joined = same.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    linked = components(links.unionByName(more).unionByName(joined).distinct(), f"{root}/components")
-    answer = whole.select("doc_id").join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    class_id = F.coalesce("component", "doc_id")
-    return answer.select(F.col("doc_id").alias(id_col), class_id.alias("class_id"), F.col("doc_id").eqNullSafe(class_id).alias("kept"))
+    linked = components(links.unionByName(more).distinct(), f"{root}/components").withColumnRenamed("node", "rep")
+    # the smallest id of each component, for its classes and then for their rows
+    linked = classes.select("rep", "first").join(linked, "rep").select("rep", "first", "component")
+    firsts = linked.groupBy("component").agg(F.min("first").alias("least"))
+    linked = linked.join(firsts, "component").select("rep", "least")
+    of_key = classes.select("rep", "key", "first").join(linked, "rep", "left").select("key", F.coalesce("least", "first").alias("class_id"))
+    rows = made.select("key", F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id")).join(of_key, "key", "left")
+    class_id = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
+    return rows.select(F.col("doc_id").alias(id_col), class_id.alias("class_id"), F.col("doc_id").eqNullSafe(class_id).alias("kept"))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
