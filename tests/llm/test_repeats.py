@@ -61,6 +61,44 @@ def test_empty_and_clashing_columns(spark):
     assert run(spark.createDataFrame([(1, None, "x", "y")], schema)) == brute([(1, None)])
 
 
+def test_equal_rows_share_one_set_of_spans(spark):
+    rng = np.random.default_rng(1)
+    text = "".join(rng.choice(list("abcdefgh"), 2000))
+    size = {}
+    for n in (2, 2000):
+        df = spark.range(n, numPartitions=4).selectExpr("cast(null as long) as doc_id", f"'{text}' as text")
+        size[n] = {len(r["_spans"]) for r in repeats.with_spans(df).collect()}
+    assert size[2] == size[2000] and len(size[2]) == 1
+
+
+def test_ranks_are_those_of_sorted_strings(spark):
+    from treeline.llm.shared import work_dir
+
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("aab"), n)) for n in (300, 90, 19, 20)] + ["ab" * 40, "a" * 100, "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
+    for length in (20, 8, 5):
+        place = {(d, i): t[i : i + length] for d, t in enumerate(texts) if t for i in range(len(t) - length + 1)}
+        count = Counter(place.values())
+        want = sorted((k for k, s in place.items() if count[s] > 1), key=lambda k: (place[k], k))
+        got = {(r["doc"], r["pos"]): r["rank"] for r in repeats.ranks(df, work_dir(spark, "ranks"), length).collect()}
+        assert sorted(got, key=lambda k: (got[k], k)) == want
+        assert all((got[x] == got[y]) == (place[x] == place[y]) for x, y in zip(want, want[1:]))
+
+
+def test_ranks_give_the_operator_s_spans(spark, sf):
+    """The dealt method in its plain form against the registered query, on some whole texts."""
+    from treeline.llm.shared import work_dir
+
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rows = [(d, t) for d, t in rows if len(t) < 3000]
+    gone = {d: np.zeros(len(t.encode()), dtype=bool) for d, t in rows}
+    for r in repeats.ranks(spark.createDataFrame(rows, "doc long, text string"), work_dir(spark, "ranks")).collect():
+        gone[r["doc"]][r["pos"] : r["pos"] + 200] = True
+    got = run(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r[0]: r[2] for r in got} == {d: int(g.sum()) for d, g in gone.items()} and any(g.any() for g in gone.values())
+
+
 def test_slabs(monkeypatch):
     rng = np.random.default_rng(0)
     for letters in (4, 1):

@@ -1,9 +1,11 @@
-"""Repeated byte strings: rank doubling over content-defined positions.
+"""Repeated byte strings: anchored window hashing with splitting of runs, in place of prefix doubling.
 
-A byte goes if a string of `length` bytes that covers it starts anywhere else, too. Strings of
-`GRAM` bytes are ranked first, then longer and longer ones around the same positions; a position
-leaves as soon as its string is unique (nothing longer can repeat) or as all strings of the full
-length around it repeat, so each round ranks a small part of the one before.
+A byte goes if a string of `length` bytes that covers it starts anywhere else, too. This is not the
+prefix doubling of suffix arrays: no rank is made of two ranks. `ranks` below is, in its plain form;
+it sorts every byte position in every round, which the README's figures rule out for whole corpora.
+Here strings of `GRAM` bytes are counted first, then longer and longer ones around the same positions;
+a position leaves as soon as its string is unique (nothing longer can repeat) or as all strings of the
+full length around it repeat, so each round counts a small part of the one before.
 
 Which positions: sorting every byte position is a row for each byte of the corpus and round. Every
 window of `length` bytes instead names one anchor, the leftmost smallest hash among its GRAM-byte
@@ -16,18 +18,18 @@ name it, which start lo to hi bytes before it; in each round a run of starts is
 * split into shorter runs otherwise: SPANS starts in the rounds, 153 to 1. What they share grows from
   GRAM bytes to the full length.
 
-Ranking needs equality only: a rank is a hash, and its multiplicity a map-side sum, so a passage in
-every document costs a row for each task. A fixed-size bit filter lets scans pass only anchors whose
+Equality is all that is needed: a string is known by its hash, and its multiplicity is a map-side
+sum, so a passage in every document costs a row for each task. A fixed-size bit filter lets scans pass only anchors whose
 GRAM-byte string is found twice. What decides a removal is a 128-bit hash; shorter hashes only prune.
 
 Defined results: null text is empty; texts under `length` bytes lose nothing; rows that repeat an id
 or the whole row are separate documents, and so repeat each other; a null id is an id; an empty table
-gives no rows. A text of any length is worked in slabs.
+gives no rows. A text of any length is worked in slabs. Other columns come along untouched, whatever
+their names.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import batches, cut, table, text_of, work_dir
+from .shared import batches, cut, free, table, text_of, work_dir
 
 LENGTH = 200
 GRAM = 48
@@ -118,14 +120,6 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return at[keep], g[keep], lo[keep], hi[keep]
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with _doc and _hash, which tell rows apart but for equal ones, and _text without nulls."""
-    text = text_of(text_col)
-    return docs.withColumns(
-        {"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long")), "_hash": F.xxhash64(text, F.col(id_col).isNull()), "_text": text}
-    )
-
-
 def bit_filter(hashes: DataFrame, expected: int):
     """A numpy bit array of the hashes (column g); its size is bounded by MAX_FILTER_BITS."""
     bits = 32768
@@ -231,21 +225,12 @@ def spans_of(rows: DataFrame) -> DataFrame:
     return rows.select("doc", "hash", (F.col("pos") - F.col("hi")).alias("s"), (F.col("pos") - F.col("lo") + LENGTH).alias("e"))
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of shuffle files of finished steps; Spark drops them when the driver's garbage goes."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeated_spans(texts: DataFrame, root: str) -> DataFrame:
     """(doc, hash, spans): for each keyed row with repeats, arrays (s, e) whose union goes."""
-    spark = texts.sparkSession
     full, many = ["f1", "f2"], F.count(F.lit(1)).alias("n")
 
     def stored(df: DataFrame, name: str) -> DataFrame:
-        out = cut(df, f"{root}/{name}")
-        release(spark)
-        return out
+        return cut(df, f"{root}/{name}")
 
     twice = stored(count_grams(texts).filter("n > 1").select("g"), "twice")
     known = bit_filter(twice, twice.count())
@@ -279,7 +264,37 @@ def repeated_spans(texts: DataFrame, root: str) -> DataFrame:
     spans = parts[0]
     for p in parts[1:]:
         spans = spans.unionByName(p)
-    return stored(spans.groupBy("doc", "hash").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+    # equal rows share a key: what they have in common comes once
+    return stored(spans.distinct().groupBy("doc", "hash").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+
+
+def reranked(rows: DataFrame, root: str) -> DataFrame:
+    """(doc, pos, key) -> (doc, pos, rank): keys in order get growing ranks; positions of a key found once leave."""
+    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    order = cut(several.repartitionByRange("key").sortWithinPartitions("key").select("key", F.monotonically_increasing_id().alias("rank")), f"{root}-order")
+    return cut(rows.join(order, "key").select("doc", "pos", "rank"), root)
+
+
+def ranks(texts: DataFrame, root: str, length: int = LENGTH) -> DataFrame:
+    """Prefix doubling over (doc, text): (doc, pos, rank) of the positions whose string of `length` bytes
+    is found at another position, too; equal strings share a rank, and ranks grow as strings do.
+
+    The strings of 8 bytes are ranked first. Each round pairs the ranks at p and p + offset, the offset
+    growing with the length that is ranked, sorts the pairs and ranks them. A position that leaves takes
+    those with it whose pair needs it: a string that holds a unique one is unique. doc must tell rows
+    apart. This is a row for each byte and round.
+    """
+    raw, h = text_of("text").cast("binary"), min(8, length)
+    rows = texts.select("doc", raw.alias("raw")).filter(F.length("raw") >= length)
+    rows = rows.select("doc", "raw", F.explode(F.sequence(F.lit(0), F.length("raw") - h)).alias("pos"))
+    now = reranked(rows.select("doc", "pos", F.expr(f"substring(raw, pos + 1, {h})").alias("key")), f"{root}/ranks-{h}")
+    while h < length:
+        offset = min(h, length - h)
+        after = now.select("doc", (F.col("pos") - offset).alias("pos"), F.col("rank").alias("second"))
+        pairs = now.join(after, ["doc", "pos"]).select("doc", "pos", F.struct("rank", "second").alias("key"))
+        h += offset
+        now = reranked(pairs, f"{root}/ranks-{h}")
+    return now
 
 
 def union_of(spans) -> list[tuple[int, int]]:
@@ -301,11 +316,16 @@ def cut_out(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, raw[at:]])
 
 
-def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", root: str | None = None) -> DataFrame:
-    """docs with _doc, _hash, _text and spans (null: nothing goes)."""
-    rows = keyed(docs, id_col, text_col)
-    spans = repeated_spans(rows.select("_doc", "_hash", "_text"), root or work_dir(docs.sparkSession, "repeats"))
-    return rows.join(spans.select(F.col("doc").alias("_doc"), F.col("hash").alias("_hash"), F.col("spans").alias("_spans")), ["_doc", "_hash"], "left")
+def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", root: str | None = None, text_as: str = "_text", spans_as: str = "_spans") -> DataFrame:
+    """docs with its text (null: empty) as text_as and spans as spans_as (null: nothing goes)."""
+    doc, key = free(docs, "_doc", "_hash")
+    text = text_of(text_col)
+    # doc and key tell rows apart but for equal ones, which lose the same
+    number = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long"))
+    rows = docs.withColumns({doc: number, key: F.xxhash64(text, F.col(id_col).isNull()), text_as: text})
+    spans = repeated_spans(rows.select(F.col(doc).alias("_doc"), F.col(key).alias("_hash"), F.col(text_as).alias("_text")), root or work_dir(docs.sparkSession, "repeats"))
+    spans = spans.select(F.col("doc").alias(doc), F.col("hash").alias(key), F.col("spans").alias(spans_as))
+    return rows.join(spans, [doc, key], "left").drop(doc, key)
 
 
 DIGESTS = T.StructType([T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())])
