@@ -133,3 +133,20 @@ def test_run_keeps_one_of_repeated_rows_and_null_ids(spark, monkeypatch):
         for y in (d, " ".join(near))
     ]
     assert sorted(map(tuple, got), key=str) in wants
+
+
+def test_stages_keep_columns_of_any_name(spark, sf, monkeypatch):
+    names = ["_id", "_sha", "_text", "_doc", "_hash", "_spans", "_row", "component", "rep", "keep", "digest", "group", "doc", "row", "Text_"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    wide = docs.selectExpr("*", *[f"concat('{n}', doc_id) as `{n}`" for n in names])
+    for _, stage in pipeline.STAGES[:-1]:
+        wide = cut(stage(spark, wide, sf), work_dir(spark, "wide"))
+        assert wide.columns == docs.columns + names
+        rows = wide.select("doc_id", *names).collect()
+        assert rows and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+    home = work_dir(spark, "wide")
+    docs.selectExpr("*", *[f"concat('{n}', doc_id) as `{n}`" for n in names]).write.parquet(f"{home}/documents.parquet")
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(f"{home}/labels.parquet")
+    key = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    a, b = (sorted(map(tuple, pipeline.run(spark, x).select(key).collect())) for x in (home, sf))
+    assert a == b

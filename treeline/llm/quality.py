@@ -1,6 +1,7 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-Document frequencies of hashed terms cover all documents. A bounded sample of labelled rows
+Document frequencies of hashed terms cover all documents; terms share FEATURES features by their
+crc32, a bound that does not grow with the vocabulary (README: what it costs). A bounded sample of labelled rows
 (`sample` of them, the smallest by a hash of the id) gives the latent space, a truncated singular
 value decomposition of their tf-idf vectors, and is broadcast as the labelled vectors: at most
 sample * dims numbers. Every document's vector is compared with all labelled ones, a block at a
@@ -11,7 +12,8 @@ word in capitals and a word equal to the one before. Labels, language, source an
 
 Defined results: null and empty texts, and texts whose vector is zero, get the labelled sample's
 mean label; without any label that is 0.5. A document with several label rows has their majority,
-ties count as 1; null labels are left out. Ids that repeat are scored row by row.
+ties count as 1; null labels are left out. Ids that repeat are scored row by row; the text of the
+smallest hash among a repeated id's rows teaches. Empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -136,12 +138,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
         hashed = Hashed()
         for pdf in frames:
             found = [counts(t, hashed) for t in pdf["_text"]]
-            yield pd.DataFrame({"_id": pdf["_id"], "feature": [f for f, _ in found], "n": [n for _, n in found], "label": pdf["_label"]})
+            yield pd.DataFrame({"_id": pdf["_id"], "hash": pdf["_hash"], "feature": [f for f, _ in found], "n": [n for _, n in found], "label": pdf["_label"]})
 
-    texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(chosen.withColumnRenamed(id_col, "_id")), "_id")
+    texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"), F.xxhash64(text_of(text_col)).alias("_hash")).join(F.broadcast(chosen.withColumnRenamed(id_col, "_id")), "_id")
     kind = docs.schema[id_col].dataType.simpleString()
-    made = texts.mapInPandas(run, f"_id {kind}, feature array<int>, n array<int>, label int")
-    return made.dropDuplicates(["_id"]).orderBy("_id").toArrow().to_pylist()
+    made = texts.mapInPandas(run, f"_id {kind}, hash long, feature array<int>, n array<int>, label int")
+    one = made.groupBy("_id").agg(F.min(F.struct("hash", "feature", "n", "label")).alias("x"))
+    return one.orderBy("_id").select("x.*").toArrow().to_pylist()
 
 
 def scorer(
