@@ -1,8 +1,9 @@
 """Corpus pipeline: quality, exact dedup, near dedup, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir), works on every row that its predecessor kept, and returns
-the columns of docs (extra ones, too), but for the last, which returns pieces with their places. Rows
-are told apart by a stored key of their own, so null and repeated ids are documents like others. A text that loses repeated passages keeps its row, with n_chars counted anew.
+the columns of docs (extra ones, too, whatever their names), but for the last, which returns pieces
+with their places. Rows are told apart by a stored key of their own, so null and repeated ids are
+documents like others. A text that loses repeated passages keeps its row, with n_chars counted anew.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.llm import exact_dedup, near_dedup, packing, quality, repeats
-from treeline.llm.shared import cut, normalised, table, text_of, work_dir
+from treeline.llm.shared import cut, free, normalised, table, text_of, work_dir
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,34 +21,39 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return docs.filter(good(text_of("text")) >= quality.THRESHOLD)
 
 
-def with_rows(docs: DataFrame, root: str, **more: F.Column) -> DataFrame:
-    """docs, stored, with a key of each row as _row."""
-    return cut(docs.withColumns({"_row": F.monotonically_increasing_id(), **more}), f"{root}/rows", codec="snappy")
+def with_rows(docs: DataFrame, root: str, row: str, **more: F.Column) -> DataFrame:
+    """docs, stored, with a key of each row."""
+    return cut(docs.withColumns({row: F.monotonically_increasing_id(), **more}), f"{root}/rows", codec="snappy")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest id, and of several such rows one."""
     root = work_dir(spark, "exact-stage")
-    rows = with_rows(docs, root, _sha=F.sha2(normalised(text_of("text")), 256))
-    kept = exact_dedup.exact_dedup(rows, root=f"{root}/exact").filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_text")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_text"))
-    one = rows.select("_row", "doc_id", "_sha").join(kept, same, "left_semi").groupBy("_sha").agg(F.min("_row").alias("_row"))
-    return rows.join(one.select("_row"), "_row", "left_semi").select(*docs.columns)
+    row, sha = free(docs, "_row", "_sha")
+    rows = with_rows(docs, root, row, **{sha: F.sha2(normalised(text_of("text")), 256)})
+    kept = exact_dedup.exact_dedup(rows, root=f"{root}/exact").filter("kept").select(F.col("doc_id").alias("keep"), F.col("text_sha256").alias("digest")).distinct()
+    keys = rows.select(F.col(row).alias("row"), F.col("doc_id").alias("doc"), F.col(sha).alias("sha"))
+    same = F.col("doc").eqNullSafe(F.col("keep")) & (F.col("sha") == F.col("digest"))
+    one = keys.join(kept, same, "left_semi").groupBy("sha").agg(F.min("row").alias(row))
+    return rows.join(one.select(row), row, "left_semi").select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies, the one with the smallest id; rows are compared whatever their ids."""
     root = work_dir(spark, "near-stage")
-    rows = with_rows(docs, root)
-    groups = near_dedup.near_copies(rows, id_col="_row", root=f"{root}/near").select("_row", "class_id").join(rows.select("_row", "doc_id"), "_row")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
-    one = groups.groupBy("class_id").agg(first.alias("first")).select(F.col("first._row").alias("_row"))
-    return rows.join(one, "_row", "left_semi").select(*docs.columns)
+    (row,) = free(docs, "_row")
+    rows = with_rows(docs, root, row)
+    ids = rows.select(F.col(row).alias("row"), F.col("doc_id").alias("doc"))
+    groups = near_dedup.near_copies(rows, id_col=row, root=f"{root}/near").select(F.col(row).alias("row"), F.col("class_id").alias("group")).join(ids, "row")
+    first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row"))
+    one = groups.groupBy("group").agg(first.alias("first")).select(F.col("first.row").alias(row))
+    return rows.join(one, row, "left_semi").select(*docs.columns)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that are found elsewhere, too."""
-    rows = repeats.with_spans(docs).withColumn("text", repeats.kept_text("_text", "_spans"))
+    text, spans = free(docs, "_text", "_spans")
+    rows = repeats.with_spans(docs, text_as=text, spans_as=spans).withColumn("text", repeats.kept_text(text, spans))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)
