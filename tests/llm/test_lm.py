@@ -60,7 +60,69 @@ def test_exchange_raises_likelihood(spark):
     for a, _, n in pairs:
         counts[a] += n
     bigrams = spark.createDataFrame(pairs, "a int, b int, n long")
-    values = [lm.likelihood(lm.exchange(bigrams, counts, rounds=r, classes=3)[1]) for r in (0, 8)]
-    to, _ = lm.exchange(bigrams, counts, rounds=8, classes=3)
+    values = [lm.likelihood(lm.exchange(bigrams, counts, rounds=r, classes=6)[1]) for r in (0, lm.ROUNDS)]
+    to, _ = lm.exchange(bigrams, counts, classes=6)
     assert values[1] > values[0]
-    assert len(set(to[1:21])) == 1 and len(set(to[21:41])) == 1 and to[1] != to[21]
+    assert not set(to[1:21]) & set(to[21:41])
+
+
+@pytest.mark.parametrize("hot,gather", [(200_000, 4_000_000), (40, 500)])
+def test_score_is_the_class_model_of_all_words(spark, sf, monkeypatch, hot, gather):
+    """Counts beside words, the lexicon's classes and every score, against one plain pass."""
+    from treeline.llm.shared import work_dir
+
+    monkeypatch.setattr(lm, "HOT", hot)
+    monkeypatch.setattr(lm, "GATHER", gather)
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [(None, None), (7, "new"), (7, "New new")]
+    root = work_dir(spark, "lm")
+    got = lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), root=root).collect()
+    known = {bytes(r["word"]): (r["n"], r["class"]) for r in spark.read.parquet(f"{root}/lexicon").collect()}
+    split = [(d, lm.words(t or ""), zlib.crc32(("" if d is None else str(d)).encode()) % 5 == 1) for d, t in rows]
+    count = Counter(w for _, x, out in split if not out for w in x)
+    assert {w: n for w, (n, _) in known.items()} == count
+    assert all((c == lm.ONCE) == (n == 1) or w in dict(count.most_common(lm.UNITS)) for w, (n, c) in known.items())
+    assert len({c for _, c in known.values()}) > 10
+    of = lambda x: [0, *(known[w][1] if w in known else lm.ONCE for w in x), 0]
+    g = np.zeros((lm.CLASSES, lm.CLASSES))
+    for _, x, out in split:
+        if not out:
+            c = of(x)
+            np.add.at(g, (c[:-1], c[1:]), 1)
+    kinds = Counter(c for _, c in known.values()) + Counter([0])
+    ends = sum(not out for *_, out in split)
+    share = (g.sum(axis=0) + 0.5) / (g.sum() + 0.5 * lm.CLASSES)
+
+    def score(x):
+        c, total = of(x), 0.0
+        for a, b, w in zip(c, c[1:], [*x, None]):
+            n = ends if w is None else known.get(w, (0,))[0]
+            total += math.log10((g[a, b] + lm.PRIOR * share[b]) / (g[a].sum() + lm.PRIOR))
+            total += math.log10((n + 0.5) / (g[:, b].sum() + 0.5 * (kinds[b] + 1)))
+        return total
+
+    want = sorted((str(d), len(x) + 1, score(x)) for d, x, _ in split)
+    have = sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in got)
+    for a, b in zip(want, have, strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-9)
+
+
+def test_words_go_to_the_class_of_their_like(spark, monkeypatch):
+    """Words too rare to be units fall to the units that stand in the same places."""
+    monkeypatch.setattr(lm, "UNITS", 8)
+    monkeypatch.setattr(lm, "OTHER", 9)
+    monkeypatch.setattr(lm, "TOTAL", 10)
+    monkeypatch.setattr(lm, "WIDE", 20)
+    monkeypatch.setattr(lm, "UNIT_NAMES", [u.to_bytes(2, "little") for u in range(10)])
+    monkeypatch.setattr(lm, "CLASSES", 4)
+    from treeline.llm.shared import work_dir
+
+    rng = np.random.default_rng(4)
+    nouns, verbs = [f"noun{i}" for i in range(4)], [f"verb{i}" for i in range(4)]
+    say = lambda a, b: " ".join(str(w) for _ in range(40) for w in (rng.choice(a), rng.choice(b)))
+    texts = [say(nouns, verbs) for _ in range(30)] + [f"noun0 rareverb noun1 verb1 rarenoun verb2 {say(nouns, verbs)}"] * 3
+    root = work_dir(spark, "lm")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lm.lm_scores(df, train=lm.F.lit(True), root=root)
+    c = {r["word"].decode(): r["class"] for r in spark.read.parquet(f"{root}/lexicon").collect()}
+    assert len({c[w] for w in nouns}) == 1 == len({c[w] for w in verbs}) and c["noun0"] != c["verb0"]
+    assert c["rarenoun"] == c["noun0"] and c["rareverb"] == c["verb0"]
