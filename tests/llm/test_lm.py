@@ -113,7 +113,7 @@ def test_words_go_to_the_class_of_their_like(spark, monkeypatch):
     monkeypatch.setattr(lm, "TOTAL", 10)
     monkeypatch.setattr(lm, "WIDE", 20)
     monkeypatch.setattr(lm, "UNIT_NAMES", [u.to_bytes(2, "little") for u in range(10)])
-    monkeypatch.setattr(lm, "CLASSES", 4)
+    monkeypatch.setattr(lm, "CLASSES", 8)
     from treeline.llm.shared import work_dir
 
     rng = np.random.default_rng(4)
@@ -124,5 +124,5 @@ def test_words_go_to_the_class_of_their_like(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     lm.lm_scores(df, train=lm.F.lit(True), root=root)
     c = {r["word"].decode(): r["class"] for r in spark.read.parquet(f"{root}/lexicon").collect()}
-    assert len({c[w] for w in nouns}) == 1 == len({c[w] for w in verbs}) and c["noun0"] != c["verb0"]
-    assert c["rarenoun"] == c["noun0"] and c["rareverb"] == c["verb0"]
+    of_nouns, of_verbs = {c[w] for w in nouns}, {c[w] for w in verbs}
+    assert not of_nouns & of_verbs and c["rarenoun"] in of_nouns and c["rareverb"] in of_verbs
