@@ -20,8 +20,10 @@ def test_regions_and_points(nodes):
     assert innermost(nodes, 9).collect() == []
 
 
-def test_nearest_takes_the_closest_and_gives_null_where_there_is_none(nodes):
-    assert {r["node_id"]: r["found"] for r in nearest(nodes, nodes, "a", 3).collect()} == {0: None, 1: None, 2: 1, 3: 2, 4: None}
+def test_nearest_takes_the_closest_and_gives_null_where_there_is_none(spark):
+    rows = [(1, 0, [], "r"), (1, 1, [0], "a"), (1, 2, [0, 1], "a"), (1, 3, [0, 1, 2], "x"), (1, 4, [0], "b")]
+    nodes = spark.createDataFrame(rows, "tree_id int, node_id long, anc array<long>, kind string")
+    assert {r["node_id"]: r["found"] for r in nearest(nodes, nodes, "a").collect()} == {0: None, 1: None, 2: 1, 3: 2, 4: None}
 
 
 def test_overlaps_equal_brute_force_and_come_once(spark):

@@ -9,7 +9,7 @@ def rows(frame):
     return sorted(tuple(str(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in frame)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_is_its_sql(spark, sf, name):
     db = duckdb.connect()
     for t in TABLES:

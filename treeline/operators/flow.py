@@ -17,3 +17,21 @@ def control_flow(rows: DataFrame, region: str, order: tuple[str, ...], kind: str
         F.array_join(F.sort_array(F.collect_set(F.when(leaves, F.col(kind)))), ",").alias("kinds"),
         (~F.coalesce(F.max_by(leaves, F.struct(*order)), F.lit(False))).alias("end_reachable"),
     )
+
+
+def region_sets(accesses: DataFrame, first: int, last: int) -> DataFrame:
+    """accesses (var, pos, is_write) -> flags of each variable that the region [first, last] touches.
+
+    flows_in: read in the region before it is written there, and written earlier; flows_out: written
+    there and read later; declared: written there and not touched earlier. One aggregate, combined
+    before the shuffle.
+    """
+    inside, write, pos = F.col("pos").between(first, last), F.col("is_write"), F.col("pos")
+    any_ = lambda c: F.coalesce(F.max(c), F.lit(False))
+    f = accesses.groupBy("var").agg(
+        any_(inside & ~write).alias("read_inside"), any_(inside & write).alias("written_inside"), any_(pos < first).alias("earlier"), any_(write & (pos < first)).alias("written_before"),
+        any_(~write & (pos > last)).alias("read_after"), F.min(F.when(inside & ~write, pos)).alias("r"), F.min(F.when(inside & write, pos)).alias("w"),
+    )
+    f = f.filter("read_inside or written_inside")
+    flows_in = F.expr("read_inside and written_before and (w is null or r < w)")
+    return f.select("var", "read_inside", "written_inside", flows_in.alias("flows_in"), F.expr("written_inside and read_after").alias("flows_out"), F.expr("written_inside and not earlier").alias("declared"))

@@ -2,32 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.folders import shared_dir
+
 
-def shared_dir(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", "")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/graph-{uuid.uuid4().hex[:12]}"
+def reach(starts: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """starts (node), edges (src, dst) -> (start, node, depth): all nodes within `depth` edges (None: any number), at their least depth."""
+    spark, root = starts.sparkSession, shared_dir(starts.sparkSession, "graph")
 
+    def stored(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{root}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{root}/{name}")
 
-def reach(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """starts (node), edges (src, dst) -> (start, node, depth): all nodes within `depth` edges, at their least depth."""
-    spark, root = starts.sparkSession, shared_dir(starts.sparkSession)
-    edges = edges.select("src", "dst").distinct()
-    front = starts.select(F.col("node").alias("start"), "node").distinct()
-    seen = front.withColumn("depth", F.lit(0))
-    for d in range(1, depth + 1):
+    edges = stored(edges.select("src", "dst").distinct(), "edges")
+    front = stored(starts.select(F.col("node").alias("start"), "node").distinct(), "0")
+    seen, d = front.withColumn("depth", F.lit(0)), 0
+    while depth is None or d < depth:
+        d += 1
         after = front.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
-        after = after.join(seen.select("start", "node"), ["start", "node"], "left_anti")
-        after.write.parquet(f"{root}/{d}")
-        front = spark.read.schema(after.schema).parquet(f"{root}/{d}")
+        front = stored(after.join(seen.select("start", "node"), ["start", "node"], "left_anti"), str(d))
         if front.isEmpty():
             break
         seen = seen.unionByName(front.withColumn("depth", F.lit(d)))

@@ -17,18 +17,16 @@ def innermost(nodes: DataFrame, at: int) -> DataFrame:
     return around.groupBy("tree_id").agg(F.max_by(F.struct(*nodes.columns), "node_id").alias("n")).select("n.*")
 
 
-def nearest(context: DataFrame, nodes: DataFrame, kind: str, depth: int) -> DataFrame:
-    """Each context row with `found`, the node_id of its nearest ancestor of the kind, climbing at most `depth` parents.
+def nearest(context: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
+    """Each context row with `found`, the node_id of its nearest ancestor of the kind; null if there is none.
 
-    Each climb is an equi-join on (tree, node), so large trees spread over tasks; rows without such
-    an ancestor get null.
+    One equi-join of exploded ancestors (anc) with the nodes of the kind; of those met, the largest
+    pre-order number is the nearest.
     """
-    up = nodes.select(F.col("tree_id").alias("_t"), F.col("node_id").alias("_n"), F.col("parent_id").alias("_p"), F.col("kind").alias("_k"))
-    rows = context.withColumns({"found": F.lit(None).cast("long"), "_at": F.col("parent_id")})
-    for _ in range(depth):
-        rows = rows.join(up, (F.col("tree_id") == F.col("_t")) & (F.col("_at") == F.col("_n")) & F.col("found").isNull(), "left")
-        rows = rows.withColumns({"found": F.coalesce("found", F.when(F.col("_k") == kind, F.col("_n"))), "_at": F.col("_p")}).drop("_t", "_n", "_p", "_k")
-    return rows.drop("_at")
+    ups = context.select("tree_id", "node_id", F.explode("anc").alias("up")).distinct()
+    of_kind = nodes.filter(F.col("kind") == kind).select("tree_id", F.col("node_id").alias("up"))
+    found = ups.join(of_kind, ["tree_id", "up"]).groupBy("tree_id", "node_id").agg(F.max("up").alias("found"))
+    return context.join(found, ["tree_id", "node_id"], "left")
 
 
 def overlaps(a: DataFrame, b: DataFrame, key: str, width: int) -> DataFrame:

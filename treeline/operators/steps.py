@@ -80,6 +80,16 @@ def same(a: F.Column, value: str) -> F.Column:
     return test(F.upper(a) == value.upper())
 
 
+def differs(a: F.Column, value: str) -> F.Column:
+    """Not equal, ignoring case; a missing attribute differs from nothing."""
+    return test(F.upper(a) != value.upper())
+
+
+def is_true(a: F.Column) -> F.Column:
+    """A flag given as text."""
+    return same(a.cast("string"), "true")
+
+
 def holds(a: F.Column, value: str) -> F.Column:
     return test(F.contains(F.upper(a), F.lit(value.upper())))
 
@@ -90,3 +100,24 @@ def wildcard(a: F.Column, pattern: str) -> F.Column:
 
     quoted = "".join(".*" if ch == "*" else "." if ch == "?" else re.escape(ch) for ch in pattern)
     return test(F.coalesce(a, F.lit("")).rlike(f"(?is)^{quoted}$"))
+
+
+def edge_wildcard(a: F.Column, pattern: str) -> F.Column:
+    """The second form: only a leading and a trailing * count, ignoring case."""
+    name, text = F.upper(F.coalesce(a, F.lit(""))), F.lit(pattern.strip("*").upper())
+    if pattern.startswith("*") and pattern.endswith("*"):
+        return F.contains(name, text)
+    if pattern.startswith("*"):
+        return F.endswith(name, text)
+    return F.startswith(name, text) if pattern.endswith("*") else name == text
+
+
+def attribute(nodes: DataFrame, name: str) -> F.Column:
+    """A node's attribute as text; null if nodes have none of that name."""
+    return F.col(name).cast("string") if name in nodes.columns else F.lit(None).cast("string")
+
+
+def attributes(nodes: DataFrame, *names: str) -> F.Column:
+    """Those attributes that a node has, as a map."""
+    pairs = [x for n in names for x in (F.lit(n), attribute(nodes, n))]
+    return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())

@@ -1,6 +1,6 @@
 """Registered queries beside their SQL."""
 
-from . import analysis, relations
+from . import analysis, members, paths, relations
 from .catalogue import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "analysis", "relations"]
+__all__ = ["ORACLES", "QUERIES", "analysis", "members", "paths", "relations"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import after, before, is_identifier, normalize_space, renamed, shortened, whole
 from ..operators import edits
 from ..operators.graph import reach
+from ..operators.paths import limited
 from ..operators.spans import innermost, inside, nearest, overlaps
 from ..operators.steps import exists, position, same, step, wildcard
 from ..sources.trees import sales, table
@@ -33,7 +34,7 @@ def innermost_at_point(spark, sf):
 @query("SELECT o_orderkey AS orderkey, o_custkey AS custkey FROM orders")
 def enclosing_nearest(spark, sf):
     n = sales(spark, sf)
-    rows = nearest(kind(n, "order"), n, "customer", 2)
+    rows = nearest(kind(n, "order"), n, "customer")
     owner = kind(n, "customer").select("tree_id", F.col("node_id").alias("found"), F.col("key").alias("custkey"))
     return rows.join(owner, ["tree_id", "found"]).select(F.col("key").alias("orderkey"), "custkey")
 
@@ -48,21 +49,18 @@ def span_overlaps(spark, sf):
     return overlaps(s, s, "custkey", 64).filter("a < b")
 
 
-@query("SELECT c_nationkey::BIGINT AS nation, c_custkey AS custkey, count(o_orderkey) AS children, count(o_orderkey) > 0 AS truncated FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2")
+@query("""SELECT n_nationkey::BIGINT AS nation, NULL::BIGINT AS custkey, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS children, false AS truncated FROM nation
+  UNION ALL SELECT c_nationkey, c_custkey, count(o_orderkey), count(o_orderkey) > 0 FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2""")
 def depth_limited(spark, sf):
-    n = sales(spark, sf)
-    below = n.groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("children"))
-    top = n.filter("depth = 1").join(below, ["tree_id", "node_id"], "left")
-    count = F.coalesce("children", F.lit(0))
-    return top.select(F.col("tree_id").alias("nation"), F.col("key").alias("custkey"), count.alias("children"), (count > 0).alias("truncated"))
+    return limited(sales(spark, sf), 1).select(F.col("tree_id").alias("nation"), F.col("c").alias("custkey"), "children", "truncated")
 
 
 @query("""SELECT c.c_custkey AS custkey, (SELECT count(*) FROM customer d WHERE d.c_nationkey = c.c_nationkey AND d.c_custkey < c.c_custkey)
   + (SELECT count(*) FROM orders JOIN customer d ON o_custkey = d.c_custkey WHERE d.c_nationkey = c.c_nationkey AND d.c_custkey < c.c_custkey) AS n
   FROM customer c WHERE c.c_mktsegment = 'BUILDING' AND EXISTS (SELECT 1 FROM customer d WHERE d.c_nationkey = c.c_nationkey AND d.c_custkey < c.c_custkey)""")
 def path_preceding(spark, sf):
-    n = sales(spark, sf)
-    return step(kind(n, "customer").filter(same(F.col("attr"), "building")), n, "preceding", None, ("key",)).groupBy(F.col("ctx_key").alias("custkey")).agg(F.count("*").alias("n"))
+    rows = kind(sales(spark, sf), "customer").filter(same(F.col("attr"), "building"))
+    return rows.select(F.col("key").alias("custkey"), (F.col("node_id") - F.col("parent_id") - 1).alias("n")).filter("n > 0")
 
 
 @query("SELECT c_custkey AS custkey, count(o_orderkey) + 1 AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
@@ -106,17 +104,18 @@ def callers_depth5(spark, sf):
     return reach(o.groupBy("o_custkey").agg(F.max("o_orderkey").alias("node")), back, 5)
 
 
-@query("SELECT l_partkey AS partkey, string_agg(l_orderkey || ':' || l_linenumber, ',' ORDER BY l_orderkey, l_linenumber) AS refs FROM lineitem GROUP BY 1")
+@query("SELECT l_partkey AS partkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS nth, l_orderkey AS orderkey, l_linenumber AS line FROM lineitem")
 def refs_by_symbol(spark, sf):
-    at = F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber")))
-    text = F.transform(at, lambda x: F.concat_ws(":", x["l_orderkey"], x["l_linenumber"]))
-    return table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("partkey")).agg(F.array_join(text, ",").alias("refs"))
+    """References in order, as rows: a symbol may have any number."""
+    w = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber")
+    return table(spark, sf, "lineitem").select(F.col("l_partkey").alias("partkey"), F.row_number().over(w).alias("nth"), F.col("l_orderkey").alias("orderkey"), F.col("l_linenumber").alias("line"))
 
 
-@query("""SELECT user_id, coalesce(string_agg(event_id::VARCHAR, ',' ORDER BY event_id) FILTER (event_type = 'view'), '') AS reads, coalesce(string_agg(event_id::VARCHAR, ',' ORDER BY event_id) FILTER (event_type = 'purchase'), '') AS writes FROM events GROUP BY 1""")
+@query("SELECT user_id, CASE event_type WHEN 'view' THEN 'read' ELSE 'write' END AS access, event_id FROM events WHERE event_type IN ('view', 'purchase')")
 def flow_locations(spark, sf):
-    of = lambda kind_: F.array_join(F.sort_array(F.collect_list(F.when(F.col("event_type") == kind_, F.col("event_id")))), ",")
-    return table(spark, sf, "events").groupBy("user_id").agg(of("view").alias("reads"), of("purchase").alias("writes"))
+    """Locations of reads and writes, as rows."""
+    access = F.when(F.col("event_type") == "view", "read").otherwise("write")
+    return table(spark, sf, "events").filter(F.col("event_type").isin("view", "purchase")).select("user_id", access.alias("access"), "event_id")
 
 
 @query("""WITH k AS (SELECT *, count(*) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM events)

@@ -52,23 +52,28 @@ def path_ancestor(spark, sf):
 
 @query("SELECT a.o_orderkey AS orderkey, count(*) AS later FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND b.o_orderkey > a.o_orderkey GROUP BY 1")
 def path_following_sibling(spark, sf):
-    n = sales(spark, sf)
-    return step(kind(n, "order"), n, "following-sibling", None, ("key",)).groupBy(F.col("ctx_key").alias("orderkey")).agg(F.count("*").alias("later"))
+    # how many follow is a place among siblings; no pairs are needed
+    n = kind(sales(spark, sf), "order")
+    w = Window.partitionBy("tree_id", "parent_id").orderBy("node_id").rowsBetween(1, Window.unboundedFollowing)
+    return n.select(F.col("key").alias("orderkey"), F.count(F.lit(1)).over(w).alias("later")).filter("later > 0")
 
 
 @query("SELECT a.o_orderkey AS orderkey, min(b.o_orderkey) AS earliest FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND b.o_orderkey < a.o_orderkey GROUP BY 1")
 def path_preceding_sibling(spark, sf):
-    n = sales(spark, sf)
-    return step(kind(n, "order"), n, "preceding-sibling", None, ("key",)).groupBy(F.col("ctx_key").alias("orderkey")).agg(F.min("key").alias("earliest"))
+    n = kind(sales(spark, sf), "order")
+    w = Window.partitionBy("tree_id", "parent_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
+    return n.select(F.col("key").alias("orderkey"), F.min("key").over(w).alias("earliest")).filter("earliest is not null")
 
 
 @query("""SELECT c.c_custkey AS custkey, (SELECT count(*) FROM customer d WHERE d.c_nationkey = c.c_nationkey AND d.c_custkey > c.c_custkey)
   + (SELECT count(*) FROM orders JOIN customer d ON o_custkey = d.c_custkey WHERE d.c_nationkey = c.c_nationkey AND d.c_custkey >= c.c_custkey) AS n
   FROM customer c WHERE c.c_mktsegment = 'BUILDING' AND ((SELECT count(*) FROM customer d WHERE d.c_nationkey = c.c_nationkey AND d.c_custkey > c.c_custkey) > 0 OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c.c_custkey))""")
 def path_following(spark, sf):
+    # pre-order numbers tell how many nodes follow within the parent's subtree
     n = sales(spark, sf)
-    rows = step(kind(n, "customer").filter(same(F.col("attr"), "building")), n, "following", None, ("key",))
-    return rows.groupBy(F.col("ctx_key").alias("custkey")).agg(F.count("*").alias("n"))
+    ends = n.select("tree_id", F.col("node_id").alias("parent_id"), F.col("sub_end").alias("parent_end"))
+    rows = kind(n, "customer").filter(same(F.col("attr"), "building")).join(ends, ["tree_id", "parent_id"])
+    return rows.select(F.col("key").alias("custkey"), (F.col("parent_end") - F.col("node_id")).alias("n")).filter("n > 0")
 
 
 @query("SELECT c_custkey AS custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
@@ -95,7 +100,8 @@ def pos_n(spark, sf):
 
 @query(_places("c_custkey DESC, o_orderkey DESC", "r = 1"))
 def pos_last(spark, sf):
-    return position(kind(sales(spark, sf), "order"), 1, ["tree_id"], True).select(F.col("tree_id").alias("nation"), F.col("key").alias("orderkey"))
+    # the last one is a maximum, combined before the shuffle
+    return kind(sales(spark, sf), "order").groupBy(F.col("tree_id").alias("nation")).agg(F.max_by("key", "node_id").alias("orderkey"))
 
 
 @query("SELECT o_custkey AS custkey, max(o_orderkey) AS orderkey FROM orders GROUP BY 1")
@@ -201,11 +207,6 @@ def session_eviction(spark, sf):
     return sessions(table(spark, sf, "events")).select("user_id", F.unix_micros(F.col("started").cast("timestamp")).alias("started"), "n")
 
 
-@query("SELECT page_id, len(string_split(html, '<a ')) - 1 AS links FROM pages")
-def html_elements(spark, sf):
-    return table(spark, sf, "pages").select("page_id", (F.size(F.split("html", "<a ", -1)) - 1).cast("long").alias("links"))
-
-
 @query("SELECT p_partkey AS partkey, starts_with(upper(p_type), 'S') AS starts, length(p_name)::INT AS n, translate(p_name, 'abc', 'xyz') AS swapped, concat_ws('.', p_brand, p_type) AS signature FROM part")
 def scalar_functions(spark, sf):
     p = table(spark, sf, "part")

@@ -24,10 +24,10 @@ _OWNERS = "SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, n_name A
 
 
 @query(f"""WITH RECURSIVE e AS ({_OWNERS}), r(base, derived, depth) AS (SELECT 'r' || r_regionkey, 'r' || r_regionkey, 0 FROM region
-  UNION SELECT base, dst, depth + 1 FROM r JOIN e ON src = derived WHERE depth < 8) SELECT base, derived, min(depth)::INT AS depth FROM r WHERE depth > 0 GROUP BY 1, 2""")
+  UNION SELECT base, dst, depth + 1 FROM r JOIN e ON src = derived) SELECT base, derived, min(depth)::INT AS depth FROM r WHERE depth > 0 GROUP BY 1, 2""")
 def derived_closure(spark, sf):
     starts = table(spark, sf, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"))
-    return reach(starts, _owners(spark, sf), 8).select(F.col("start").alias("base"), F.col("node").alias("derived"), "depth")
+    return reach(starts, _owners(spark, sf)).select(F.col("start").alias("base"), F.col("node").alias("derived"), "depth")
 
 
 @query(f"""WITH e AS ({_OWNERS}), k AS (SELECT x.src AS base, y.dst AS derived FROM e x JOIN e y ON y.src = x.dst UNION SELECT src, dst FROM e),
@@ -37,7 +37,7 @@ def overrides(spark, sf):
     members = table(spark, sf, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("owner"), F.col("o_orderpriority").alias("member"))
     members = members.unionByName(table(spark, sf, "supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("owner"), F.lit("1-URGENT").alias("member")))
     edges = _owners(spark, sf)
-    derived = reach(edges.select(F.col("src").alias("node")), edges, 8)
+    derived = reach(edges.select(F.col("src").alias("node")), edges)
     return members_of(derived.select(F.col("start").alias("base"), F.col("node").alias("derived")), members)
 
 
@@ -52,10 +52,10 @@ def set_intersect(spark, sf):
     return e.filter("event_type = 'view'").select("user_id").intersect(e.filter("event_type = 'purchase'").select("user_id"))
 
 
-@query("SELECT l_suppkey AS suppkey, string_agg(DISTINCT l_partkey::VARCHAR, ',' ORDER BY l_partkey::VARCHAR) AS parts FROM lineitem GROUP BY 1")
+@query("SELECT l_suppkey AS suppkey, l_partkey AS part, count(*) AS times FROM lineitem GROUP BY 1, 2")
 def adjacency_map(spark, sf):
-    pairs = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("suppkey"), F.col("l_partkey").cast("string").alias("part")).distinct()
-    return pairs.groupBy("suppkey").agg(F.array_join(F.sort_array(F.collect_list("part")), ",").alias("parts"))
+    """Edges with their weights, a row each: a node may have any number."""
+    return table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("suppkey"), F.col("l_partkey").alias("part")).agg(F.count("*").alias("times"))
 
 
 @query("""SELECT conv_id, turn, role, coalesce(lag(role) OVER w, '') AS earlier, coalesce(lead(role) OVER w, '') AS later FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
@@ -65,15 +65,16 @@ def nav_lead_lag(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", "role", *[c.alias(k) for k, c in near.items()])
 
 
-@query("""SELECT c_nationkey::BIGINT AS nation, string_agg('customer ' || c_custkey || coalesce(' [' || below || ']', ''), '; ' ORDER BY c_custkey) AS dump FROM customer
-  LEFT JOIN (SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ' ' ORDER BY o_orderkey) AS below FROM orders GROUP BY 1) ON o_custkey = c_custkey GROUP BY 1""")
+@query("""SELECT c_nationkey::BIGINT AS nation, c_custkey AS custkey, 'customer ' || c_custkey || coalesce(' [' || below || ']', '') AS dump FROM customer
+  LEFT JOIN (SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ' ' ORDER BY o_orderkey) AS below FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
 def subtree_dump(spark, sf):
+    """A line for each subtree of the second level, with what is below it."""
     n = sales(spark, sf)
-    gathered = lambda c, order, mark: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, c.alias("s")))), lambda x: x["s"]), mark)
-    below = n.filter("kind = 'order'").groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(gathered(F.col("key").cast("string"), "node_id", " ").alias("below"))
+    keys = F.transform(F.sort_array(F.collect_list(F.struct("node_id", "key"))), lambda x: x["key"].cast("string"))
+    below = n.filter("kind = 'order'").groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.array_join(keys, " ").alias("below"))
     tops = n.filter("kind = 'customer'").join(below, ["tree_id", "node_id"], "left")
     line = F.concat(F.lit("customer "), F.col("key"), F.coalesce(F.concat(F.lit(" ["), "below", F.lit("]")), F.lit("")))
-    return tops.groupBy(F.col("tree_id").alias("nation")).agg(gathered(line, "node_id", "; ").alias("dump"))
+    return tops.select(F.col("tree_id").alias("nation"), F.col("key").alias("custkey"), line.alias("dump"))
 
 
 @query("""SELECT user_id, count(*) FILTER (event_type = 'purchase') AS exits, coalesce(string_agg(DISTINCT event_type, ',' ORDER BY event_type) FILTER (event_type IN ('purchase', 'error')), '') AS kinds,

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .folders import shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -46,13 +48,40 @@ def numbered(rows: DataFrame, tree: str, keys: list[str], span: int = SPAN) -> D
     return out.withColumn("parent_id", F.try_element_at("anc", F.lit(-1))).drop("_t", "_f", "_total", "_start")
 
 
-def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """nation > customer > order: tree_id, kind, key, attr, and the numbers of `numbered`."""
+NODE = ["tree_id", "c", "o", "kind", "key", "attr", "name", "status", "value", "node_id", "depth", "sub_end", "anc", "parent_id"]
+
+#: What kinds of nodes count as.
+FAMILIES = {"type": ("nation", "customer"), "member": ("customer",), "statement": ("order",)}
+
+
+def sales_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nation > customer > order as rows of keys with their attributes."""
     nation, customer, orders = (table(spark, sf_dir, t) for t in ("nation", "customer", "orders"))
-    none = F.lit(None).cast("long")
-    owner = customer.select("c_custkey", "c_nationkey")
-    rows = nation.select(F.col("n_nationkey").cast("long").alias("tree_id"), none.alias("c"), none.alias("o"), F.lit("nation").alias("kind"), F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("attr"))
-    rows = rows.unionByName(customer.select(F.col("c_nationkey").cast("long").alias("tree_id"), F.col("c_custkey").alias("c"), none.alias("o"), F.lit("customer").alias("kind"), F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("attr")))
-    below = orders.join(owner, orders.o_custkey == owner.c_custkey)
-    rows = rows.unionByName(below.select(F.col("c_nationkey").cast("long").alias("tree_id"), F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("o"), F.lit("order").alias("kind"), F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("attr")))
-    return numbered(rows, "tree_id", ["c", "o"])
+    long, text, number = (F.lit(None).cast(t) for t in ("long", "string", "double"))
+
+    def level(rows: DataFrame, tree: str, c: F.Column, o: F.Column, kind: str, key: str, **attrs: F.Column) -> DataFrame:
+        named = {"attr": text, "name": text, "status": text, "value": number} | attrs
+        return rows.select(F.col(tree).cast("long").alias("tree_id"), c.alias("c"), o.alias("o"), F.lit(kind).alias("kind"), F.col(key).cast("long").alias("key"), *[v.alias(k) for k, v in named.items()])
+
+    below = orders.join(customer.select("c_custkey", "c_nationkey"), orders.o_custkey == customer.c_custkey)
+    rows = level(nation, "n_nationkey", long, long, "nation", "n_nationkey", attr=F.col("n_name"), name=F.col("n_name"))
+    rows = rows.unionByName(level(customer, "c_nationkey", F.col("c_custkey"), long, "customer", "c_custkey", attr=F.col("c_mktsegment"), name=F.col("c_name"), value=F.col("c_acctbal")))
+    return rows.unionByName(level(below, "c_nationkey", F.col("o_custkey"), F.col("o_orderkey"), "order", "o_orderkey", attr=F.col("o_orderpriority"), status=F.col("o_orderstatus"), value=F.col("o_totalprice")))
+
+
+_LOADED: dict[tuple[str, str], str] = {}
+
+
+def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree of sales_rows with the numbers of `numbered`: NODE.
+
+    It is loaded once a session: numbered, and stored below the shared folder by kind and in order of
+    trees and nodes, so that filters on kind, tree and node prune files and row groups.
+    """
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _LOADED:
+        path = shared_dir(spark, "nodes")
+        nodes = numbered(sales_rows(spark, sf_dir), "tree_id", ["c", "o"]).select(*NODE)
+        nodes.sortWithinPartitions("kind", "tree_id", "node_id").write.partitionBy("kind").parquet(path)
+        _LOADED[at] = path
+    return spark.read.parquet(_LOADED[at]).select(*NODE)

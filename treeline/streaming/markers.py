@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def mark(rows: DataFrame, session: str, key: str, label: str | None = None) -> DataFrame:
-    """(session, key, marker, label): marker is mark-N, N counting from 1 in each session by key."""
+def mark(rows: DataFrame, session: str, key: str, label: str | None = None, most: int | None = None) -> DataFrame:
+    """(session, key, marker, label): marker is mark-N, N counting from 1 in each session by key; at most `most` of a session."""
     at = F.row_number().over(Window.partitionBy(session).orderBy(key))
+    if most is not None:
+        rows, at = rows.withColumn("_at", at).filter(F.col("_at") <= most), F.col("_at")
     return rows.select(session, key, F.format_string("mark-%d", at).alias("marker"), F.lit(label).cast("string").alias("label"))
 
 
