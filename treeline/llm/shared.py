@@ -27,9 +27,19 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Spark's own setting that drops a query's shuffle files as it ends.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:
-    """Write df and read it again: lineage ends at a table in the shared folder."""
-    df.write.option("compression", codec).parquet(path)
+    """Write df and read it again: lineage ends at a table in the shared folder, and the shuffle files go."""
+    conf = df.sparkSession.conf
+    was = conf.get(FREED, "false")
+    conf.set(FREED, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        conf.set(FREED, was)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
