@@ -4,8 +4,8 @@ Documents become pieces of at most `size` tokens; only documents that are longer
 into full pieces with the shorter one first. The histogram of piece lengths (at most `size` bins,
 whatever the input) is all that the driver sees. Patterns of up to three lengths that fill a
 sequence exactly are fitted to it by non-negative least squares, the repeat counts are rounded to
-what the histogram holds, the residual is fitted again, and what then is left is packed best-fit
-decreasing. Of several such plans, from patterns of few repeats on or of many, the one of the fewest
+what the histogram holds, in one plan the residual is fitted again, and what then is left is packed
+best-fit decreasing. Of several such plans, from patterns of few repeats on or of many, the one of the fewest
 sequences stays; none has more than best fit decreasing alone. The plan is a
 list of runs (length, first rank, count, first sequence, offset), again bounded by the bins and
 patterns; each piece finds its run by its rank among the pieces of its length.
@@ -37,6 +37,7 @@ SPECIAL = "<|endoftext|>"  # in a text, the JSON tokenizer alone treats it as on
 LONG_RUN = 100_000  # blanks in a row; from about a million on the rank twin's regex engine panics
 BLANK_RUN = re.compile(r"(?<!\s)\s{%d}" % LONG_RUN)  # begins at runs only, so that the search is linear
 LEAST = (0.5, 1, 4, 16, 64, math.inf)  # fewest repeats of the patterns that a plan takes
+REFIT = 1  # the one of these whose residual is fitted again
 ROUND = 0.5  # repeat counts are rounded to the nearest, as far as the histogram holds
 PER_SALT = 50_000_000  # pieces for each part in which a length is ranked, and the most parts
 MAX_SALTS = 4096
@@ -195,7 +196,7 @@ def plan(histogram: np.ndarray, size: int = SIZE) -> tuple[list[tuple[int, int,
         tried = []
         for least in LEAST:
             taken, rest = from_patterns(left, pats, x, least)
-            again, rest = from_patterns(rest, pats, fit(rest, pats), least) if taken and rest.sum() else ([], rest)
+            again, rest = from_patterns(rest, pats, fit(rest, pats), least) if least == REFIT and taken and rest.sum() else ([], rest)
             tried.append(taken + again + best_fit(rest, size))
         recipes = min(tried, key=lambda r: sum(t for _, t in r))
     runs, count, sequence = [], Counter(), 0
