@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on every row that its predecessor kept, and returns
 the columns of docs (extra ones, too, whatever their names), but for the last, which returns pieces
-with their places. Rows are told apart by a stored key of their own, so null and repeated ids are
-documents like others. A text that loses repeated passages keeps its row, with n_chars counted anew.
+with their places. Rows are told apart by their id and text (exact dedup) or by a stored number (near
+dedup), so null and repeated ids are documents like others. A text that loses repeated passages keeps its row, with n_chars counted anew.
 """
 
 from __future__ import annotations
@@ -21,28 +21,26 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return docs.filter(good(text_of("text")) >= quality.THRESHOLD)
 
 
-def with_rows(docs: DataFrame, root: str, row: str, **more: F.Column) -> DataFrame:
-    """docs, stored, with a key of each row."""
-    return cut(docs.withColumns({row: F.monotonically_increasing_id(), **more}), f"{root}/rows", codec="snappy")
-
-
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest id, and of several such rows one."""
-    root = work_dir(spark, "exact-stage")
-    row, sha = free(docs, "_row", "_sha")
-    rows = with_rows(docs, root, row, **{sha: F.sha2(normalised(text_of("text")), 256)})
-    kept = exact_dedup.exact_dedup(rows, root=f"{root}/exact").filter("kept").select(F.col("doc_id").alias("keep"), F.col("text_sha256").alias("digest")).distinct()
-    keys = rows.select(F.col(row).alias("row"), F.col("doc_id").alias("doc"), F.col(sha).alias("sha"))
-    same = F.col("doc").eqNullSafe(F.col("keep")) & (F.col("sha") == F.col("digest"))
-    one = keys.join(kept, same, "left_semi").groupBy("sha").agg(F.min("row").alias(row))
-    return rows.join(one.select(row), row, "left_semi").select(*docs.columns)
+    """Of equal texts the row with the smallest id, and of several such rows one.
+
+    A row's key is its normalised text's digest and its id. Rows of one key become one before texts are
+    shuffled, so neither a text with many copies nor an id with many rows fills a task; the rows that
+    stay are found by the same key, without another shuffle.
+    """
+    (name,) = free(docs, "_key")
+    key = lambda sha, doc: F.concat_ws(":", sha, doc.cast("string"))
+    found = exact_dedup.exact_dedup(docs, root=f"{work_dir(spark, 'exact-stage')}/exact").filter("kept")
+    kept = found.select(key(F.col("text_sha256"), F.col("doc_id")).alias(name)).distinct()
+    rows = docs.withColumn(name, key(F.sha2(normalised(text_of("text")), 256), F.col("doc_id")))
+    return rows.dropDuplicates([name]).join(kept, name, "left_semi").select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies, the one with the smallest id; rows are compared whatever their ids."""
     root = work_dir(spark, "near-stage")
     (row,) = free(docs, "_row")
-    rows = with_rows(docs, root, row)
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), f"{root}/rows")
     ids = rows.select(F.col(row).alias("row"), F.col("doc_id").alias("doc"))
     groups = near_dedup.near_copies(rows, id_col=row, root=f"{root}/near").select(F.col(row).alias("row"), F.col("class_id").alias("group")).join(ids, "row")
     first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row"))
