@@ -77,3 +77,15 @@ def test_components(spark):
     got = components(spark.createDataFrame(edges, "a long, b long"), "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     want = {i: 1 for i in range(1, 61)} | {100: 80, 90: 80, 80: 80, 300: 300, 301: 300, 302: 300}
     assert {r["node"]: r["component"] for r in got.collect()} == want
+
+
+def test_equal_vectors_count_as_many(spark, monkeypatch):
+    """A third of the rows repeat one vector: each copy has all its links."""
+    monkeypatch.setattr(embeddings, "CELL", 40)
+    monkeypatch.setattr(embeddings, "BLOCK", 16)
+    rng = np.random.default_rng(11)
+    hot, other = [1.0, 0.0, 0.0, 0.0], rng.standard_normal((20, 4)).tolist()
+    vectors = [hot] * 100 + other * 5 + [[0.95, 0.1, 0.0, 0.0]] * 3 + [[2.0, 0.0, 0.0, 0.0]] * 2 + [None] * 5
+    ids = rng.permutation(len(vectors)).tolist()
+    df = spark.createDataFrame(list(zip(ids, vectors)), "vec_id long, embedding array<double>")
+    assert result(embeddings.near_vectors(df)) == brute(ids, vectors)

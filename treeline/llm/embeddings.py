@@ -10,7 +10,8 @@ MAX_PIVOTS for a length; beyond 33 million vectors cells grow instead. A large c
 dealt out as blocks of its own vectors against blocks of all it holds, so no task holds more than
 two blocks. A block returns counts and, for components, the edges of a spanning forest: at most one
 row for each vector it holds, however many links there are. Products are compared in single
-precision where that is certain and else in double.
+precision where that is certain and else in double. Rows of equal unit vectors take part as one
+vector that counts as many, so a vector that a third of all rows repeat is compared once.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, link with
 nothing: n_links 0, component_id their own id. Vectors of different lengths never link. Every row is
@@ -39,6 +40,7 @@ CELL = 8192  # vectors that a pivot is meant for
 BLOCK = 4096  # vectors of one block
 STRIP = 1024  # vectors whose angles to all pivots are held at once
 SLACK = 1e-7  # of angles, for rounding
+SALTS = 16  # parts of the rows that share a vector
 UNSURE = 1e-4  # single-precision cosines nearer to the bound are computed again
 
 
@@ -136,7 +138,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     spark = vectors.sparkSession
     root = root or work_dir(spark, "vectors")
     every = cut(unit_table(vectors, id_col, vec_col), f"{root}/units")
-    good = every.filter("dims > 0").select("row", "dims", "unit")
+    real_id = F.when(~F.col("no_id"), F.col("id"))
+    equal = every.filter("dims > 0").groupBy("dims", "unit").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies"), F.min(real_id).alias("least"))
+    good = cut(equal, f"{root}/equal")  # one row of equal ones stands for all
     reach = math.acos(cosine) + SLACK
     sizes = {r["dims"]: r["n"] for r in good.groupBy("dims").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each vector length
     pivots: dict[int, np.ndarray] = {}
@@ -162,12 +166,13 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
                 cell = theta.argmin(axis=1)
                 yield part.assign(cell=cell.astype(np.int32), theta=theta[np.arange(len(part)), cell])
 
-    placed = cut(good.mapInPandas(homes, "row long, dims int, unit binary, cell int, theta double"), f"{root}/homes")
+    placed = cut(good.select("row", "dims", "unit", "copies").mapInPandas(homes, "row long, dims int, unit binary, copies long, cell int, theta double"), f"{root}/homes")
     # a row for each cell: at most MAX_PIVOTS for a length
     own = {(r["dims"], r["cell"]): (r["n"], r["widest"]) for r in placed.groupBy("dims", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("theta").alias("widest")).collect()}
     reach_of = spark.sparkContext.broadcast({d: np.array([own.get((d, q), (0, -10.0))[1] for q in range(len(p))]) for d, p in pivots.items()})
 
-    def cells(frames):
+    def visits(frames):
+        """Of each strip its rows, and which cell (j) gets which row (i)."""
         for pdf in frames:
             for dims, part, theta in strips(pdf):
                 widest, home = reach_of.value[dims], part["cell"].to_numpy()
@@ -176,16 +181,29 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
                 chord = 2 * np.sin(angles(shared.value[dims], shared.value[dims]) / 2)[home]
                 goes &= np.cos(part["theta"].to_numpy())[:, None] - np.cos(theta) <= math.sin(min(reach, math.pi / 2)) * chord + SLACK
                 goes[np.arange(len(part)), home] = True
-                i, q = np.nonzero(goes)
-                yield pd.DataFrame({"row": part["row"].to_numpy()[i], "dims": np.int32(dims), "unit": part["unit"].to_numpy()[i], "cell": q.astype(np.int32), "own": q == home[i]})
+                yield dims, part, *np.nonzero(goes)
+
+    def sizes_of(frames):
+        for dims, _, _, q in visits(frames):
+            cell, n = np.unique(q, return_counts=True)
+            yield pd.DataFrame({"dims": np.int32(dims), "cell": cell.astype(np.int32), "n": n.astype(np.int64)})
+
+    def cells(frames):
+        for dims, part, i, q in visits(frames):
+            yield part[["row", "unit", "copies"]].iloc[i].assign(dims=np.int32(dims), cell=q.astype(np.int32))
 
-    copied = placed.mapInPandas(cells, "row long, dims int, unit binary, cell int, own boolean")
-    held = {(r["dims"], r["cell"]): r["n"] for r in copied.groupBy("dims", "cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    held = {(r["dims"], r["cell"]): r["n"] for r in placed.mapInPandas(sizes_of, "dims int, cell int, n long").groupBy("dims", "cell").agg(F.sum("n").alias("n")).collect()}
     plan = [(d, q, slices(own.get((d, q), (0, 0))[0], BLOCK), slices(n, BLOCK)) for (d, q), n in held.items()]
     blocks = F.broadcast(spark.createDataFrame(plan or [(0, 0, 1, 1)], "dims int, cell int, homes int, others int"))
-    dealt = copied.join(blocks, ["dims", "cell"]).withColumn("at", F.xxhash64("row"))
-    mine = dealt.filter("own").select("dims", "cell", F.pmod("at", "homes").alias("h"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("others").cast("long") - 1)).alias("o"), F.lit(True).alias("home"), "row", "unit")
-    all_ = dealt.select("dims", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("homes").cast("long") - 1)).alias("h"), F.pmod("at", "others").alias("o"), F.lit(False).alias("home"), "row", "unit")
+    copied = placed.mapInPandas(cells, "row long, unit binary, copies long, dims int, cell int")
+
+    def dealt(rows: DataFrame, by: str, each: str, home: bool) -> DataFrame:
+        """rows put into the block that their hash gives, once for every block of the other side."""
+        rows = rows.join(blocks, ["dims", "cell"])
+        at, all_ = F.pmod(F.xxhash64("row"), by), F.explode(F.sequence(F.lit(0).cast("long"), F.col(each).cast("long") - 1))
+        return rows.select("dims", "cell", *([at.alias("h"), all_.alias("o")] if home else [all_.alias("h"), at.alias("o")]), F.lit(home).alias("home"), "row", "unit", "copies")
+
+    met = dealt(placed, "homes", "others", True).unionByName(dealt(copied, "others", "homes", False))
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         is_home = pdf["home"].to_numpy()
@@ -195,7 +213,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
             return empty
         rows, others = a["row"].to_numpy(), b["row"].to_numpy()
         links = linked(matrix(a["unit"].tolist()), matrix(b["unit"].tolist()), cosine)
-        n = links.sum(axis=1)  # a vector meets itself in one block of its home: taken off once, below
+        n = links @ b["copies"].to_numpy()  # a vector meets itself in one block of its home: taken off once, below
         some = n > 0
         edges = forest(links, rows, others)
         out = [pd.DataFrame({"row": rows[some], "to": rows[some], "n": n[some].astype(np.int64)})]
@@ -204,13 +222,18 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
             out.append(pd.DataFrame({"row": e[:, 0], "to": e[:, 1], "n": np.int64(0)}))
         return pd.concat(out)
 
-    found = cut(mine.unionByName(all_).groupBy("dims", "cell", "h", "o").applyInPandas(join, "row long, to long, n long"), f"{root}/found")
+    found = cut(met.groupBy("dims", "cell", "h", "o").applyInPandas(join, "row long, to long, n long"), f"{root}/found")
     groups = components(found.filter("n = 0").select(F.col("row").alias("a"), F.col("to").alias("b")), f"{root}/components")
-    links = found.filter("n > 0").groupBy("row").agg((F.sum("n") - 1).alias("n_links"))
-    ids = every.select("row", F.when(~F.col("no_id"), F.col("id")).alias("id"))
-    members = ids.join(groups.withColumnRenamed("node", "row"), "row")
-    firsts = members.groupBy("component").agg(F.min("id").alias("first"))  # combined before the shuffle
-    answer = ids.join(links, "row", "left").join(members.join(firsts, "component").select("row", "first"), "row", "left")
+    links = found.filter("n > 0").groupBy("row").agg((F.sum("n") - 1).alias("links"))
+    members = good.select("row", "least").join(groups.withColumnRenamed("node", "row"), "row")
+    firsts = members.groupBy("component").agg(F.min("least").alias("first"))  # combined before the shuffle
+    linked_to = members.join(firsts, "component").select("row", "first")
+    result = cut(good.join(links, "row").join(linked_to, "row", "left").select("row", "dims", "unit", "copies", "links", F.coalesce("first", "least").alias("first")), f"{root}/result")
+    # rows of equal vectors find their answer by the vector, dealt out as one may be very common; others by their row
+    salt = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    shared_by = result.filter("copies > 1").select("dims", "unit", F.col("links").alias("links2"), F.col("first").alias("first2"), F.lit(True).alias("many"), salt.alias("salt"))
+    answer = every.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS))).join(shared_by, ["dims", "unit", "salt"], "left").join(result.filter("copies = 1").select("row", "links", "first"), "row", "left")
+    answer = answer.select(real_id.alias("id"), F.coalesce("links2", "links").alias("n_links"), F.when(F.col("many"), F.col("first2")).otherwise(F.col("first")).alias("first"))
     component = F.coalesce("first", "id")
     return answer.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
