@@ -213,7 +213,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
             return empty
         rows, others = a["row"].to_numpy(), b["row"].to_numpy()
         links = linked(matrix(a["unit"].tolist()), matrix(b["unit"].tolist()), cosine)
-        n = links @ b["copies"].to_numpy()  # a vector meets itself in one block of its home: taken off once, below
+        more = b["copies"].to_numpy() - 1
+        many = np.flatnonzero(more)
+        n = links.sum(axis=1) + links[:, many] @ more[many]  # a vector meets itself in one block of its home: taken off once, below
         some = n > 0
         edges = forest(links, rows, others)
         out = [pd.DataFrame({"row": rows[some], "to": rows[some], "n": n[some].astype(np.int64)})]
