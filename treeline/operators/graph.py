@@ -1,32 +1,113 @@
-"""Closure of edges by breadth: each level a join and an anti join, lineage cut at stored tables."""
+"""Closures of graphs: by breadth to a depth, by doubling to any depth, and of cyclic graphs by their components.
+
+Every round is stored below the shared folder, which ends the lineage; none goes through the driver.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.folders import shared_dir
+from ..sources.folders import stored
 
 
 def reach(starts: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
     """starts (node), edges (src, dst) -> (start, node, depth): all nodes within `depth` edges (None: any number), at their least depth."""
-    spark, root = starts.sparkSession, shared_dir(starts.sparkSession, "graph")
-
-    def stored(rows: DataFrame, name: str) -> DataFrame:
-        rows.write.parquet(f"{root}/{name}")
-        return spark.read.schema(rows.schema).parquet(f"{root}/{name}")
-
+    if depth is None:
+        of = starts.select(F.col("node").alias("src")).distinct()
+        return distances(edges).join(of, "src", "left_semi").select(F.col("src").alias("start"), F.col("dst").alias("node"), "depth")
     edges = stored(edges.select("src", "dst").distinct(), "edges")
-    front = stored(starts.select(F.col("node").alias("start"), "node").distinct(), "0")
-    seen, d = front.withColumn("depth", F.lit(0)), 0
-    while depth is None or d < depth:
-        d += 1
+    front = stored(starts.select(F.col("node").alias("start"), "node").distinct().withColumn("depth", F.lit(0)), "level")
+    levels = [front]
+    for d in range(1, depth + 1):
         after = front.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
-        front = stored(after.join(seen.select("start", "node"), ["start", "node"], "left_anti"), str(d))
+        for seen in levels:  # `depth` tables at most
+            after = after.join(seen.select("start", "node"), ["start", "node"], "left_anti")
+        front = stored(after.withColumn("depth", F.lit(d)), "level")
         if front.isEmpty():
             break
-        seen = seen.unionByName(front.withColumn("depth", F.lit(d)))
-    return seen.filter("depth > 0")
+        levels.append(front)
+    out = levels[0].limit(0)
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out
+
+
+def distances(edges: DataFrame) -> DataFrame:
+    """src, dst, depth: the least number of edges between any two nodes of which one leads to the other.
+
+    What is known up to k edges is known up to 2k after a round: a shortest path of more than k edges
+    begins with one of exactly k. So a path of n edges takes log2(n) rounds.
+    """
+    known, k = stored(edges.filter("src <> dst").select("src", "dst", F.lit(1).alias("depth")).distinct(), "pairs"), 1
+    while True:
+        far, on = known.filter(F.col("depth") == k), known.select(F.col("src").alias("dst"), F.col("dst").alias("end"), F.col("depth").alias("more"))
+        met = far.join(on, "dst").filter("src <> end").groupBy("src", F.col("end").alias("dst")).agg(F.min(F.col("depth") + F.col("more")).alias("depth"))
+        fresh = stored(met.join(known.select("src", "dst"), ["src", "dst"], "left_anti"), "pairs")
+        if fresh.isEmpty():
+            return known
+        known, k = stored(known.unionByName(fresh), "pairs"), 2 * k
+
+
+def condensed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, component) of all nodes of edges (src, dst), and (src, dst) of any two components of which one leads to the other.
+
+    A component is named by its smallest node. Known pairs are composed round by round; as soon as two
+    nodes lead to each other they become one, so that a cycle shrinks while it is found and only
+    pairs of components are left: the copies of a large component are never paired.
+    """
+    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    names = stored(nodes.withColumn("component", F.col("node")), "components")
+    known = stored(edges.filter("src <> dst").select("src", "dst").distinct(), "pairs")
+    fresh = known
+    while True:
+        back = known.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        mutual = known.join(back, ["src", "dst"], "left_semi")
+        to = stored(mutual.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("least")).filter("least < node"), "merged")
+        if not to.isEmpty():
+            names = names.join(to.withColumnRenamed("node", "component"), "component", "left")
+            names = stored(names.select("node", F.coalesce("least", "component").alias("component")), "components")
+            for end in ("src", "dst"):
+                known = known.join(to.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("least", end)).drop("least")
+            known = fresh = stored(known.filter("src <> dst").select("src", "dst").distinct(), "pairs")
+            continue
+        on = known.select(F.col("src").alias("dst"), F.col("dst").alias("end"))
+        met = fresh.join(on, "dst").select("src", F.col("end").alias("dst")).filter("src <> dst").distinct()
+        fresh = stored(met.join(known, ["src", "dst"], "left_anti"), "pairs")
+        if fresh.isEmpty():
+            return names, known
+        known = stored(known.unionByName(fresh), "pairs")
+
+
+def reachable_counts(edges: DataFrame) -> DataFrame:
+    """node, component, reaches: how many other nodes a node leads to, by the sizes of components."""
+    names, pairs = condensed(edges)
+    sizes = names.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    below = pairs.join(sizes.withColumnRenamed("component", "dst"), "dst").groupBy(F.col("src").alias("component")).agg(F.sum("size").alias("below"))
+    of = sizes.join(below, "component", "left").select("component", (F.col("size") - 1 + F.coalesce("below", F.lit(0))).alias("reaches"))
+    return names.join(of, "component").select("node", "component", "reaches")
+
+
+def call_tree(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """starts (node), edges (src, dst, at) -> (start, line, depth, src, dst, place, again): the calls below each start in the order of a walk.
+
+    A node's calls, ordered by `at`, stand below the first call of it among those of the least depth; at
+    its other calls they are not shown again. place is the list of `at` from the start down, line its
+    rank, counted per start from 1.
+    """
+    edges = stored(edges.select("src", "dst", "at").distinct(), "calls")
+    front = starts.select(F.col("node").alias("start"), "node", F.array().cast("array<long>").alias("place")).distinct()
+    seen, lines = front.select("start", "node"), None
+    for d in range(1, depth + 1):
+        calls = front.join(edges, F.col("node") == F.col("src")).select("start", "src", "dst", F.concat("place", F.array(F.col("at").cast("long"))).alias("place"))
+        first = calls.groupBy("start", F.col("dst").alias("node")).agg(F.min("place").alias("place")).join(seen, ["start", "node"], "left_anti")
+        first = stored(first, "expanded")
+        shown = first.select("start", F.col("node").alias("dst"), "place", F.lit(False).alias("again"))
+        level = calls.join(shown, ["start", "dst", "place"], "left").select("start", F.lit(d).alias("depth"), "src", "dst", "place", F.coalesce("again", F.lit(True)).alias("again"))
+        lines = level if lines is None else lines.unionByName(level)
+        front, seen = first, seen.unionByName(first.select("start", "node"))
+    w = Window.partitionBy("start").orderBy("place", "dst")
+    return lines.withColumn("line", F.row_number().over(w).cast("long"))
 
 
 def members_of(derived: DataFrame, members: DataFrame) -> DataFrame:

@@ -38,12 +38,13 @@ class Step:
 def path(context: DataFrame, nodes: DataFrame, steps: tuple[Step, ...] | list[Step], distinct: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Nodes that the steps lead to from each context row: a multiset, or distinct nodes after each step.
 
-    `carry` columns of the context come along.
+    `carry` columns of the context come along, in place of a node's own of the same name.
     """
-    rows = context
+    # on the way, carried columns have names of their own: nodes may have columns of the same name
+    rows, kept = context.withColumns({f"_carry_{k}": F.col(c) for k, c in enumerate(carry)}), [f"_carry_{k}" for k in range(len(carry))]
     for s in steps:
-        rows = step(rows, nodes, s.axis, s.kind, ("node_id", *carry)).withColumnsRenamed({f"ctx_{c}": c for c in carry})
-        per = Window.partitionBy("tree_id", "ctx_node_id", *carry)
+        rows = step(rows, nodes, s.axis, s.kind, ("node_id", *kept)).withColumnsRenamed({f"ctx_{c}": c for c in kept})
+        per = Window.partitionBy("tree_id", "ctx_node_id", *kept)
         for p in s.where:
             if isinstance(p, At):  # a context that comes twice has its node twice
                 order = F.desc("node_id") if p.last != s.axis.startswith("ancestor") else F.asc("node_id")
@@ -54,8 +55,8 @@ def path(context: DataFrame, nodes: DataFrame, steps: tuple[Step, ...] | list[St
                 rows = rows.filter(test(p))
         rows = rows.drop("ctx_node_id")
         if distinct:
-            rows = rows.dropDuplicates(["tree_id", "node_id", *carry])
-    return rows
+            rows = rows.dropDuplicates(["tree_id", "node_id", *kept])
+    return rows.drop(*carry).withColumnsRenamed(dict(zip(kept, carry)))
 
 
 def having(rows: DataFrame, nodes: DataFrame, p: Has) -> DataFrame:

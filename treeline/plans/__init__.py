@@ -1,6 +1,6 @@
 """Registered queries beside their SQL."""
 
-from . import analysis, members, paths, relations
+from . import analysis, graphs, members, pages, paths, relations
 from .catalogue import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "analysis", "members", "paths", "relations"]
+__all__ = ["ORACLES", "QUERIES", "analysis", "graphs", "members", "pages", "paths", "relations"]

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .folders import shared_dir
+from .folders import stored
+from .markup import page_nodes, with_ancestors
+from .store import by_file, kept
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,19 +71,26 @@ def sales_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(level(below, "c_nationkey", F.col("o_custkey"), F.col("o_orderkey"), "order", "o_orderkey", attr=F.col("o_orderpriority"), status=F.col("o_orderstatus"), value=F.col("o_totalprice")))
 
 
-_LOADED: dict[tuple[str, str], str] = {}
-
-
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tree of sales_rows with the numbers of `numbered`: NODE.
 
-    It is loaded once a session: numbered, and stored below the shared folder by kind and in order of
-    trees and nodes, so that filters on kind, tree and node prune files and row groups.
+    It is loaded once for the files as they are: numbered, and stored below the shared folder by kind and in
+    order of trees and nodes, so that filters on kind, tree and node prune files and row groups.
     """
-    at = (spark.sparkContext.applicationId, sf_dir)
-    if at not in _LOADED:
-        path = shared_dir(spark, "nodes")
+
+    def build(path: str) -> None:
         nodes = numbered(sales_rows(spark, sf_dir), "tree_id", ["c", "o"]).select(*NODE)
         nodes.sortWithinPartitions("kind", "tree_id", "node_id").write.partitionBy("kind").parquet(path)
-        _LOADED[at] = path
-    return spark.read.parquet(_LOADED[at]).select(*NODE)
+
+    return kept(spark, "nodes", [f"{sf_dir}/{t}.parquet" for t in ("nation", "customer", "orders")], build).select(*NODE)
+
+
+def page_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The elements of every page with their ancestors, kept by file: only new and changed files are worked again."""
+    columns = ["tree_id", "kind", "tag", "node_id", "depth", "sub_end", "parent_id", "anc"]
+
+    def derive(pages: DataFrame) -> DataFrame:
+        of = pages.select(F.col("page_id").cast("long").alias("tree_id"), "file_key")
+        return with_ancestors(stored(page_nodes(pages), "page-nodes")).join(of, "tree_id")
+
+    return by_file(spark, "pages", f"{sf_dir}/pages.parquet", derive).select(*columns)
