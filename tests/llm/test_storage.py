@@ -94,11 +94,43 @@ def test_null_ids_repeated_ids_long_texts_and_empty_tables(spark, monkeypatch):
     home = fresh()
     spark.createDataFrame([], schema).write.parquet(f"{home}/documents.parquet")
     assert sharding.op4_sharding(spark, home).collect() == []
-    for name in ("_shard", "_folder", "_arrival", "_part"):
+    for name in ("_shard", "_folder", "_row_sha"):
         with pytest.raises(ValueError):
             empty.append(spark.createDataFrame([(1, "x", 1)], f"doc_id long, text string, {name} int"), F.col("doc_id"))
 
 
+def test_hot_arrivals_follow_the_sql(spark):
+    """20,000 null ids, copies of one text among them, and an id that repeats: the same shards as one sort gives."""
+    import duckdb
+
+    rows = [(None, f"text {k % 9000} " + "x" * (5000 if k % 3 else 100)) for k in range(20_000)] + [(None, None)] * 200 + [(7, "copy" * 500)] * 17_000 + [(k, f"row {k}") for k in range(3000)]
+    home = fresh()
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(7).write.parquet(f"{home}/documents.parquet")
+    got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["shard"], r["n_bytes"], r["text_sha256"]) for r in sharding.op4_sharding(spark, home).collect())
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{home.removeprefix('file://')}/documents.parquet/*.parquet'")
+    want = c.sql(f"SELECT doc_id, shard, n_bytes, text_sha256 FROM ({sharding.SQL})").fetchall()
+    assert got == sorted((d is not None, d or 0, s, n, h) for d, s, n, h in want)
+    assert len({x[2] for x in got if not x[0]}) > 1
+
+
+def test_a_lost_writer_blocks_nobody(spark):
+    import os
+
+    root = fresh()
+    store = ShardStore(spark, root, "doc_id", "text")
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    assert store.append(rows, F.lit(1)) == 1
+    open(f"{root.removeprefix('file://')}/manifest/v-000002", "w").close()
+    assert store.version() == 1 and store.append(rows, F.lit(2)) == 3 == store.version()
+    assert store.read().count() == 4 and os.path.exists(f"{root.removeprefix('file://')}/manifest/v-000003")
+    stale = store.manifest()
+    store.append(rows, F.lit(3))
+    with pytest.raises(RuntimeError):
+        store.commit(stale, 3)
+    assert store.read().count() == 6
+
+
 def test_archives_of_empty_tables_equal_largest_ids_and_long_pages(spark):
     schema = "page_id long, url string, html string, digest string"
     long = "é" * 3_000_000
