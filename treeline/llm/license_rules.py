@@ -553,6 +553,8 @@ source-available licen
 1 spdx licen[cs]e identifier *3
 """
 
+#: How words for a licence begin.
+STEM = "licen"
 #: How sure a signature of each priority is.
 CONFIDENCE = {1: 0.25, 2: 0.6, 3: 0.85, 4: 1.0}
 
@@ -570,8 +572,8 @@ def compiled(words: str) -> str:
     return "".join(out)
 
 
-def rules(text: str = SIGNATURES) -> list[tuple[int, str, int, str, str]]:
-    """(rank, label, priority, keyword, expression) of each signature; each holds its keyword in words that must be there."""
+def rules(text: str = SIGNATURES) -> list[tuple[int, str, int, str, str, list[str]]]:
+    """(rank, label, priority, keyword, expression, needs) of each signature; each holds its keyword in words that must be there."""
     out = []
     for paragraph in text.strip().split("\n\n"):
         head, *lines = paragraph.splitlines()
@@ -581,10 +583,16 @@ def rules(text: str = SIGNATURES) -> list[tuple[int, str, int, str, str]]:
             if not any(all(keyword in x for x in w.split("|")) for w in words.split() if w[0] not in "*?"):
                 raise ValueError(f"{words!r} does not need {keyword!r}")
             re.compile(compiled(words))
-            out.append((len(out), label, int(priority), keyword, compiled(words)))
+            out.append((len(out), label, int(priority), keyword, compiled(words), needs(words)))
     return out
 
 
-def roots(of: list[tuple[int, str, int, str, str]]) -> list[str]:
+def roots(of: list[tuple]) -> list[str]:
     """Strings of which a text holds one if any of the rules can match it."""
-    return sorted({"licen" if " [0-9]+:(?:licen[cs]e) " in re.sub(r"\(\?: .*?\) ?\)\?", "", x[4]) else x[3] for x in of})
+    return sorted({STEM if STEM in r[5] else max([r[3], *r[5]], key=len) for r in of})
+
+
+def needs(words: str) -> list[str]:
+    """The plain words that a signature cannot do without; STEM stands for one that begins with it."""
+    must = [w for w in words.split() if w[0] not in "*?" and "|" not in w]
+    return sorted({STEM if w.startswith(STEM) else w for w in must if w.startswith(STEM) or w.isalnum()})

@@ -1,8 +1,8 @@
 """Licence scans by ordered signature rules; DataFrame operations only.
 
 A text becomes numbered words, ` 0:this  1:licence `, so that a match of a rule says which words it
-covers. Rules run on the texts that hold one of a few root strings, and of them only those whose
-keyword the text holds. Of the detections of a text, one that lies within another of the same or a
+covers. Rules run on the texts that hold one of a few root strings, and of them only those all of whose
+plain words the text holds. Of the detections of a text, one that lies within another of the same or a
 higher priority goes (of equal spans, the higher priority or the earlier rule stays). The labels of
 those that stay, and those of the base phrases, are the answer; nothing is shuffled, and what a row
 holds is bounded by its text.
@@ -53,25 +53,31 @@ def kept(found: Column) -> Column:
     return F.aggregate(F.sort_array(found), start, merge)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", signatures: list[tuple[int, str, int, str, str]] | None = None) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", signatures: list[tuple] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_kept: one row for each row of docs."""
     of = signatures if signatures is not None else license_rules.rules()
-    text = text_of(text_col)
-    roots = sorted({"license", *license_rules.roots(of)})
-    lowered = F.lower(text)  # of A-Z it makes what the words are matched in, of others at most more
-    gate = F.lit(False)
-    for root in roots:
-        gate = gate | F.contains(lowered, F.lit(root))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), F.when(gate, F.translate(text, UPPER, LOWER)).alias("low"))
     # explode() of one value keeps what many expressions use from being worked anew in each
-    rows = rows.select("doc_id", "n_words", F.explode(F.array(F.col("low"))).alias("low"))
-    rows = rows.select("doc_id", "n_words", "low", F.explode(F.array(numbered(F.regexp_extract_all("low", F.lit(WORD), 0)))).alias("words"))
+    once = lambda c: F.explode(F.array(c))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    rows = rows.select("doc_id", "text", once(F.lower("text")).alias("lowered"))  # of A-Z it makes what the words are matched in, of others at most more
+    gate = F.lit(False)
+    for root in sorted({"license", *license_rules.roots(of)}):
+        gate = gate | F.contains("lowered", F.lit(root))
+    rows = rows.select("doc_id", "text", once(F.when(gate, F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(WORD), F.lit(0)))).alias("list"))
+    n_words = F.when(F.col("list").isNull(), F.regexp_count("text", F.lit(WORD))).otherwise(F.size("list")).cast("long")
+
+    plain = sorted({w for r in of for w in r[5]} - {license_rules.STEM} | {"license"})
+    stem = F.when(F.exists("list", lambda w: F.startswith(w, F.lit(license_rules.STEM))), F.array(F.lit(license_rules.STEM))).otherwise(F.array().cast("array<string>"))
+    present = F.concat(F.array_intersect(F.array(*[F.lit(w) for w in plain]), "list"), stem)
+    rows = rows.select("doc_id", "list", n_words.alias("n_words"), once(present).alias("present"))
+    literal = F.array(*[F.struct(F.lit(r[0]).alias("rule"), F.lit(r[1]).alias("label"), F.lit(r[2]).alias("priority"), F.lit(r[4]).alias("rx"), F.array(*[F.lit(w) for w in r[5]]).alias("needs")) for r in of])
+    active = F.filter(literal, lambda r: F.forall(r["needs"], lambda w: F.array_contains(F.col("present"), w)))
+    rows = rows.select("doc_id", "n_words", "list", "present", once(active).alias("active"))
+    words = F.when((F.size("active") > 0) | F.array_contains("present", "license"), numbered(F.col("list")))
+    rows = rows.select("doc_id", "n_words", "active", once(words).alias("words"))
 
     base = [F.coalesce(F.regexp_extract_all("words", F.lit(license_rules.compiled(p)), 0), F.array().cast("array<string>")) for p in BASE]
     places = F.array(*[F.struct(m.alias("found"), F.lit(label).alias("label")) for m, label in zip(base, BASE.values())])
-    literal = F.array(*[F.struct(F.lit(r[0]).alias("rule"), F.lit(r[1]).alias("label"), F.lit(r[2]).alias("priority"), F.lit(r[3]).alias("keyword"), F.lit(r[4]).alias("rx")) for r in of])
-    present = F.filter(F.array(*[F.lit(k) for k in sorted({r[3] for r in of})]), lambda k: F.contains(F.col("low"), k))
-    rows = rows.select("doc_id", "n_words", "words", F.filter(places, lambda p: F.size(p["found"]) > 0).alias("places"), F.explode(F.array(present)).alias("present"))
 
     def of_rule(r: Column) -> Column:
         def detection(m: Column) -> Column:
@@ -79,8 +85,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", signat
 
         return F.transform(F.regexp_extract_all(F.col("words"), r["rx"], F.lit(0)), detection)
 
-    active = F.filter(literal, lambda r: F.array_contains(F.col("present"), r["keyword"]))
-    rows = rows.select("doc_id", "n_words", "places", F.explode(F.array(kept(F.flatten(F.transform(active, of_rule))))).alias("kept"))
+    found = F.when(F.size("active") > 0, F.flatten(F.transform("active", of_rule)))
+    rows = rows.select("doc_id", "n_words", once(F.filter(places, lambda p: F.size(p["found"]) > 0)).alias("places"), "words", "active").select("doc_id", "n_words", "places", once(kept(found)).alias("kept"))
 
     firsts = F.transform("places", lambda p: edge(p["found"][0], FIRST))
     lasts = F.transform("places", lambda p: edge(F.element_at(p["found"], -1), FIRST))
@@ -101,7 +107,7 @@ def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     of = license_rules.rules()
-    values = ", ".join(f"({n}, '{label}', {p}, '{k}', '{rx}')" for n, label, p, k, rx in of)
+    values = ", ".join(f"({n}, '{label}', {p}, '{k}', '{rx}')" for n, label, p, k, rx, _ in of)
     base = ", ".join(f"('{label}', '{license_rules.compiled(p)}')" for p, label in BASE.items())
     sure = " ".join(f"WHEN {k} THEN {v}" for k, v in license_rules.CONFIDENCE.items())
     ends = " ".join(f"WHEN {k} THEN max(CASE WHEN priority >= {k} THEN last END) OVER w" for k in LEVELS)
