@@ -113,3 +113,19 @@ def test_slabs(monkeypatch):
         starts = sorted(int(a - d) for a, x, y in zip(at, lo, hi) for d in range(x, y + 1))
         assert starts == list(range(len(data) - repeats.LENGTH + 1))
         assert lo.min() >= 0 and hi.max() < repeats.STARTS
+
+
+def test_anchors_of_a_long_run_come_in_bounded_parts(spark):
+    import resource
+
+    data = np.full(20 << 20, 32, dtype=np.uint8)
+    was, n = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, 0
+    for slab in repeats.anchor_slabs(data):
+        n += len(slab[0])
+    assert n == (20 << 20) - repeats.LENGTH + 1
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - was < 700 << 10  # KB
+    text = " " * 300_000
+    rows = [(1, text), (2, text[:5000]), (3, "a" + text[:150] + "b"), (4, None)]
+    got = {r["doc_id"]: r["_spans"] for r in repeats.with_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[3] is None and got[4] is None
+    assert {k: [(x["s"], x["e"]) for x in got[k]] for k in (1, 2)} == {1: [(0, 300_000)], 2: [(0, 5000)]}  # touching spans are one

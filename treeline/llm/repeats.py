@@ -34,7 +34,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,7 +44,8 @@ LENGTH = 200
 GRAM = 48
 STARTS = LENGTH - GRAM + 1  # windows that can name an anchor
 SPANS = (STARTS, 20, 5, 1)  # starts of a run in each round; each but the first divides the one before
-SLAB = 1 << 22  # bytes worked at once
+SLAB = 1 << 20  # bytes worked at once
+EMIT = 50_000  # anchors that a task holds as rows
 MAX_FILTER_BITS = 1 << 28  # 32 MB, whatever the input
 BATCH = 4 << 20
 
@@ -96,14 +97,10 @@ def leftmost_smallest(g: np.ndarray, width: int) -> np.ndarray:
     return (x & low).astype(np.int64)
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchor_slabs(data: np.ndarray):
     """Positions that some window names, the hashes of their strings, and the fewest and most bytes
-    before each position at which a window that names it starts."""
-    n = len(data)
-    if n < LENGTH:
-        none = np.zeros(0, dtype=np.int64)
-        return none, none.astype(np.uint64), none, none
-    found = []
+    before each position at which a window that names it starts; a slab of the text at a time."""
+    n, held = len(data), None
     for s in range(0, n - LENGTH + 1, SLAB):
         g = gram_hashes(data[s : s + SLAB + LENGTH - 1])
         named = leftmost_smallest(g, STARTS)
@@ -111,13 +108,26 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         start = np.flatnonzero(np.diff(named, prepend=-1))
         end = np.append(start[1:], len(named)) - 1
         at = named[start]
-        found.append((at + s, g[at], at - end, at - start))
+        slab = [at + s, g[at], at - end, at - start]
+        if held is not None:
+            if held[0][0] == slab[0][0]:  # a position named on both sides of a slab's edge
+                held[2][0] = slab[2][0]
+                slab = [x[1:] for x in slab]
+            slab = [np.concatenate(x) for x in zip(held, slab)]
+        held = [x[-1:].copy() for x in slab]
+        yield tuple(x[:-1] for x in slab)
+    if held is not None:
+        yield tuple(held)
+
+
+def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same of all slabs together."""
+    found = list(anchor_slabs(data))
+    if not found:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none.astype(np.uint64), none, none
     at, g, lo, hi = (np.concatenate(x) for x in zip(*found))
-    again = np.flatnonzero(at[1:] == at[:-1])  # a position named on both sides of a slab's edge
-    lo[again] = lo[again + 1]
-    keep = np.ones(len(at), dtype=bool)
-    keep[again + 1] = False
-    return at[keep], g[keep], lo[keep], hi[keep]
+    return at, g, lo, hi
 
 
 def bit_filter(hashes: DataFrame, expected: int):
@@ -139,13 +149,25 @@ def passes(g: np.ndarray, whole: np.ndarray) -> np.ndarray:
     return (whole[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+def counted(hashes: list[np.ndarray]) -> pd.DataFrame:
+    code, n = np.unique(np.concatenate(hashes), return_counts=True)
+    return pd.DataFrame({"g": code.view(np.int64), "n": n})
+
+
 def count_grams(texts: DataFrame) -> DataFrame:
     def run(frames):
         for pdf in frames:
             for part in batches([pdf], BATCH, "_text"):
-                g = [anchors(np.frombuffer(t.encode(), dtype=np.uint8))[1] for t in part["_text"]]  # whole texts, one by one
-                code, n = np.unique(np.concatenate(g), return_counts=True)
-                yield pd.DataFrame({"g": code.view(np.int64), "n": n})
+                few, size = [], 0
+                for text in part["_text"]:  # whole texts, one by one, each by slabs
+                    for slab in anchor_slabs(np.frombuffer(text.encode(), dtype=np.uint8)):
+                        few.append(slab[1])
+                        size += len(slab[1])
+                        if size > EMIT:
+                            yield counted(few)
+                            few, size = [], 0
+                if size:
+                    yield counted(few)
 
     return texts.select("_text").mapInPandas(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
 
@@ -164,6 +186,8 @@ def two_longs(data: bytes) -> tuple[int, int]:
 def scan(texts: DataFrame, known, with_text: bool) -> DataFrame:
     """Anchors whose string the filter lets pass: ANCHOR; or, each string twice a task at most, with the bytes of all their windows."""
 
+    names = ["g", "f1", "f2", "doc", "hash", "pos", "lo", "hi", *["held"] * with_text]
+
     def run(frames):
         seen: dict[tuple[int, int], int] = {}
         for pdf in frames:
@@ -171,22 +195,28 @@ def scan(texts: DataFrame, known, with_text: bool) -> DataFrame:
                 rows = []
                 for doc, key, text in zip(part["_doc"].tolist(), part["_hash"].tolist(), part["_text"]):
                     raw = text.encode()
-                    at, g, lo, hi = anchors(np.frombuffer(raw, dtype=np.uint8))
-                    ok = passes(g, known.value)
-                    for x, p, a, b in zip(g[ok].view(np.int64).tolist(), at[ok].tolist(), lo[ok].tolist(), hi[ok].tolist()):
-                        held = raw[p - b : p - a + LENGTH]
-                        f1, f2 = two_longs(b"%d %d " % (a, b) + held)
-                        if not with_text:
-                            rows.append((x, f1, f2, doc, key, p, a, b))
-                            continue
-                        # whether there is one or more is all that counts
-                        times = seen.get((f1, f2), 0)
-                        if times < 2:
-                            seen[f1, f2] = times + 1
-                            rows.append((x, f1, f2, doc, key, p, a, b, held))
+                    for slab in anchor_slabs(np.frombuffer(raw, dtype=np.uint8)):
+                        ok = np.flatnonzero(passes(slab[1], known.value))
+                        for k in range(0, len(ok), EMIT):
+                            at, g, lo, hi = (x[ok[k : k + EMIT]] for x in slab)
+                            for x, p, a, b in zip(g.view(np.int64).tolist(), at.tolist(), lo.tolist(), hi.tolist()):
+                                held = raw[p - b : p - a + LENGTH]
+                                f1, f2 = two_longs(b"%d %d " % (a, b) + held)
+                                if not with_text:
+                                    rows.append((x, f1, f2, doc, key, p, a, b))
+                                    continue
+                                # whether there is one or more is all that counts
+                                times = seen.get((f1, f2), 0)
+                                if times < 2:
+                                    seen[f1, f2] = times + 1
+                                    rows.append((x, f1, f2, doc, key, p, a, b, held))
+                            if len(rows) > EMIT:  # a run of one character makes every position an anchor
+                                yield pd.DataFrame(rows, columns=names)
+                                rows = []
                 if len(seen) > 1_000_000:
                     seen = {}
-                yield pd.DataFrame(rows, columns=["g", "f1", "f2", "doc", "hash", "pos", "lo", "hi", *["held"] * with_text])
+                if rows:
+                    yield pd.DataFrame(rows, columns=names)
 
     return texts.select("_doc", "_hash", "_text").mapInPandas(run, ANCHOR + ", held binary" * with_text)
 
@@ -264,8 +294,13 @@ def repeated_spans(texts: DataFrame, root: str) -> DataFrame:
     spans = parts[0]
     for p in parts[1:]:
         spans = spans.unionByName(p)
-    # equal rows share a key: what they have in common comes once
-    return stored(spans.distinct().groupBy("doc", "hash").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+    # equal rows share a key: what they have in common comes once; spans that touch are one
+    w = Window.partitionBy("doc", "hash").orderBy("s", "e")
+    before = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    runs = spans.distinct().withColumn("fresh", F.coalesce(F.col("s") > before, F.lit(True)).cast("int"))
+    runs = runs.withColumn("run", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("doc", "hash", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    return stored(runs.groupBy("doc", "hash").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
 
 
 def reranked(rows: DataFrame, root: str) -> DataFrame:
