@@ -88,3 +88,21 @@ def test_rows_that_repeat_an_id_keep_their_own_classes(spark):
     for order in (rows, rows[::-1], rows[1:] + rows[:1]):
         got = near.near_copies(spark.createDataFrame(order, "doc_id long, text string")).collect()
         assert sorted((r["doc_id"] or 0, r["class_id"] or 0, r["kept"]) for r in got) == want
+
+
+def test_long_alignments_go_by_matches():
+    import time
+
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        a, b = (rng.integers(0, 6, rng.integers(1, 40)).tolist() for _ in range(2))
+        where = {x: [j for j, y in enumerate(b) if x == y] for x in b}
+        band = int(rng.integers(1, 40))
+        assert near.by_matches(a, where, band) == near.common(a, b, band)
+    a = rng.integers(0, 1 << 62, 2_000_000)
+    b = np.delete(a, rng.integers(0, len(a), 150_000))
+    b[rng.integers(0, len(b), 20_000)] = 7
+    began = time.time()
+    la, lb = (np.sort(near.labelled(x.view(np.uint64))) for x in (a, b))
+    assert near.similar(a.view(np.uint64), b.view(np.uint64), la, lb)
+    assert time.time() - began < 60

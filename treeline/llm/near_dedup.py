@@ -15,7 +15,9 @@ shingles gives L / (a + b - L) >= 0.8: the Jaccard similarity of the sequences i
   blocks, and only pairs of different components that share enough are aligned. No bucket is
   capped, and no pair of a bucket is left undecided between components.
 * Alignment: pairs that differ by more than (a + b) / 9 insertions and deletions cannot be near
-  copies, so the alignment is confined to that band, bit-parallel.
+  copies, so the alignment is confined to that band, bit-parallel. In long texts whose shingles are found
+  a few times each it goes by the matches, which takes n log n steps; long texts of few distinct
+  shingles keep the band, whose work grows with the square of their length.
 
 Defined results: null text is empty; texts without words are near copies of nothing; each row is a
 document of its own, so rows that repeat an id with other texts lie in classes of their own, in any
@@ -25,6 +27,8 @@ if that has none (kept is then true); an empty table gives no rows. Other column
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +45,8 @@ PICKS = 3
 BLOCK = 2048  # classes of a block in the comparison within buckets
 BLOCK_CHARS = 8 << 20  # and its characters, but for single longer texts
 BATCH = 4 << 20
+WIDE_BAND = 4096  # shingles; from there on an alignment goes by its matches
+FEW_MATCHES = 16  # for each shingle at most, or else by bits after all
 WIDE = 1 << 16  # shingles from which on sketches are made one by one
 SEEDS = np.random.default_rng(11).integers(1, 1 << 63, SKETCHES, dtype=np.uint64)
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -104,10 +110,15 @@ def sketch(sh: np.ndarray) -> np.ndarray:
 
 
 def common(a: list[int], b: list[int], band: int) -> int:
-    """Longest common subsequence over matches at most `band` apart, a bit for each column of the band."""
+    """Longest common subsequence over matches at most `band` apart, a bit for each column of the band.
+
+    With a wide band, sequences whose elements are found a few times each go by their matches instead.
+    """
     where: dict[int, list[int]] = {}
     for j, x in enumerate(b):
         where.setdefault(x, []).append(j)
+    if band > WIDE_BAND and sum(len(where.get(x, ())) for x in a) <= FEW_MATCHES * (len(a) + len(b)):
+        return by_matches(a, where, band)
     width = 2 * band + 1
     mask = (1 << width) - 1
     v, found = mask, 0  # bit t of row i is column i - band + t; zeros are matches
@@ -124,6 +135,20 @@ def common(a: list[int], b: list[int], band: int) -> int:
     return found + width - v.bit_count()
 
 
+def by_matches(a: list[int], where: dict[int, list[int]], band: int) -> int:
+    """The same as the longest rising run of places in b, taken in the order of a: a search for each match."""
+    ends: list[int] = []  # the least last place of a common subsequence of each length
+    for i, x in enumerate(a):
+        for j in reversed(where.get(x, ())):
+            if -band <= j - i <= band:
+                k = bisect_left(ends, j)
+                if k == len(ends):
+                    ends.append(j)
+                else:
+                    ends[k] = j
+    return len(ends)
+
+
 def similar(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, bound: float = SIMILARITY) -> bool:
     """Whether two shingle sequences are near copies. la, lb: their sorted labelled shingles."""
     n, m = len(a), len(b)
