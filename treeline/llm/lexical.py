@@ -4,7 +4,7 @@ A document is a vector of the integer impacts of its terms, an item a vector of
 score is their product. Only terms of items are coordinates. Vectors are laid out by Spark in order
 of their length, and a task's batches are the buckets. The product is at most the product of the
 lengths (Cauchy-Schwarz), which rules out whole buckets for an item whose k-th best score so far is
-higher; inside a bucket, the few coordinates that can add most are summed up, and what is left is
+higher; inside a bucket, the coordinates that can add most are summed up, and what is left is
 bounded by the lengths of the rests and by the bucket's largest coordinates. Survivors are scored in
 64-bit integers over all coordinates. Lower bounds of the k-th best come from a bounded sample of
 documents first, so that every task starts with them; the results do not depend on the sample.
@@ -37,7 +37,7 @@ TERM = re.compile(rb"[0-9a-z\x80-\xff]+")  # over the bytes of a text whose A-Z
 TOP = 20
 ITEM_BYTES = 8 << 20  # of item texts that one pass over the documents serves
 SAMPLE = 50_000  # documents, about, that give the first lower bounds
-FOCUS = 4  # coordinates of an item that are summed up before the others are bounded
+FOCUS = 32  # coordinates of an item that are summed up before the others are bounded
 SLACK = 1 + 1e-9  # bounds are doubles, scores are not
 PER_TASK = 200_000  # vectors
 
