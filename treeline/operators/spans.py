@@ -29,17 +29,25 @@ def nearest(context: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
     return context.join(found, ["tree_id", "node_id"], "left")
 
 
-def overlaps(a: DataFrame, b: DataFrame, key: str, width: int) -> DataFrame:
-    """Pairs of intervals (key, id, first, last) of the same key that overlap: (key, a, b).
+def overlaps(a: DataFrame, b: DataFrame, key: str, width: int = 1) -> DataFrame:
+    """Pairs of intervals (key, id, first, last; whole numbers) of the same key that overlap: (key, a, b).
 
-    Intervals are dealt to bins of `width` and meet on (key, bin); a pair counts in the bin where the
-    later of its intervals begins, so it comes once.
+    Bins have widths that are powers of two, `width` or more. Intervals meet at the level of the longer
+    one, where either touches two bins at most, so that a long interval costs no more rows than a
+    short one: two for each level from its own on. A pair counts in the bin where the later begins.
     """
 
+    def level(x: DataFrame) -> DataFrame:
+        own = F.ceil(F.log2((F.col("last") - F.col("first") + 1).cast("double"))).cast("int")
+        return x.filter("first <= last").select(key, "id", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), F.greatest(own, F.lit(max(0, (width - 1).bit_length()))).alias("own"))
+
+    a, b = level(a), level(b)
+    levels = a.select("own").unionByName(b.select("own")).distinct().agg(F.sort_array(F.collect_set("own")).alias("levels"))  # one row, 64 numbers at most
+
     def binned(x: DataFrame, name: str) -> DataFrame:
-        bins = F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width)))
-        return x.filter("first <= last").select(key, F.col("id").alias(name), F.col("first").alias(f"{name}1"), F.col("last").alias(f"{name}2"), bins.alias("bin"))
+        rows = x.join(F.broadcast(levels)).withColumn("level", F.explode(F.filter("levels", lambda k: k >= F.col("own"))))
+        bins = F.explode(F.sequence(F.expr("shiftright(first, level)"), F.expr("shiftright(last, level)")))
+        return rows.select(key, "level", F.col("id").alias(name), F.col("first").alias(f"{name}1"), F.col("last").alias(f"{name}2"), F.col("own").alias(f"{name}_own"), bins.alias("bin"))
 
-    pairs = binned(a, "a").join(binned(b, "b"), [key, "bin"])
-    meet = F.greatest("a1", "b1")
-    return pairs.filter((meet <= F.least("a2", "b2")) & (F.col("bin") == F.floor(meet / width))).select(key, "a", "b")
+    pairs = binned(a, "a").join(binned(b, "b"), [key, "level", "bin"]).filter("level = greatest(a_own, b_own)")
+    return pairs.filter("greatest(a1, b1) <= least(a2, b2) and bin = shiftright(greatest(a1, b1), level)").select(key, "a", "b")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import added_after, after, as_task, before, modifiers, renamed, shortened, summary, unquoted, whole, wildcard_replaced
 from ..operators.flow import region_sets
-from ..operators.graph import reach
+from ..operators.graph import call_tree
 from ..operators.steps import edge_wildcard, holds, test
 from ..sources.files import files, language, workspace
 from ..sources.trees import table
@@ -147,12 +147,12 @@ def markers_capped(spark, sf):
 @query(f"""WITH RECURSIVE e AS (SELECT * FROM ({_CHAIN}) WHERE dst IS NOT NULL), r(start, node, depth) AS (SELECT min(o_orderkey), min(o_orderkey), 0 FROM orders GROUP BY o_custkey
   UNION SELECT r.start, e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 3) SELECT start, node, repeat(' ', 2 * depth) || 'order ' || node AS line FROM r WHERE depth > 0""")
 def call_tree_lines(spark, sf):
-    """Callees to a depth as indented lines, each node once below its start."""
+    """Callees to a depth as indented lines below their callers, each node once below its start."""
     o = table(spark, sf, "orders")
     edges = o.select(F.col("o_orderkey").alias("src"), F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("dst")).filter("dst is not null")
-    rows = reach(o.groupBy("o_custkey").agg(F.min("o_orderkey").alias("node")), edges, 3)
-    line = F.concat(F.repeat(F.lit(" "), F.col("depth") * 2), F.lit("order "), "node")
-    return rows.select("start", "node", line.alias("line")).orderBy("start", "depth", "node")
+    rows = call_tree(o.groupBy("o_custkey").agg(F.min("o_orderkey").alias("node")), edges.withColumn("at", F.col("dst")), 3).filter("not again")
+    text = F.concat(F.repeat(F.lit(" "), F.col("depth") * 2), F.lit("order "), "dst")
+    return rows.orderBy("start", "line").select("start", F.col("dst").alias("node"), text.alias("line"))
 
 
 @query("""WITH g AS (SELECT conv_id, turn, role, count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS depth FROM conversations)

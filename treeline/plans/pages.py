@@ -185,3 +185,15 @@ def page_reachability(spark, sf):
     stuck, dead = unreachable(b, b.filter("kind = 'br'"))
     rows = b.select("tree_id", "node_id").join(stuck.withColumn("stuck", F.lit(True)), ["tree_id", "node_id"], "left").join(dead.withColumn("dead", F.lit(True)), ["tree_id", "node_id"], "left")
     return rows.select(F.col("tree_id").alias("page_id"), "node_id", F.col("stuck").isNull().alias("end_reached"), F.col("dead").isNotNull().alias("dead"))
+
+
+_NESTS = ("nav", "ul", "li", "div", "article")
+
+
+@query(_PAGES + f"SELECT x.t AS page_id, x.node_id, count(y.node_id) AS depth FROM n x LEFT JOIN n y ON y.t = x.t AND y.node_id < x.node_id AND y.sub_end >= x.node_id AND y.kind IN {_NESTS} GROUP BY 1, 2")
+def page_nesting_depth(spark, sf):
+    """How many blocks an element stands in, by its ancestors."""
+    n = page_tree(spark, sf)
+    blocks = n.filter(F.col("kind").isin(*_NESTS)).select("tree_id", F.col("node_id").alias("up"))
+    inside = n.select("tree_id", "node_id", F.explode("anc").alias("up")).join(blocks, ["tree_id", "up"]).groupBy("tree_id", "node_id").agg(F.count("*").alias("blocks"))
+    return n.join(inside, ["tree_id", "node_id"], "left").select(F.col("tree_id").alias("page_id"), "node_id", F.coalesce("blocks", F.lit(0)).alias("depth"))

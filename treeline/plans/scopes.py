@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import whole
+from ..operators.order_keys import insert_after, labelled, places
 from ..operators.scopes import meant, visible
 from ..operators.splice import spans_of, splice
 from ..sources.trees import page_tree, table
@@ -51,3 +52,22 @@ def text_splices(spark, sf):
     edits = spans_of(d, "doc_id", "text", whole("of the"), F.lit("des"), 1).unionByName(spans_of(d, "doc_id", "text", whole("of"), F.lit("von"), 2))
     rows = splice(d, edits, "doc_id")
     return rows.select("doc_id", "n_edits", "n_refused", F.length("spliced").cast("long").alias("n_chars"), F.md5("spliced").alias("text"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, role, text FROM conversations)
+  SELECT m.conv_id, m.turn, (m.turn + (SELECT count(*) FROM c u WHERE u.conv_id = m.conv_id AND u.turn < m.turn AND u.role = 'assistant') + (SELECT count(*) FROM c u WHERE u.conv_id = m.conv_id AND u.turn < m.turn AND u.turn > 0 AND u.role = 'user') * 2)::BIGINT AS place,
+    md5(m.text) AS text FROM c m WHERE m.turn > 0 AND m.role = 'assistant'""")
+def markers_over_versions(spark, sf):
+    """Where marked turns stand after three versions: a note after each answer, the first turn gone, two notes after each question that is left."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    rows = labelled(turns.select("conv_id", "role", F.concat(F.lit("t"), F.col("turn")).alias("id"), "turn"), "conv_id", "turn").drop("turn")
+    marks = turns.filter("role = 'assistant'").select("conv_id", F.concat(F.lit("t"), F.col("turn")).alias("id"), "turn", "text")
+
+    def notes(role: str, name: str):
+        return rows.filter(F.col("role") == role).select("conv_id", F.lit("note").alias("role"), F.concat(F.lit(name), "id").alias("id"), F.col("id").alias("after"))
+
+    first = insert_after(rows, notes("assistant", "a-"), "conv_id", "id")
+    second = first.filter("id <> 't0'")
+    third = insert_after(second, notes("user", "b-").unionByName(notes("user", "c-")), "conv_id", "id")
+    found = places(third, "conv_id").join(marks, ["conv_id", "id"])
+    return found.select("conv_id", "turn", "place", F.md5("text").alias("text"))
