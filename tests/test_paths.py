@@ -1,3 +1,6 @@
+import os
+
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from treeline.functions import added_after, as_task, modifiers, summary, unquoted, wildcard_replaced
@@ -86,9 +89,9 @@ def test_files_and_workspaces(spark, sf, tmp_path):
     assert [r["path"].removeprefix(f"file:{tmp_path}/") for r in got.collect()] == ["a/y.CS", "b/x.cs"]
     assert [r[0] for r in got.select(language(F.col("path"))).collect()] == ["C#", "C#"]
     assert {r["text"] for r in texts(spark, root, "*.fsx").collect()} == {"text of w.fsx\nend"}
-    import os
-
-    assert {(r["name"], r["bytes"]) for r in workspace_files(spark, sf).collect()} == {(x, os.path.getsize(f"{sf}/{x}")) for x in os.listdir(sf) if x.endswith(".parquet")}
+    tables = {x: os.path.getsize(f"{sf}/{x}") for x in os.listdir(sf) if x.endswith(".parquet")}
+    assert {r["path"].split("/")[-1]: r["bytes"] for r in files(spark, sf, "*.parquet").collect()} == tables
+    assert {r["name"]: r["n_rows"] for r in workspace_files(spark, sf).collect()} == {x: pq.read_metadata(f"{sf}/{x}").num_rows for x in tables}
     rows = spark.createDataFrame([("1", "/Src/B"), ("2", "/src/a"), ("3", None)], "id string, path string")
     chosen = lambda w: sorted(r["id"] for r in workspace(rows, "id", "path", w).collect())
     assert chosen("3") == ["3"] and chosen("/SRC") == ["1"] and chosen("/src/a") == ["2"] and chosen("nothing") == ["1", "2", "3"] == chosen(None)

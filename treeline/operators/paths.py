@@ -12,10 +12,14 @@ from .steps import step, test
 
 @dataclass(frozen=True)
 class At:
-    """The n-th node (from 1) of each context in document order, nearest first on ancestor axes; or n-th from the end."""
+    """The n-th node (from 1) of each context in document order, nearest first on ancestor axes; or n-th from the end.
+
+    With `whole` it is the n-th of all that the step has found in a tree, whatever the contexts; a node found twice counts twice.
+    """
 
     n: int
     last: bool = False
+    whole: bool = False
 
 
 @dataclass(frozen=True)
@@ -48,7 +52,8 @@ def path(context: DataFrame, nodes: DataFrame, steps: tuple[Step, ...] | list[St
         for p in s.where:
             if isinstance(p, At):  # a context that comes twice has its node twice
                 order = F.desc("node_id") if p.last != s.axis.startswith("ancestor") else F.asc("node_id")
-                rows = rows.withColumn("_at", F.dense_rank().over(per.orderBy(order))).filter(F.col("_at") == p.n).drop("_at")
+                at = F.row_number().over(Window.partitionBy("tree_id").orderBy(order, *kept)) if p.whole else F.dense_rank().over(per.orderBy(order))
+                rows = rows.withColumn("_at", at).filter(F.col("_at") == p.n).drop("_at")
             elif isinstance(p, Has):
                 rows = having(rows, nodes, p)
             else:

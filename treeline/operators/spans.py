@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -51,3 +51,19 @@ def overlaps(a: DataFrame, b: DataFrame, key: str, width: int = 1) -> DataFrame:
 
     pairs = binned(a, "a").join(binned(b, "b"), [key, "level", "bin"]).filter("level = greatest(a_own, b_own)")
     return pairs.filter("greatest(a1, b1) <= least(a2, b2) and bin = shiftright(greatest(a1, b1), level)").select(key, "a", "b")
+
+
+def spots_within(spans: DataFrame, spots: DataFrame) -> DataFrame:
+    """spans (tree_id, span, begin, stop) with n_spots, how many of spots (tree_id, at) have begin <= at < stop.
+
+    Ends and spots of a tree stand in one order, and a running count at a span's two ends tells its
+    number: no span meets its spots one by one, however deep spans lie within each other. A span that
+    ends before it begins holds nothing; `span` is unique in a tree.
+    """
+    none = F.lit(0)
+    ends = spans.select("tree_id", F.explode(F.array("begin", F.greatest("begin", "stop"))).alias("at"), "span", none.alias("spot"))
+    points = ends.unionByName(spots.select("tree_id", "at", F.lit(None).cast(spans.schema["span"].dataType).alias("span"), F.lit(1).alias("spot")))
+    # of points at one place, ends come before spots
+    order = Window.partitionBy("tree_id").orderBy("at", "spot").rowsBetween(Window.unboundedPreceding, 0)
+    counted = points.withColumn("_n", F.sum("spot").over(order)).filter("spot = 0").groupBy("tree_id", "span").agg((F.max("_n") - F.min("_n")).alias("n_spots"))
+    return spans.join(counted, ["tree_id", "span"])

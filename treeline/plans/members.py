@@ -12,16 +12,22 @@ from ..operators.steps import edge_wildcard, holds, test
 from ..sources.files import files, language, workspace
 from ..sources.trees import table
 from ..streaming.markers import mark
-from .catalogue import QUERIES, _CHAIN, query
+from .catalogue import _CHAIN, query
 
 
-def workspace_files(spark, sf):
-    """The files of a workspace by path. No SQL: a test compares it with the folder."""
-    rows = files(spark, sf, "*.parquet")
-    return rows.select(F.substring_index("path", "/", -1).alias("name"), "bytes", language(F.col("path"), {"parquet": "table"}).alias("language"))
+_FILES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-QUERIES["workspace_files"] = workspace_files
+@query(" UNION ALL ".join(f"SELECT '{t}.parquet' AS name, 'table' AS language, count(*) AS n_rows FROM {t}" for t in _FILES))
+def workspace_files(spark, sf):
+    """The tables of a workspace by name, each with the rows that are read from it; those that are absent are left out."""
+    found = files(spark, sf, "*.parquet").select(F.regexp_extract("path", r"/([^/]+\.parquet)(/[^/]+)?$", 1).alias("name"), language(F.col("path"), {"parquet": "table"}).alias("language")).distinct()
+    present = {r["name"] for r in found.filter(F.col("name").isin([f"{t}.parquet" for t in _FILES])).select("name").collect()}  # as many as tables
+    counts = [table(spark, sf, t).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("name", F.lit(f"{t}.parquet")) for t in _FILES if f"{t}.parquet" in present]
+    rows = counts[0]
+    for more in counts[1:]:
+        rows = rows.unionByName(more)
+    return found.join(rows, "name").select("name", "language", "n_rows")
 
 
 @query(r"""SELECT page_id, CASE WHEN regexp_matches(lower(url), '\.(html|htm)$') THEN 'page' WHEN regexp_matches(lower(url), '\.(com|net|org)$') THEN 'site' ELSE 'unknown' END AS language FROM pages""")

@@ -53,14 +53,23 @@ def matched(rows: DataFrame) -> DataFrame:
     return rows.filter("step <> -1 or level > 0").drop("sum", "level")
 
 
+def brackets(rows: DataFrame) -> DataFrame:
+    """Matched tokens with depth and node_id; a close has those of the last element before it."""
+    w = Window.partitionBy("tree_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    opens = F.col("step") == 1
+    return rows.withColumns({"depth": (F.sum("step").over(w) - opens.cast("int")).cast("int"), "node_id": (F.count_if(F.col("step") >= 0).over(w) - 1).cast("long")})
+
+
+def at_close(column: str) -> Column:
+    """Of an open bracket its close's column: those of a depth stand in turn."""
+    return F.lead(column).over(Window.partitionBy("tree_id", "depth", F.col("step") == 0).orderBy("pos"))
+
+
 def page_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """PAGE_NODE: a row for each element, numbered in the order of its page."""
-    w = Window.partitionBy("tree_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     opens = F.col("step") == 1
-    rows = matched(tokens(pages, id_col, html_col)).withColumns({"depth": (F.sum("step").over(w) - opens.cast("int")).cast("int"), "node_id": (F.count_if(F.col("step") >= 0).over(w) - 1).cast("long")})
-    # of the brackets of a depth, an open one and its close stand in turn
-    close = F.lead("node_id").over(Window.partitionBy("tree_id", "depth", F.col("step") == 0).orderBy("pos"))
-    rows = rows.withColumn("sub_end", F.when(opens, close).otherwise(F.col("node_id"))).filter("step >= 0")
+    rows = brackets(matched(tokens(pages, id_col, html_col)))
+    rows = rows.withColumn("sub_end", F.when(opens, at_close("node_id")).otherwise(F.col("node_id"))).filter("step >= 0")
     # an element stands a level down, too, for those that follow there to find it
     levels = F.when(opens, F.array(F.struct(F.col("depth").alias("level"), F.lit(None).cast("long").alias("above")), F.struct((F.col("depth") + 1).alias("level"), F.col("node_id").alias("above"))))
     rows = rows.withColumn("x", F.explode(F.coalesce(levels, F.array(F.struct(F.col("depth").alias("level"), F.lit(None).cast("long").alias("above"))))))
