@@ -92,6 +92,9 @@ def test_files_and_workspaces(spark, sf, tmp_path):
     tables = {x: os.path.getsize(f"{sf}/{x}") for x in os.listdir(sf) if x.endswith(".parquet")}
     assert {r["path"].split("/")[-1]: r["bytes"] for r in files(spark, sf, "*.parquet").collect()} == tables
     assert {r["name"]: r["n_rows"] for r in workspace_files(spark, sf).collect()} == {x: pq.read_metadata(f"{sf}/{x}").num_rows for x in tables}
+    (tmp_path / "none").mkdir()
+    pq.write_table(pq.read_table(f"{sf}/region.parquet"), tmp_path / "none" / "other.parquet")
+    assert workspace_files(spark, f"file://{tmp_path}/none").count() == 0
     rows = spark.createDataFrame([("1", "/Src/B"), ("2", "/src/a"), ("3", None)], "id string, path string")
     chosen = lambda w: sorted(r["id"] for r in workspace(rows, "id", "path", w).collect())
     assert chosen("3") == ["3"] and chosen("/SRC") == ["1"] and chosen("/src/a") == ["2"] and chosen("nothing") == ["1", "2", "3"] == chosen(None)

@@ -24,8 +24,8 @@ def workspace_files(spark, sf):
     found = files(spark, sf, "*.parquet").select(F.regexp_extract("path", r"/([^/]+\.parquet)(/[^/]+)?$", 1).alias("name"), language(F.col("path"), {"parquet": "table"}).alias("language")).distinct()
     present = {r["name"] for r in found.filter(F.col("name").isin([f"{t}.parquet" for t in _FILES])).select("name").collect()}  # as many as tables
     counts = [table(spark, sf, t).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("name", F.lit(f"{t}.parquet")) for t in _FILES if f"{t}.parquet" in present]
-    rows = counts[0]
-    for more in counts[1:]:
+    rows = spark.createDataFrame([], "n_rows long, name string")  # a folder without tables has no rows
+    for more in counts:
         rows = rows.unionByName(more)
     return found.join(rows, "name").select("name", "language", "n_rows")
 
