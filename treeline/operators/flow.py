@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.folders import stored
+from ..sources.folders import shuffled, stored
 
 
 def control_flow(rows: DataFrame, region: str, order: tuple[str, ...], kind: str, returns: tuple[str, ...], others: tuple[str, ...] = ()) -> DataFrame:
@@ -44,7 +44,7 @@ def spans(blocks: DataFrame) -> DataFrame:
     stops = blocks.filter(F.col("role").isin("branch", "loop")).select("tree_id", F.col("node_id").alias("above"), F.col("role").alias("of"))
     ups = blocks.select("tree_id", "node_id", F.explode("anc").alias("above")).join(stops, ["tree_id", "above"])
     near = ups.groupBy("tree_id", "node_id").agg(F.max(F.struct("above", "of")).alias("s"))
-    met = blocks.join(near, ["tree_id", "node_id"], "left").select(*blocks.columns, F.col("s.above").alias("stop"), F.col("s.of").alias("stop_role"))
+    met = blocks.join(shuffled(near), ["tree_id", "node_id"], "left").select(*blocks.columns, F.col("s.above").alias("stop"), F.col("s.of").alias("stop_role"))
     chain = F.concat("anc", F.array("node_id"))
     return met.withColumn("up", F.filter(chain, lambda x: F.col("stop").isNull() | (x > F.col("stop"))))
 
@@ -78,7 +78,7 @@ def always_assigned(blocks: DataFrame, assigned: DataFrame) -> DataFrame:
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)
-    return out.distinct()
+    return shuffled(out.distinct())
 
 
 def conditional_assignments(blocks: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -96,9 +96,9 @@ def unreachable(blocks: DataFrame, exits: DataFrame) -> tuple[DataFrame, DataFra
     children of a sequence or loop never runs, nor does anything below.
     """
     stuck = always_assigned(blocks, exits.select("tree_id", "node_id", F.lit("exit").alias("var"))).select("tree_id", "node_id")
-    rows = blocks.join(stuck, ["tree_id", "node_id"], "left_semi").filter("parent_id is not null")
+    rows = shuffled(blocks.join(stuck, ["tree_id", "node_id"], "left_semi")).filter("parent_id is not null")
     first = rows.groupBy("tree_id", "parent_id").agg(F.min("node_id").alias("first"))
     ordered = blocks.filter("role <> 'branch'").select("tree_id", F.col("node_id").alias("parent_id"))
-    after = blocks.join(first.join(ordered, ["tree_id", "parent_id"], "left_semi"), ["tree_id", "parent_id"]).filter("node_id > first").select("tree_id", F.col("node_id").alias("dead"))
+    after = blocks.join(shuffled(first.join(ordered, ["tree_id", "parent_id"], "left_semi")), ["tree_id", "parent_id"]).filter("node_id > first").select("tree_id", F.col("node_id").alias("dead"))
     chain = blocks.select("tree_id", "node_id", F.explode(F.concat("anc", F.array("node_id"))).alias("dead"))
-    return stuck, chain.join(after, ["tree_id", "dead"], "left_semi").select("tree_id", "node_id").distinct()
+    return stuck, shuffled(chain.join(shuffled(after), ["tree_id", "dead"], "left_semi").select("tree_id", "node_id").distinct())

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.folders import stored
+from ..sources.folders import shuffled, stored
 
 
 def doubled(links: DataFrame, name: str, combine: dict[str, F.Column]) -> DataFrame:
@@ -52,7 +52,7 @@ def forest_numbers(rows: DataFrame, order: str) -> DataFrame:
     family = Window.partitionBy("tree_id", "parent").orderBy(order, "node")
     known = rows.select("tree_id", "node", "parent", order, F.lead("node").over(family).alias("sibling"), (F.row_number().over(family) == 1).alias("eldest"))
     first = known.filter("eldest and parent is not null").select("tree_id", F.col("parent").alias("node"), F.col("node").alias("child"))
-    known = known.join(first, ["tree_id", "node"], "left")
+    known = known.join(shuffled(first), ["tree_id", "node"], "left")
 
     def end(at: F.Column, after: F.Column, nodes: int, still: int) -> F.Column:
         return F.struct(at.alias("at"), after.alias("next"), F.lit(nodes).cast("long").alias("nodes"), F.lit(still).cast("long").alias("open"))
@@ -64,7 +64,7 @@ def forest_numbers(rows: DataFrame, order: str) -> DataFrame:
     ranked = doubled(ends, "tour", {"nodes": F.col("here.nodes") + F.col("there.nodes"), "open": F.col("here.open") + F.col("there.open")})
     # what an end counts includes itself
     tops = ranked.groupBy("tree_id").agg(F.max("nodes").alias("all"))
-    numbers = ranked.join(tops, ["tree_id"])
+    numbers = shuffled(ranked.join(tops, ["tree_id"]))
     node = F.shiftright("at", 1)
     entered = numbers.filter("at % 2 = 0").select("tree_id", node.alias("node"), (F.col("all") - F.col("nodes")).alias("node_id"), (-F.col("open")).cast("int").alias("depth"))
     left = numbers.filter("at % 2 = 1").select("tree_id", node.alias("node"), (F.col("all") - F.col("nodes") - 1).alias("sub_end"))
