@@ -8,6 +8,7 @@ from ..functions import after, before, normalize_space
 from ..operators.paths import At, Has, Step, path
 from ..operators.scopes import visible
 from ..operators.spans import spots_within
+from ..sources.markup import tasks_for
 from ..sources.places import around, attributes_of, contents, diagnostics, places
 from ..sources.trees import page_tree, table
 from .catalogue import kind, query
@@ -27,7 +28,9 @@ _PLACES = f""", sg0 AS (SELECT t, generate_subscripts(parts, 1) AS pos, unnest(p
 
 
 def _placed(nodes, spark, sf):
-    return nodes.join(places(table(spark, sf, "pages")), ["tree_id", "node_id"])
+    pages = table(spark, sf, "pages")
+    tasks = tasks_for(pages)  # both sides by page: places are there already
+    return nodes.repartition(tasks, "tree_id").join(places(pages, tasks=tasks), ["tree_id", "node_id"])
 
 
 @query(_PAGES + _PLACES + "SELECT t AS page_id, node_id, kind, start, stop, line, last_line, text_stop - text_at AS chars FROM pl")

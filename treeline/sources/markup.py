@@ -21,6 +21,8 @@ VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 RAW = ("script", "style")
 TAG = r"""</?[A-Za-z][A-Za-z0-9-]*(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
 NAME = r"^</?([A-Za-z][A-Za-z0-9-]*)"
+#: So many characters of markup have their tags in one task, whatever the number of pages.
+CHARS = 1 << 23
 PAGE_NODE = ["tree_id", "kind", "tag", "node_id", "depth", "sub_end", "parent_id"]
 
 
@@ -32,13 +34,23 @@ def bare(html: Column) -> Column:
     return out
 
 
-def tokens(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """tree_id, pos, tag, kind (the element's name), step (1 open, -1 close, 0 leaf)."""
+def tasks_for(pages: DataFrame, html_col: str = "html") -> int:
+    """How many tasks the tags of the pages are dealt to: as many more as there is more markup."""
+    chars = pages.agg(F.sum(F.length(html_col)).alias("n")).first()["n"]
+    return 1 + (chars or 0) // CHARS
+
+
+def tokens(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", tasks: int | None = None) -> DataFrame:
+    """tree_id, pos, tag, kind (the element's name), step (1 open, -1 close, 0 leaf), dealt by page to as many tasks as `tasks_for` says.
+
+    Tags take a hundredth of their size in a shuffle, by which Spark would put tasks together. All windows that
+    follow are by page, so that rows are dealt once.
+    """
     tags = pages.select(F.col(id_col).cast("long").alias("tree_id"), F.posexplode(F.regexp_extract_all(bare(F.col(html_col)), F.lit(TAG), 0)).alias("pos", "tag"))
     rows = tags.select("tree_id", "pos", "tag", F.lower(F.regexp_extract("tag", NAME, 1)).alias("kind"), F.startswith("tag", F.lit("</")).alias("closing"))
     void = F.col("kind").isin(*VOID)
     step = F.when(F.col("closing"), -1).when(void | F.endswith("tag", F.lit("/>")), 0).otherwise(1)
-    return rows.filter(~(F.col("closing") & void)).select("tree_id", "pos", "tag", "kind", step.alias("step"))
+    return rows.filter(~(F.col("closing") & void)).select("tree_id", "pos", "tag", "kind", step.alias("step")).repartition(tasks or tasks_for(pages, html_col), "tree_id")
 
 
 def matched(rows: DataFrame) -> DataFrame:
