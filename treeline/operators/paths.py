@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import shuffled
 from .steps import step, test
 
 
@@ -68,7 +69,7 @@ def having(rows: DataFrame, nodes: DataFrame, p: Has) -> DataFrame:
     """Rows from which the path finds a node (or none)."""
     starts = rows.select(*[c for c in nodes.columns]).dropDuplicates(["tree_id", "node_id"]).withColumn("_from", F.col("node_id"))
     met = path(starts, nodes, p.steps, distinct=True, carry=("_from",)).select("tree_id", F.col("_from").alias("node_id")).distinct()
-    return rows.join(met, ["tree_id", "node_id"], "left_anti" if p.negate else "left_semi")
+    return rows.join(shuffled(met), ["tree_id", "node_id"], "left_anti" if p.negate else "left_semi")
 
 
 def ordinals(nodes: DataFrame) -> DataFrame:
@@ -86,9 +87,13 @@ def kth_siblings(nodes: DataFrame, column: str, k: int) -> DataFrame:
 def node_paths(context: DataFrame, nodes: DataFrame, label: F.Column) -> DataFrame:
     """context with `path`: labels of a node's ancestors and its own, from the root down. label: of the columns of ordinals()."""
     named = ordinals(nodes).select("tree_id", F.col("node_id").alias("up"), label.alias("label"))
-    ups = context.select("tree_id", "node_id", F.explode(F.concat("anc", F.array("node_id"))).alias("up"))
-    met = ups.join(named, ["tree_id", "up"]).groupBy("tree_id", "node_id").agg(F.sort_array(F.collect_list(F.struct("up", "label"))).alias("parts"))  # one for each level
-    return context.join(met, ["tree_id", "node_id"]).withColumn("path", F.concat(F.lit("/"), F.array_join(F.transform("parts", lambda x: x["label"]), "/"))).drop("parts")
+    mine = context.join(named.select("tree_id", F.col("up").alias("node_id"), F.col("label").alias("_label")), ["tree_id", "node_id"])
+    # most nodes have nothing below them: the labels of a path are gathered once for all children of its last node
+    tops = context.filter("parent_id is not null").select("tree_id", F.col("parent_id").alias("node_id"), "anc").dropDuplicates(["tree_id", "node_id"])
+    ups = tops.select("tree_id", F.col("node_id").alias("parent_id"), F.explode("anc").alias("up"))
+    met = ups.join(named, ["tree_id", "up"]).groupBy("tree_id", "parent_id").agg(F.sort_array(F.collect_list(F.struct("up", "label"))).alias("parts"))  # one for each level
+    above = met.select("tree_id", "parent_id", F.concat(F.lit("/"), F.array_join(F.transform("parts", lambda x: x["label"]), "/")).alias("_above"))
+    return mine.join(above, ["tree_id", "parent_id"], "left").withColumn("path", F.concat(F.coalesce("_above", F.lit("")), F.lit("/"), "_label")).drop("_above", "_label")
 
 
 def limited(nodes: DataFrame, depth: int, base: int = 0) -> DataFrame:
