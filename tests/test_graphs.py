@@ -4,6 +4,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 from treeline.operators.flow import always_assigned, conditional_assignments, unreachable
+from treeline.operators import graph
 from treeline.operators.graph import call_tree, condensed, distances, reach, reachable_counts
 
 
@@ -134,3 +135,19 @@ def test_assignments_and_reachability(spark, seed):
         if n in gone or any(a in gone for a in anc) or (up is not None and rows[up][4] != "branch" and any(r[2] == up and r[1] < n and r[1] in stops for r in rows)):
             gone.add(n)
     assert {r["node_id"] for r in dead.collect()} == gone
+
+
+@pytest.mark.parametrize("rounds", [64, 2])
+def test_components_around_pivots(spark, monkeypatch, rounds):
+    """A large component with ways in and out is one node before pairs are composed; with too few rounds pairs find the rest."""
+    monkeypatch.setattr(graph, "ROUNDS", rounds)
+    edges = [(k, (k + 1) % 12) for k in range(12)] + [(0, 6), (6, 3), (20, 21), (21, 1), (5, 30), (30, 31), (31, 30), (40, 41)]
+    names, pairs = condensed(spark.createDataFrame(edges, "src long, dst long"))
+    of = {r["node"]: r["component"] for r in names.collect()}
+    assert of == {**{k: 0 for k in range(12)}, 20: 20, 21: 21, 30: 30, 31: 30, 40: 40, 41: 41}
+    assert sorted((r["src"], r["dst"]) for r in pairs.collect()) == [(0, 30), (20, 0), (20, 21), (20, 30), (21, 0), (21, 30), (40, 41)]
+
+
+def test_a_component_is_found_without_pairs(spark):
+    ways = graph.on_ways(spark.createDataFrame([(k, (k + 1) % 12) for k in range(12)] + [(20, 0), (5, 30)], "src long, dst long"))
+    assert ways.count() == 12 and {(r["node"], r["least"]) for r in graph.around_pivots(ways).collect()} == {(k, 0) for k in range(12)}

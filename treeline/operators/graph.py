@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.folders import stored
+from ..sources.folders import shuffled, stored
 
 
 def reach(starts: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
@@ -41,42 +41,118 @@ def distances(edges: DataFrame) -> DataFrame:
     """
     known, k = stored(edges.filter("src <> dst").select("src", "dst", F.lit(1).alias("depth")).distinct(), "pairs"), 1
     while True:
-        far, on = known.filter(F.col("depth") == k), known.select(F.col("src").alias("dst"), F.col("dst").alias("end"), F.col("depth").alias("more"))
-        met = far.join(on, "dst").filter("src <> end").groupBy("src", F.col("end").alias("dst")).agg(F.min(F.col("depth") + F.col("more")).alias("depth"))
-        fresh = stored(met.join(known.select("src", "dst"), ["src", "dst"], "left_anti"), "pairs")
+        fresh = further(known, k)
         if fresh.isEmpty():
             return known
         known, k = stored(known.unionByName(fresh), "pairs"), 2 * k
 
 
+def further(known: DataFrame, k: int) -> DataFrame:
+    """Of known (src, dst, depth), complete up to k edges, the pairs from k + 1 to 2k."""
+    far, on = known.filter(F.col("depth") == k), known.select(F.col("src").alias("dst"), F.col("dst").alias("end"), F.col("depth").alias("more"))
+    met = far.join(on, "dst").filter("src <> end").groupBy("src", F.col("end").alias("dst")).agg(F.min(F.col("depth") + F.col("more")).alias("depth"))
+    return stored(met.join(known.select("src", "dst"), ["src", "dst"], "left_anti"), "pairs")
+
+
+#: Rounds, at most, in which cycles are sought from one node of each part before all pairs are.
+ROUNDS = 64
+
+
+def on_ways(edges: DataFrame) -> DataFrame:
+    """edges without those that are on no cycle, as nothing leads to their source or on from their end."""
+    n = edges.count()
+    for _ in range(ROUNDS):
+        ins, outs = (edges.select(F.col(a).alias(b)).distinct() for a, b in (("dst", "src"), ("src", "dst")))
+        edges = stored(edges.join(ins, "src", "left_semi").join(outs, "dst", "left_semi").select("src", "dst"), "ways")
+        n, before = edges.count(), n
+        if n == before:
+            break
+    return edges
+
+
+def around_pivots(edges: DataFrame) -> DataFrame:
+    """(node, least) of nodes that lie on a cycle with a pivot: some of them, or none; least is the smallest node of those that share it.
+
+    Every node takes the mark of the greatest node, by its number of edges, that leads to it; one that has
+    its own mark is a pivot, and what leads to it over nodes of its mark is on a cycle with it. Work is by node and edge: no pairs.
+    """
+    degree = edges.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    marks = stored(degree.select("node", F.struct("n", "node").alias("mark"), F.lit(True).alias("new")), "marks")
+    rest = False
+    for _ in range(ROUNDS):
+        sent = marks.filter("new").join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "mark", F.lit(None).cast(marks.schema["mark"].dataType).alias("own"))
+        met = sent.unionByName(marks.select("node", "mark", F.col("mark").alias("own"))).groupBy("node").agg(F.max("mark").alias("mark"), F.max("own").alias("own"))
+        marks = stored(met.select("node", "mark", (F.col("mark") > F.col("own")).alias("new")), "marks")
+        rest = marks.filter("new").isEmpty()
+        if rest:
+            break
+    of = marks.select("node", F.col("mark.node").alias("pivot"))
+    near = edges.join(of.withColumnsRenamed({"node": "src", "pivot": "a"}), "src").join(shuffled(of.withColumnsRenamed({"node": "dst", "pivot": "b"})), "dst").filter("a = b")
+    near = stored(near.select("src", "dst", F.col("a").alias("pivot")), "near")
+    both = stored(_from_pivots(of.filter("node = pivot"), near, "dst", "src"), "reached")
+    if not rest:  # at rest a pivot leads to all nodes of its mark, over such nodes
+        both = both.join(_from_pivots(of.filter("node = pivot"), near, "src", "dst"), ["node", "pivot"], "left_semi")
+    least = shuffled(both.groupBy("pivot").agg(F.min("node").alias("least")))
+    return shuffled(both.join(least, "pivot").select("node", "least"))
+
+
+def _from_pivots(front: DataFrame, near: DataFrame, start: str, end: str) -> DataFrame:
+    """(node, pivot) within ROUNDS edges of near (src, dst, pivot), taken from `start` to `end`."""
+    seen = front = stored(front.select("node", "pivot"), "front")
+    for _ in range(ROUNDS):
+        on = near.select(F.col(start).alias("node"), F.col(end).alias("to"), "pivot")
+        fresh = front.join(on, ["node", "pivot"]).select(F.col("to").alias("node"), "pivot").distinct().join(seen, ["node", "pivot"], "left_anti")
+        front = stored(fresh, "front")
+        if front.isEmpty():
+            break
+        seen = stored(seen.unionByName(front), "seen")
+    return seen
+
+
+def contracted(names: DataFrame, edges: DataFrame, to: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """names (node, component) and edges (src, dst) with nodes put in place by to (node, least)."""
+    to = stored(to.filter("least <> node"), "merged")
+    names = names.join(to.withColumnRenamed("node", "component"), "component", "left")
+    names = stored(names.select("node", F.coalesce("least", "component").alias("component")), "components")
+    for end in ("src", "dst"):
+        edges = edges.join(to.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("least", end)).drop("least")
+    return names, stored(edges.filter("src <> dst").select("src", "dst").distinct(), "pairs")
+
+
 def condensed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, component) of all nodes of edges (src, dst), and (src, dst) of any two components of which one leads to the other.
 
-    A component is named by its smallest node. Known pairs are composed round by round; as soon as two
-    nodes lead to each other they become one, so that a cycle shrinks while it is found and only
-    pairs of components are left: the copies of a large component are never paired.
+    A component is named by its smallest node. Cycles around pivots are found first, node by node and in a
+    bounded number of rounds, so that a large component is one node before pairs are composed; what these
+    rounds leave is found from the pairs: as soon as two nodes lead to each other they become one. A pair is
+    composed of one of exactly k edges and one of at most k, as in `distances`, not of any two.
     """
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
     names = stored(nodes.withColumn("component", F.col("node")), "components")
-    known = stored(edges.filter("src <> dst").select("src", "dst").distinct(), "pairs")
-    fresh = known
+    edges = stored(edges.filter("src <> dst").select("src", "dst").distinct(), "pairs")
+    ways = on_ways(edges)
+    while not ways.isEmpty():
+        to = stored(around_pivots(ways).filter("least <> node"), "merged")
+        if to.isEmpty():
+            break
+        names, edges = contracted(names, edges, to)
+        ways = on_ways(contracted(names, ways, to)[1])
+    if ways.isEmpty():  # no cycle is left
+        return names, distances(edges).select("src", "dst")
+    known, k = stored(edges.withColumn("depth", F.lit(1)), "pairs"), 1
     while True:
-        back = known.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        mutual = known.join(back, ["src", "dst"], "left_semi")
+        pairs = known.select("src", "dst")
+        back = pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        mutual = pairs.join(back, ["src", "dst"], "left_semi")
         to = stored(mutual.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("least")).filter("least < node"), "merged")
         if not to.isEmpty():
-            names = names.join(to.withColumnRenamed("node", "component"), "component", "left")
-            names = stored(names.select("node", F.coalesce("least", "component").alias("component")), "components")
-            for end in ("src", "dst"):
-                known = known.join(to.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("least", end)).drop("least")
-            known = fresh = stored(known.filter("src <> dst").select("src", "dst").distinct(), "pairs")
+            names, edges = contracted(names, edges, to)
+            known, k = stored(edges.withColumn("depth", F.lit(1)), "pairs"), 1
             continue
-        on = known.select(F.col("src").alias("dst"), F.col("dst").alias("end"))
-        met = fresh.join(on, "dst").select("src", F.col("end").alias("dst")).filter("src <> dst").distinct()
-        fresh = stored(met.join(known, ["src", "dst"], "left_anti"), "pairs")
+        fresh = further(known, k)
         if fresh.isEmpty():
-            return names, known
-        known = stored(known.unionByName(fresh), "pairs")
+            return names, pairs
+        known, k = stored(known.unionByName(fresh), "pairs"), 2 * k
 
 
 def reachable_counts(edges: DataFrame) -> DataFrame:
