@@ -8,6 +8,7 @@ from ..functions import whole
 from ..operators.order_keys import insert_after, labelled, places
 from ..operators.scopes import meant, visible
 from ..operators.splice import spans_of, splice
+from ..sources.folders import stored
 from ..sources.trees import page_tree, table
 from .catalogue import query
 from .pages import _PAGES
@@ -61,13 +62,15 @@ def markers_over_versions(spark, sf):
     """Where marked turns stand after three versions: a note after each answer, the first turn gone, two notes after each question that is left."""
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     rows = labelled(turns.select("conv_id", "role", F.concat(F.lit("t"), F.col("turn")).alias("id"), "turn"), "conv_id", "turn").drop("turn")
+    # each version is stored: it is read several times by the next, and worked once
+    rows = stored(rows, "version")
     marks = turns.filter("role = 'assistant'").select("conv_id", F.concat(F.lit("t"), F.col("turn")).alias("id"), "turn", "text")
 
     def notes(role: str, name: str):
         return rows.filter(F.col("role") == role).select("conv_id", F.lit("note").alias("role"), F.concat(F.lit(name), "id").alias("id"), F.col("id").alias("after"))
 
-    first = insert_after(rows, notes("assistant", "a-"), "conv_id", "id")
+    first = stored(insert_after(rows, notes("assistant", "a-"), "conv_id", "id"), "version")
     second = first.filter("id <> 't0'")
-    third = insert_after(second, notes("user", "b-").unionByName(notes("user", "c-")), "conv_id", "id")
+    third = stored(insert_after(second, notes("user", "b-").unionByName(notes("user", "c-")), "conv_id", "id"), "version")
     found = places(third, "conv_id").join(marks, ["conv_id", "id"])
     return found.select("conv_id", "turn", "place", F.md5("text").alias("text"))
