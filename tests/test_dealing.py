@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from treeline.operators import graph
 from treeline.plans.catalogue import QUERIES, families
 from treeline.sources import folders
 from treeline.sources.trees import sales
@@ -49,3 +50,24 @@ def test_the_sales_tree_and_its_siblings_are_dealt_by_rows(spark, sf, tmp_path,
     rows = QUERIES["path_preceding_sibling"](spark, str(tmp_path))
     assert "REPARTITION_BY_NUM" in plan(rows) and {tuple(r) for r in rows.collect()} == want
     assert "REPARTITION_BY_NUM" in plan(families(n))
+
+
+def test_levels_of_reach_are_dealt_by_rows_and_seen_in_one_join(spark, sf, monkeypatch):
+    monkeypatch.setattr(folders, "ROWS", 100)
+    plans, put = [], graph.stored
+
+    def watched(rows, name, n=None):
+        plans.append((name, n, plan(rows)))
+        return put(rows, name, n)
+
+    monkeypatch.setattr(graph, "stored", watched)
+    for name in ("callers_depth5", "callees_depth5"):
+        want = [tuple(r) for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey", "o_orderkey").collect()]
+        per = {}
+        for c, o in sorted(want, reverse=name == "callers_depth5"):
+            per.setdefault(c, []).append(o)
+        want = {(v[0], x, k) for v in per.values() for k, x in enumerate(v[:6]) if k}
+        rows = QUERIES[name](spark, sf)
+        assert {tuple(r) for r in rows.collect()} == want
+    last = [(n, p) for name, n, p in plans if name == "level"][-1]
+    assert last[0] > 1500 and last[1].count("LeftAnti") == 1 and "Broadcast" not in last[1]

@@ -16,17 +16,19 @@ def reach(starts: DataFrame, edges: DataFrame, depth: int | None = None) -> Data
     if depth is None:
         of = starts.select(F.col("node").alias("src")).distinct()
         return distances(edges).join(of, "src", "left_semi").select(F.col("src").alias("start"), F.col("dst").alias("node"), "depth")
-    edges = stored(edges.select("src", "dst").distinct(), "edges")
-    front = stored(starts.select(F.col("node").alias("start"), "node").distinct().withColumn("depth", F.lit(0)), "level")
+    edges = stored(edges.select("src", "dst"), "edges")
+    n = edges.count()
+    edges = stored(edges.distinct(), "edges", n)
+    front = seen = stored(starts.select(F.col("node").alias("start"), "node").distinct().withColumn("depth", F.lit(0)), "level", n)
     levels = [front]
     for d in range(1, depth + 1):
         after = front.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
-        for seen in levels:  # `depth` tables at most
-            after = after.join(seen.select("start", "node"), ["start", "node"], "left_anti")
-        front = stored(after.withColumn("depth", F.lit(d)), "level")
+        after = after.join(shuffled(seen.select("start", "node")), ["start", "node"], "left_anti")
+        front = stored(after.withColumn("depth", F.lit(d)), "level", n + sum(level.count() for level in levels))
         if front.isEmpty():
             break
         levels.append(front)
+        seen = seen.unionByName(front)
     out = levels[0].limit(0)
     for level in levels[1:]:
         out = out.unionByName(level)
