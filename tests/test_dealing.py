@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from treeline.operators import graph
+from treeline.operators import forest, graph
 from treeline.plans.catalogue import QUERIES, families
-from treeline.sources import folders
+from treeline.sources import folders, markup
 from treeline.sources.trees import sales
 
 PUT_TOGETHER = "spark.sql.adaptive.coalescePartitions.enabled"
@@ -14,6 +14,11 @@ def plan(rows) -> str:
     return rows._jdf.queryExecution().executedPlan().toString()
 
 
+def joined(rows) -> str:
+    """The lines of the plan below its last anti join."""
+    return plan(rows).split("LeftAnti")[1]
+
+
 def test_few_rows_are_left_to_spark(spark):
     rows = spark.range(40).select(F.col("id").alias("tree_id"))
     assert folders.tasks_for(spark, folders.ROWS) == 0 and folders.dealt(rows, 40, "tree_id") is rows
@@ -71,3 +76,15 @@ def test_levels_of_reach_are_dealt_by_rows_and_seen_in_one_join(spark, sf, monke
         assert {tuple(r) for r in rows.collect()} == want
     last = [(n, p) for name, n, p in plans if name == "level"][-1]
     assert last[0] > 1500 and last[1].count("LeftAnti") == 1 and "Broadcast" not in last[1]
+
+
+def test_ancestors_and_steps_of_pages_are_dealt_by_rows(spark, sf, monkeypatch):
+    want = {tuple(r) for r in QUERIES["page_without_text"](spark, sf).collect()}
+    monkeypatch.setattr(folders, "ROWS", 100)
+    rows = QUERIES["page_without_text"](spark, sf)
+    assert "REPARTITION_BY_NUM" in joined(rows) and {tuple(r) for r in rows.collect()} == want
+    nodes = folders.stored(markup.page_nodes(spark.read.parquet(f"{sf}/pages.parquet")), "dealing")
+    assert "REPARTITION_BY_NUM" in plan(markup.with_ancestors(nodes))
+    links = nodes.select("tree_id", F.col("node_id").alias("at"), F.col("parent_id").alias("next"), F.lit(1).alias("n"))
+    ends = forest.doubled(links, "dealing", {"n": F.col("here.n") + F.col("there.n")})
+    assert len(ends.inputFiles()) > 4 and ends.count() == nodes.count()

@@ -21,7 +21,8 @@ def doubled(links: DataFrame, name: str, combine: dict[str, F.Column]) -> DataFr
     """
     step, names = 0, list(combine)
     state = stored(links, name)
-    most = state.count().bit_length() + 1
+    n = state.count()
+    most = n.bit_length() + 1
     while not state.filter("next is not null").isEmpty():
         if step > most:
             raise ValueError("links that never end")
@@ -29,7 +30,7 @@ def doubled(links: DataFrame, name: str, combine: dict[str, F.Column]) -> DataFr
         met = here.join(there, F.expr("here.tree_id <=> there.tree_id and here.next = there.at"))
         met = met.select("here.tree_id", "here.at", F.col("there.next").alias("next"), *[combine[n].alias(n) for n in names])
         step += 1
-        state = stored(met.unionByName(state.filter("next is null").select("tree_id", "at", "next", *names)), name)
+        state = stored(met.unionByName(state.filter("next is null").select("tree_id", "at", "next", *names)), name, n)
     return state
 
 

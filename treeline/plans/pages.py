@@ -78,7 +78,7 @@ def page_preceding_siblings(spark, sf):
 def page_without_text(spark, sf):
     """Elements with something in them, but no paragraph or link at any depth."""
     n = page_tree(spark, sf)
-    inner = exists(n, n.filter(F.col("kind").isin("p", "a")), "descendant", negate=True)
+    inner = exists(n, n.filter(F.col("kind").isin("p", "a")), "descendant", negate=True, rows=n.count())
     return inner.filter("sub_end > node_id").select(F.col("tree_id").alias("page_id"), "kind", "node_id")
 
 

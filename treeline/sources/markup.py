@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.forest import ancestors
+from .folders import dealt
 
 #: Elements without an end tag.
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
@@ -91,7 +92,8 @@ def page_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
 
 def with_ancestors(nodes: DataFrame) -> DataFrame:
     """nodes with anc, as path steps want it."""
-    return nodes.join(ancestors(nodes), ["tree_id", "node_id"])
+    up = ancestors(nodes)
+    return dealt(nodes, up.count(), "tree_id", "node_id").join(up, ["tree_id", "node_id"])
 
 
 def tag_attribute(tag: Column, name: str) -> Column:
