@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from treeline.operators import forest, graph
+from treeline.operators import flow, forest, graph
 from treeline.plans.catalogue import QUERIES, families
 from treeline.sources import folders, markup
 from treeline.sources.trees import sales
@@ -88,3 +88,21 @@ def test_ancestors_and_steps_of_pages_are_dealt_by_rows(spark, sf, monkeypatch):
     links = nodes.select("tree_id", F.col("node_id").alias("at"), F.col("parent_id").alias("next"), F.lit(1).alias("n"))
     ends = forest.doubled(links, "dealing", {"n": F.col("here.n") + F.col("there.n")})
     assert len(ends.inputFiles()) > 4 and ends.count() == nodes.count()
+
+
+def test_what_blocks_assign_is_dealt_by_rows(spark, sf, monkeypatch):
+    names = ("page_always_assigned", "page_conditional_assignments")
+    want = {name: {tuple(r) for r in QUERIES[name](spark, sf).collect()} for name in names}
+    monkeypatch.setattr(folders, "ROWS", 1000)
+    asked, put = [], flow.stored
+
+    def watched(rows, name, n=None):
+        asked.append((name, n))
+        return put(rows, name, n)
+
+    monkeypatch.setattr(flow, "stored", watched)
+    for name in names:
+        rows = QUERIES[name](spark, sf)
+        assert {tuple(r) for r in rows.collect()} == want[name] and want[name]
+    assert "REPARTITION_BY_NUM" in joined(rows)
+    assert {name for name, _ in asked} >= {"spans", "assigned", "arms", "branches", "below"} and all(n > 1000 for _, n in asked)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.folders import shuffled, stored
+from ..sources.folders import dealt, shuffled, stored
 
 
 def control_flow(rows: DataFrame, region: str, order: tuple[str, ...], kind: str, returns: tuple[str, ...], others: tuple[str, ...] = ()) -> DataFrame:
@@ -49,6 +49,11 @@ def spans(blocks: DataFrame) -> DataFrame:
     return met.withColumn("up", F.filter(chain, lambda x: F.col("stop").isNull() | (x > F.col("stop"))))
 
 
+def chains(blocks: DataFrame) -> int:
+    """How many rows the chains of all blocks have, from the root down to the block itself."""
+    return blocks.agg(F.sum(F.size("anc") + 1).alias("n")).first()["n"] or 0
+
+
 def always_assigned(blocks: DataFrame, assigned: DataFrame) -> DataFrame:
     """(tree_id, node_id, var): what a block surely assigns once it has ended.
 
@@ -58,34 +63,38 @@ def always_assigned(blocks: DataFrame, assigned: DataFrame) -> DataFrame:
     child does, a loop nothing, whatever stands in it. What is assigned below the nearest branch or
     loop goes up there in one join, so rounds are as many as branches lie within each other.
     """
-    of = stored(spans(blocks), "spans")
+    n = chains(blocks)
+    of = stored(spans(blocks), "spans", n)
     children = blocks.groupBy("tree_id", F.col("parent_id").alias("stop")).agg(F.count(F.lit(1)).alias("children"))
     new, levels = assigned.select("tree_id", "node_id", "var").distinct(), []
     while True:
         at = new.join(of.select("tree_id", "node_id", "stop", "stop_role", "up"), ["tree_id", "node_id"])
-        levels.append(stored(at.select("tree_id", F.explode("up").alias("node_id"), "var").distinct(), "assigned"))
+        levels.append(stored(at.select("tree_id", F.explode("up").alias("node_id"), "var").distinct(), "assigned", n))
         arms = at.filter("stop_role = 'branch'").select("tree_id", "stop", F.element_at("up", 1).alias("arm"), "var").distinct()
         if len(levels) > 1:  # arms that earlier rounds have found count with the new ones
             arms = arms.unionByName(found).distinct()
-        found = stored(arms, "arms")
+        found = stored(arms, "arms", n)
         every = found.groupBy("tree_id", "stop", "var").agg(F.count(F.lit(1)).alias("n")).join(children, ["tree_id", "stop"]).filter("n = children")
         new = every.select("tree_id", F.col("stop").alias("node_id"), "var")
         for level in levels:
             new = new.join(level, ["tree_id", "node_id", "var"], "left_anti")
-        new = stored(new, "branches")
+        new = stored(new, "branches", n)
         if new.isEmpty():
             break
+    if len(levels) == 1:
+        return levels[0]
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)
-    return shuffled(out.distinct())
+    return stored(out.distinct(), "always", n)
 
 
 def conditional_assignments(blocks: DataFrame, assigned: DataFrame) -> DataFrame:
     """(tree_id, node_id, var): what is assigned somewhere below a block, but not surely."""
     chain = blocks.select("tree_id", "node_id", F.concat("anc", F.array("node_id")).alias("up"))
     below = assigned.join(chain, ["tree_id", "node_id"]).select("tree_id", F.explode("up").alias("node_id"), "var").distinct()
-    return below.join(always_assigned(blocks, assigned), ["tree_id", "node_id", "var"], "left_anti")
+    below, key = stored(below, "below", chains(blocks)), ["tree_id", "node_id", "var"]
+    return below.join(shuffled(dealt(always_assigned(blocks, assigned), below.count(), *key)), key, "left_anti")
 
 
 def unreachable(blocks: DataFrame, exits: DataFrame) -> tuple[DataFrame, DataFrame]:
