@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from treeline.operators import flow, forest, graph
+from treeline.operators import flow, forest, graph, scopes
 from treeline.plans.catalogue import QUERIES, families
 from treeline.sources import folders, markup
 from treeline.sources.trees import sales
@@ -106,3 +106,18 @@ def test_what_blocks_assign_is_dealt_by_rows(spark, sf, monkeypatch):
         assert {tuple(r) for r in rows.collect()} == want[name] and want[name]
     assert "REPARTITION_BY_NUM" in joined(rows)
     assert {name for name, _ in asked} >= {"spans", "assigned", "arms", "branches", "below"} and all(n > 1000 for _, n in asked)
+
+
+def test_uses_meet_their_declarations_in_turn(spark, sf, monkeypatch):
+    want = {tuple(r) for r in QUERIES["page_rename_by_scope"](spark, sf).collect()}
+    monkeypatch.setattr(folders, "ROWS", 100)
+    plans, put = [], scopes.stored
+
+    def watched(rows, name, n=None):
+        plans.append((n, plan(rows)))
+        return put(rows, name, n)
+
+    monkeypatch.setattr(scopes, "stored", watched)
+    rows = QUERIES["page_rename_by_scope"](spark, sf)
+    assert {tuple(r) for r in rows.collect()} == want and want
+    assert len(plans) == 1 and plans[0][0] > 100 and "Window" in plans[0][1]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import dealt, shuffled, stored
+
 
 def declared_in(declarations: DataFrame, scopes: DataFrame) -> DataFrame:
     """declarations (tree_id, node_id, anc, name) -> tree_id, scope, decl, name: scope is the nearest of `scopes` (tree_id, node_id) around; what none is around declares nothing."""
@@ -32,8 +34,19 @@ def visible(points: DataFrame, declarations: DataFrame, scopes: DataFrame, most:
 
 
 def meant(uses: DataFrame, declarations: DataFrame, scopes: DataFrame) -> DataFrame:
-    """tree_id, node_id, name, decl of each use (tree_id, node_id, anc, name): the declaration that it means, null if there is none."""
-    names = uses.select("tree_id", "name").distinct()
-    known = declarations.join(names, ["tree_id", "name"], "left_semi")
-    found = visible(uses, known, scopes).select("tree_id", "node_id", "name", "decl")
-    return uses.select("tree_id", "node_id", "name").join(found, ["tree_id", "node_id", "name"], "left")
+    """tree_id, node_id, name, decl of each use (tree_id, node_id, anc, name): the declaration that it means, null if there is none.
+
+    Declarations and uses of a name in a scope are read in turn, each use with the last declaration before it: no pairs of them.
+    """
+    n = uses.select("anc").unionByName(declarations.select("anc")).agg(F.sum(F.size("anc")).alias("n")).first()["n"] or 0
+    around, none = scopes.select("tree_id", F.col("node_id").alias("scope")), F.lit(None).cast("long")
+    points = uses.select("tree_id", "name", F.explode("anc").alias("scope"), "node_id").join(around, ["tree_id", "scope"])
+    points = points.select("tree_id", "name", "scope", F.col("node_id").alias("at"), none.alias("decl"))
+    of = declared_in(declarations, scopes).select("tree_id", "name", "scope", F.col("decl").alias("at"), F.col("decl").cast("long").alias("decl"))
+    # a declaration comes after the uses at its own place
+    order = Window.partitionBy("tree_id", "name", "scope").orderBy("at", F.asc_nulls_first("decl")).rowsBetween(Window.unboundedPreceding, 0)
+    met = points.unionByName(of).withColumn("last", F.last("decl", ignorenulls=True).over(order)).filter("decl is null and last is not null")
+    best = met.groupBy("tree_id", F.col("at").alias("node_id"), "name").agg(F.max(F.struct("scope", "last")).alias("x"))
+    found = stored(best.select("tree_id", "node_id", "name", F.col("x.last").alias("decl")), "meant", n)
+    key = ["tree_id", "node_id", "name"]
+    return uses.select(*key).join(shuffled(dealt(found, n, *key)), key, "left")

@@ -8,7 +8,7 @@ from ..functions import whole
 from ..operators.order_keys import insert_after, labelled, places
 from ..operators.scopes import meant, visible
 from ..operators.splice import spans_of, splice
-from ..sources.folders import stored
+from ..sources.folders import dealt, shuffled, stored
 from ..sources.trees import page_tree, table
 from .catalogue import query
 from .pages import _PAGES
@@ -38,8 +38,8 @@ def page_rename_by_scope(spark, sf):
     n = page_tree(spark, sf)
     links = n.filter("kind = 'a'").withColumn("name", F.col("kind"))
     rows = meant(links, links, n.filter(F.col("kind").isin(*SCOPES))).filter("decl is not null")
-    first = links.groupBy("tree_id").agg(F.min("node_id").alias("first"))
-    return rows.join(first, "tree_id").select(F.col("tree_id").alias("page_id"), "node_id", "decl", (F.col("decl") == F.col("first")).alias("renamed"))
+    first = dealt(links.select("tree_id", "node_id"), links.count(), "tree_id").groupBy("tree_id").agg(F.min("node_id").alias("first"))
+    return rows.join(shuffled(first), "tree_id").select(F.col("tree_id").alias("page_id"), "node_id", "decl", (F.col("decl") == F.col("first")).alias("renamed"))
 
 
 @query(r"""WITH d AS (SELECT doc_id, text, regexp_replace(coalesce(text, ''), '([^A-Za-z0-9_])', '\1\1', 'g') AS wide FROM documents WHERE text IS NOT NULL),
