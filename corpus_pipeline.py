@@ -44,9 +44,10 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     (row,) = free(docs, "_row")
     rows = with_rows(docs, root, row)
     ids = rows.select(F.col(row).alias("row"), F.col("doc_id").alias("doc"))
-    groups = near_dedup.near_copies(rows, id_col=row, root=f"{root}/near").select(F.col(row).alias("row"), F.col("class_id").alias("group")).join(ids, "row")
+    # stored join by join, as the driver holds the tasks of all the exchanges of one plan at once
+    groups = cut(near_dedup.near_copies(rows, id_col=row, root=f"{root}/near").select(F.col(row).alias("row"), F.col("class_id").alias("group")), f"{root}/groups").join(ids, "row")
     first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row"))
-    one = groups.groupBy("group").agg(first.alias("first")).select(F.col("first.row").alias(row))
+    one = cut(groups.groupBy("group").agg(first.alias("first")).select(F.col("first.row").alias(row)), f"{root}/one")
     return rows.join(one, row, "left_semi").select(*docs.columns)
 
 

@@ -8,7 +8,7 @@ import corpus_pipeline as pipeline
 import numpy as np
 import pytest
 from test_near_dedup import brute as near_brute
-from treeline.llm import packing, quality
+from treeline.llm import near_dedup, packing, quality
 from treeline.llm.shared import cut, work_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id string"
@@ -150,3 +150,14 @@ def test_stages_keep_columns_of_any_name(spark, sf, monkeypatch):
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     a, b = (sorted(map(tuple, pipeline.run(spark, x).select(key).collect())) for x in (home, sf))
     assert a == b
+
+
+def exchanges(df):
+    """Shuffles and broadcasts of the plan that is still to run."""
+    return len(re.findall(r"\bExchange |BroadcastExchange ", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_near_stage_stores_its_joins_one_by_one(spark, docs):
+    """The driver holds the tasks of all exchanges of one plan at once: what is left to run joins once."""
+    assert exchanges(pipeline.near_stage(spark, docs, "")) <= 2
+    assert exchanges(near_dedup.near_copies(docs)) <= 2

@@ -99,3 +99,15 @@ def test_a_repeated_id_teaches_alike_in_any_order(spark):
         df = spark.createDataFrame(order, "doc_id long, text string, _hash int").repartition(1)
         found.append(sorted(quality.score(df, labels, train=F.lit(True)).select("doc_id", "score").collect(), key=str))
     assert found[0] == found[1]
+
+
+def test_the_sample_reaches_the_driver_as_arrays(spark, sf):
+    """No Python object for each of its numbers: the rows are views of one array."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    taken = quality.labelled_sample(docs, labels, "doc_id", "text", "quality", F.lit(True), 8192)
+    rows, n = quality.ragged(taken["feature"]), quality.ragged(taken["n"])
+    assert len(rows) == taken.num_rows == labels.count() and all(len(a) == len(b) > 0 for a, b in zip(rows, n))
+    assert all(x.base is not None and x.base is rows[0].base for x in rows)
+    assert [x.tolist() for x in rows] == taken["feature"].to_pylist()
+    assert [x.tolist() for x in quality.ragged(taken["feature"].slice(3, 2))] == taken["feature"].to_pylist()[3:5]
+    assert quality.ragged(taken["feature"].slice(0, 0)) == []

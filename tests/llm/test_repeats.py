@@ -129,3 +129,21 @@ def test_anchors_of_a_long_run_come_in_bounded_parts(spark):
     got = {r["doc_id"]: r["_spans"] for r in repeats.with_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[3] is None and got[4] is None
     assert {k: [(x["s"], x["e"]) for x in got[k]] for k in (1, 2)} == {1: [(0, 300_000)], 2: [(0, 5000)]}  # touching spans are one
+
+
+def test_jobs_do_not_grow_with_shuffle_partitions(spark):
+    """The bit filters reach the driver in few jobs, also if nothing puts small partitions together."""
+    docs = spark.createDataFrame([(1, "ab" * 300), (2, "x" * 150 + "ab" * 200), (3, None)], "doc_id long, text string")
+    several = {"spark.sql.shuffle.partitions": "61", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in several}
+    try:
+        for k, v in several.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("filters", "jobs of one call")
+        got = {r["doc_id"]: r["_spans"] for r in repeats.with_spans(docs).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert got[1] is not None and got[2] is not None and got[3] is None
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("filters")) < 120  # 61 a filter before, and those of all else

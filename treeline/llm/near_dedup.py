@@ -292,11 +292,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     more = mine.join(texts, "rep").groupBy("bucket", "i", "j").applyInPandas(within, "a long, b long")
     linked = components(links.unionByName(more).distinct(), f"{root}/components").withColumnRenamed("node", "rep")
-    # the smallest id of each component, for its classes and then for their rows
-    linked = classes.select("rep", "first").join(linked, "rep").select("rep", "first", "component")
+    # the smallest id of each component, for its classes and then for their rows; stored join by join,
+    # as the driver holds the tasks of all the exchanges of one plan at once
+    linked = cut(classes.select("rep", "first").join(linked, "rep").select("rep", "first", "component"), f"{root}/linked")
     firsts = linked.groupBy("component").agg(F.min("first").alias("least"))
-    linked = linked.join(firsts, "component").select("rep", "least")
-    of_key = classes.select("rep", "key", "first").join(linked, "rep", "left").select("key", F.coalesce("least", "first").alias("class_id"))
+    linked = cut(linked.join(firsts, "component").select("rep", "least"), f"{root}/least")
+    of_key = cut(classes.select("rep", "key", "first").join(linked, "rep", "left").select("key", F.coalesce("least", "first").alias("class_id")), f"{root}/of-key")
     rows = made.select("key", F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id")).join(of_key, "key", "left")
     class_id = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
     return rows.select(F.col("doc_id").alias(id_col), class_id.alias("class_id"), F.col("doc_id").eqNullSafe(class_id).alias("kept"))

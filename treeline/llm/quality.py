@@ -23,6 +23,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,8 +129,8 @@ def vote(vectors: np.ndarray, known: np.ndarray, labels: np.ndarray, prior: floa
     return out
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train: F.Column, sample: int) -> list:
-    """(features, counts, label) of the training rows with the smallest hashes, at most `sample`; no text leaves its task."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train: F.Column, sample: int) -> pa.Table:
+    """(hash, feature, n, label) of the training rows with the smallest hashes, at most `sample`; no text leaves its task."""
     truth = labels.filter(F.col(label_col).isNotNull()).groupBy(id_col).agg((F.avg(label_col) >= 0.5).cast("int").alias("_label"))
     # a broadcast of at most `sample` ids; the texts stay where they are
     chosen = truth.filter(train & F.col(id_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(sample)
@@ -144,7 +145,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     kind = docs.schema[id_col].dataType.simpleString()
     made = texts.mapInPandas(run, f"_id {kind}, hash long, feature array<int>, n array<int>, label int")
     one = made.groupBy("_id").agg(F.min(F.struct("hash", "feature", "n", "label")).alias("x"))
-    return one.orderBy("_id").select("x.*").toArrow().to_pylist()
+    return one.orderBy("_id").select("x.*").toArrow()
+
+
+def ragged(lists: pa.ChunkedArray) -> list[np.ndarray]:
+    """The rows of a column of lists, all views of one array: no object for each number."""
+    whole = lists.combine_chunks()
+    flat, ends = whole.flatten().to_numpy(), np.cumsum(whole.value_lengths().to_numpy())
+    return [flat[a:b] for a, b in zip(np.append(0, ends[:-1]), ends)]
 
 
 def scorer(
@@ -163,8 +171,8 @@ def scorer(
     df, n = document_frequencies(docs, text_col)
     idf = np.log((1 + n) / (1 + df)) + 1
     taken = labelled_sample(docs, labels, id_col, text_col, label_col, train, sample)
-    rows = [weighted(np.array(r["feature"], dtype=np.int64), np.array(r["n"], dtype=np.int64), idf) for r in taken]
-    truth = np.array([r["label"] for r in taken], dtype=np.float64)
+    rows = [weighted(f.astype(np.int64), c.astype(np.int64), idf) for f, c in zip(ragged(taken["feature"]), ragged(taken["n"]))]
+    truth = taken["label"].to_numpy().astype(np.float64)
     prior = float(truth.mean()) if len(truth) else 0.5
     space = latent(rows, dims) if rows else np.zeros((WIDTH, dims), dtype=np.float32)
     known = unit(np.array([w @ space[f] for f, w in rows], dtype=np.float32).reshape(-1, dims))

@@ -130,15 +130,18 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return at, g, lo, hi
 
 
-def bit_filter(hashes: DataFrame, expected: int):
-    """A numpy bit array of the hashes (column g); its size is bounded by MAX_FILTER_BITS."""
+def bit_filter(hashes: DataFrame, expected: int, path: str):
+    """A numpy bit array of the hashes (column g); its size is bounded by MAX_FILTER_BITS.
+
+    Its parts are stored at `path` and read in few splits, one at a time: a job for each of them.
+    """
     bits = 32768
     while bits < min(16 * expected, MAX_FILTER_BITS):
         bits *= 2
     slot = (F.col("g").bitwiseAND(F.lit(bits - 1)) + 1).alias("slot")
     rows = hashes.select(slot).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("part"))
     whole = np.zeros(bits // 8, dtype=np.uint8)
-    for r in rows.toLocalIterator():
+    for r in cut(rows, path).toLocalIterator():
         part = np.frombuffer(bytes(r["part"]), dtype=np.uint8)
         whole[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = part
     return hashes.sparkSession.sparkContext.broadcast(whole)
@@ -263,13 +266,13 @@ def repeated_spans(texts: DataFrame, root: str) -> DataFrame:
         return cut(df, f"{root}/{name}")
 
     twice = stored(count_grams(texts).filter("n > 1").select("g"), "twice")
-    known = bit_filter(twice, twice.count())
+    known = bit_filter(twice, twice.count(), f"{root}/filter-0")
     first = stored(scan(texts, known, False), "anchors")
     fulls = stored(first.groupBy(*full).agg(many, F.min("g").alias("g")), "fulls")
     parts = [stored(spans_of(first.join(fulls.filter("n > 1").select(*full), full, "left_semi")), "spans-0")]
     open_g = stored(fulls.groupBy("g").agg(F.sum("n").alias("n"), F.min("n").alias("least")).filter("n > 1 and least = 1").select("g"), "open")
     # one anchor for each string that is still open, with its bytes
-    known = bit_filter(open_g, open_g.count())
+    known = bit_filter(open_g, open_g.count(), f"{root}/filter-1")
     row = F.struct("doc", "hash", "pos", "lo", "hi", "held")
     held = scan(texts, known, True).groupBy(*full).agg(F.first(row).alias("r"), many, F.first("g").alias("g"))
     held = held.join(open_g, "g", "left_semi").select(F.monotonically_increasing_id().alias("aid"), "r.*", (F.col("n") == 1).alias("own"))
