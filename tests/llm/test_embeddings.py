@@ -89,3 +89,23 @@ def test_equal_vectors_count_as_many(spark, monkeypatch):
     ids = rng.permutation(len(vectors)).tolist()
     df = spark.createDataFrame(list(zip(ids, vectors)), "vec_id long, embedding array<double>")
     assert result(embeddings.near_vectors(df)) == brute(ids, vectors)
+
+
+def test_no_vector_goes_to_disk_for_each_cell_or_block(spark, monkeypatch):
+    """Blocks meet without a shuffle; equal vectors of several batches of rows are one."""
+    monkeypatch.setattr(embeddings, "CELL", 40)
+    monkeypatch.setattr(embeddings, "BLOCK", 16)
+    plans, cut = {}, embeddings.cut
+    monkeypatch.setattr(embeddings, "cut", lambda df, path, *a: [plans.update({path.rsplit("/")[-1]: df._jdf.queryExecution().executedPlan().toString()}), cut(df, path, *a)][1])
+    rng = np.random.default_rng(5)
+    vectors = rng.standard_normal((90, 6)).astype(np.float32).tolist() + [[0.5, 0.25, 0.0, 0.0, 0.0, 1.0]] * 60 + [[1.0, 0.5, 0.0, 0.0, 0.0, 2.0]] * 3
+    ids = rng.permutation(len(vectors)).tolist()
+    df = spark.createDataFrame(list(zip(ids, vectors)), "vec_id long, embedding array<float>")
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert result(embeddings.near_vectors(df)) == brute(ids, vectors)
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "7"
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert "Exchange" not in plans["found"] and "CartesianProduct" in plans["found"]
