@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from treeline.operators.flow import always_assigned, conditional_assignments, unreachable
 from treeline.operators import graph
+from treeline.sources import folders
 from treeline.operators.graph import call_tree, condensed, distances, reach, reachable_counts
 
 
@@ -151,3 +152,19 @@ def test_components_around_pivots(spark, monkeypatch, rounds):
 def test_a_component_is_found_without_pairs(spark):
     ways = graph.on_ways(spark.createDataFrame([(k, (k + 1) % 12) for k in range(12)] + [(20, 0), (5, 30)], "src long, dst long"))
     assert ways.count() == 12 and {(r["node"], r["least"]) for r in graph.around_pivots(ways).collect()} == {(k, 0) for k in range(12)}
+
+
+@pytest.mark.parametrize("rounds,rows", [(128, 1 << 18), (128, 8), (2, 1 << 18)])
+def test_counts_list_no_pairs_through_a_hub(spark, monkeypatch, rounds, rows):
+    """What a large component leads to is counted once for all that lead to it; with too few rounds all pairs are listed. Small parts, too."""
+    monkeypatch.setattr(graph, "ROUNDS", rounds)
+    monkeypatch.setattr(folders, "ROWS", rows)
+    if rounds > 2:
+        monkeypatch.setattr(graph, "distances", None)  # lists all pairs
+    ring = [(k, (k + 1) % 12) for k in range(12)]
+    ways = [(20, 21), (21, 1), (22, 1), (23, 21), (5, 30), (30, 31), (31, 30), (30, 32), (7, 33), (22, 40), (40, 33), (40, 41), (50, 50), (23, 42), (42, 43), (60, 23), (61, 41)]
+    edges = ring + ways + [(100 + a, 100 + b) for a, b in some_edges(9, 50, 60)]
+    want, nodes = closure(edges), {x for e in edges for x in e}
+    rows = reachable_counts(spark.createDataFrame(edges, "src long, dst long")).collect()
+    assert {r["node"]: r["reaches"] for r in rows} == {n: sum((n, b) in want for b in nodes) for n in nodes}
+    assert {r["node"]: r["component"] for r in rows} == {n: min([n] + [b for b in nodes if (n, b) in want and (b, n) in want]) for n in nodes}

@@ -5,10 +5,10 @@ Every round is stored below the shared folder, which ends the lineage; none goes
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..sources.folders import shuffled, stored
+from ..sources.folders import shuffled, stored, tasks_for
 
 
 def reach(starts: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
@@ -56,96 +56,159 @@ def further(known: DataFrame, k: int) -> DataFrame:
     return stored(met.join(known.select("src", "dst"), ["src", "dst"], "left_anti"), "pairs")
 
 
-#: Rounds, at most, in which cycles are sought from one node of each part before all pairs are.
-ROUNDS = 64
+#: Edges, at most, along which marks and nodes are passed on before all pairs are composed.
+ROUNDS = 128
+#: Edges that one job follows, of marks and of pairs.
+HOPS, PAIR_HOPS = 8, 4
+
+
+def together(rows: DataFrame, n: int) -> DataFrame:
+    """The rows in one part if one task may hold n rows: what is joined with others of that kind is not shuffled."""
+    return rows if tasks_for(rows.sparkSession, n) else rows.coalesce(1)
+
+
+def at_hand(rows: DataFrame, n: int) -> DataFrame:
+    """Rows that others are joined with step by step: sent to every task if one may hold n rows, which bounds what is sent, else dealt by key."""
+    return shuffled(rows) if tasks_for(rows.sparkSession, n) else F.broadcast(rows)
+
+
+def counted(rows: DataFrame, name: str, n: int, what: str = "true") -> tuple[DataFrame, int, int]:
+    """stored(), how many rows there are, and of how many `what` is true: counted while they are written."""
+    seen = Observation()
+    out = stored(rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.expr(f"count_if({what})").alias("of")), name, n)
+    return out, seen.get["rows"], seen.get["of"]
+
+
+def ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+
+
+def turned(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+def with_loops(edges: DataFrame, n: int) -> DataFrame:
+    """edges and one from each node to itself, stored: what a node has stays with it when it is passed on, so that a step reads its state once."""
+    return at_hand(stored(edges.select("src", "dst").unionByName(ends(edges).select(F.col("node").alias("src"), F.col("node").alias("dst"))), "ways", n), n)
+
+
+def settled(marks: DataFrame, edges: DataFrame, n: int) -> tuple[DataFrame, bool]:
+    """marks (node, mark) of all nodes of edges: each takes the greatest mark that leads to it within ROUNDS edges; whether more would change none."""
+    on, own, rest = with_loops(edges, n), F.col("src") == F.col("dst"), False
+    sent = (F.col("node") == F.col("src")) & (F.col("mark").isNotNull() & F.col("was").isNull() | (F.col("mark") > F.col("was")) | own)
+    to, met = F.col("dst").alias("node"), [F.max("mark").alias("mark"), F.max(F.when(own, F.col("mark"))).alias("was")]
+    marks = marks.select("node", "mark", F.lit(None).cast(marks.schema["mark"].dataType).alias("was"))
+    for done in range(0, ROUNDS, HOPS):
+        marks = together(marks, n)
+        for _ in range(min(HOPS, ROUNDS - done)):
+            marks = marks.join(on, sent).groupBy(to).agg(*met)
+        marks, _, new = counted(marks, "marks", n, "mark > was")
+        rest = not new
+        if rest:
+            break
+    return marks.select("node", "mark"), rest
 
 
 def on_ways(edges: DataFrame) -> DataFrame:
     """edges without those that are on no cycle, as nothing leads to their source or on from their end."""
     n = edges.count()
-    for _ in range(ROUNDS):
-        ins, outs = (edges.select(F.col(a).alias(b)).distinct() for a, b in (("dst", "src"), ("src", "dst")))
-        edges = stored(edges.join(ins, "src", "left_semi").join(outs, "dst", "left_semi").select("src", "dst"), "ways")
-        n, before = edges.count(), n
-        if n == before:
-            break
+    for a, b in (("src", "dst"), ("dst", "src")):  # nodes that something leads to, then of these the ones that lead on
+        live, left, on = ends(edges), None, at_hand(edges, n)
+        for done in range(0, ROUNDS, HOPS):
+            live = together(live, n)
+            for _ in range(min(HOPS, ROUNDS - done)):
+                live = live.join(on, F.col("node") == F.col(a)).groupBy(F.col(b).alias("node")).agg(F.lit(True))
+            before = left
+            live, left, _ = counted(live.select("node"), "live", n)
+            if left in (0, before):
+                break
+        for end in ("src", "dst"):
+            edges = edges.join(live.withColumnRenamed("node", end), end, "left_semi")
+        edges = stored(edges.select("src", "dst"), "ways", n)
     return edges
 
 
+def by_degree(edges: DataFrame, n: int) -> DataFrame:
+    """(node, mark), stored: marks are whole numbers in the order of the nodes' numbers of edges."""
+    degree = edges.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    return stored(degree.orderBy("n", "node").select("node", F.monotonically_increasing_id().alias("mark")), "degrees", n)
+
+
+def greatest(edges: DataFrame, along: DataFrame, n: int) -> tuple[DataFrame, bool]:
+    """(node, to): the node of most edges that leads to a node over `along`, or itself; whether more than ROUNDS edges would change none."""
+    degrees = by_degree(edges, n)
+    marks, rest = settled(degrees, along, n)
+    return stored(marks.join(degrees.select(F.col("node").alias("to"), "mark"), "mark").select("node", "to"), "greatest", n), rest
+
+
 def around_pivots(edges: DataFrame) -> DataFrame:
     """(node, least) of nodes that lie on a cycle with a pivot: some of them, or none; least is the smallest node of those that share it.
 
     Every node takes the mark of the greatest node, by its number of edges, that leads to it; one that has
     its own mark is a pivot, and what leads to it over nodes of its mark is on a cycle with it. Work is by node and edge: no pairs.
     """
-    degree = edges.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    marks = stored(degree.select("node", F.struct("n", "node").alias("mark"), F.lit(True).alias("new")), "marks")
-    rest = False
-    for _ in range(ROUNDS):
-        sent = marks.filter("new").join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "mark", F.lit(None).cast(marks.schema["mark"].dataType).alias("own"))
-        met = sent.unionByName(marks.select("node", "mark", F.col("mark").alias("own"))).groupBy("node").agg(F.max("mark").alias("mark"), F.max("own").alias("own"))
-        marks = stored(met.select("node", "mark", (F.col("mark") > F.col("own")).alias("new")), "marks")
-        rest = marks.filter("new").isEmpty()
-        if rest:
-            break
-    of = marks.select("node", F.col("mark.node").alias("pivot"))
+    n = edges.count()
+    of, rest = greatest(edges, edges, n)
+    of = of.withColumnRenamed("to", "pivot")
     near = edges.join(of.withColumnsRenamed({"node": "src", "pivot": "a"}), "src").join(shuffled(of.withColumnsRenamed({"node": "dst", "pivot": "b"})), "dst").filter("a = b")
-    near = stored(near.select("src", "dst", F.col("a").alias("pivot")), "near")
-    both = stored(_from_pivots(of.filter("node = pivot"), near, "dst", "src"), "reached")
-    if not rest:  # at rest a pivot leads to all nodes of its mark, over such nodes
-        both = both.join(_from_pivots(of.filter("node = pivot"), near, "src", "dst"), ["node", "pivot"], "left_semi")
+    near = stored(near.select("src", "dst"), "near", n)
+    both = of.filter("node = pivot").unionByName(of.join(ends(near), "node", "left_semi").filter("node <> pivot"))
+    for along in [turned(near)] if rest else [turned(near), near]:  # at rest a pivot leads to all nodes of its mark, over such nodes
+        met, _ = settled(of.join(ends(near), "node", "left_semi").select("node", (F.col("node") == F.col("pivot")).alias("mark")), along, n)
+        both = both.filter("node = pivot").unionByName(both.filter("node <> pivot").join(shuffled(met.filter("mark")), "node", "left_semi"))
+    both = stored(both, "reached", n)
     least = shuffled(both.groupBy("pivot").agg(F.min("node").alias("least")))
     return shuffled(both.join(least, "pivot").select("node", "least"))
 
 
-def _from_pivots(front: DataFrame, near: DataFrame, start: str, end: str) -> DataFrame:
-    """(node, pivot) within ROUNDS edges of near (src, dst, pivot), taken from `start` to `end`."""
-    seen = front = stored(front.select("node", "pivot"), "front")
-    for _ in range(ROUNDS):
-        on = near.select(F.col(start).alias("node"), F.col(end).alias("to"), "pivot")
-        fresh = front.join(on, ["node", "pivot"]).select(F.col("to").alias("node"), "pivot").distinct().join(seen, ["node", "pivot"], "left_anti")
-        front = stored(fresh, "front")
-        if front.isEmpty():
-            break
-        seen = stored(seen.unionByName(front), "seen")
-    return seen
+def renamed(edges: DataFrame, to: DataFrame) -> DataFrame:
+    """edges (src, dst), stored, with nodes put in place by to (node, least), without those within a node."""
+    for end in ("src", "dst"):
+        edges = edges.join(to.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("least", end)).drop("least")
+    return stored(edges.filter("src <> dst").select("src", "dst").distinct(), "pairs")
 
 
 def contracted(names: DataFrame, edges: DataFrame, to: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """names (node, component) and edges (src, dst) with nodes put in place by to (node, least)."""
-    to = stored(to.filter("least <> node"), "merged")
+    """names (node, component) and edges (src, dst) with nodes put in place by to (node, least), of which none is its own least."""
     names = names.join(to.withColumnRenamed("node", "component"), "component", "left")
-    names = stored(names.select("node", F.coalesce("least", "component").alias("component")), "components")
-    for end in ("src", "dst"):
-        edges = edges.join(to.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("least", end)).drop("least")
-    return names, stored(edges.filter("src <> dst").select("src", "dst").distinct(), "pairs")
+    return stored(names.select("node", F.coalesce("least", "component").alias("component")), "components"), renamed(edges, to)
 
 
-def condensed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, component) of all nodes of edges (src, dst), and (src, dst) of any two components of which one leads to the other.
+def without_cycles(edges: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """(node, component) of all nodes of edges (src, dst), the edges between components, and whether no cycle is left among these.
 
-    A component is named by its smallest node. Cycles around pivots are found first, node by node and in a
-    bounded number of rounds, so that a large component is one node before pairs are composed; what these
-    rounds leave is found from the pairs: as soon as two nodes lead to each other they become one. A pair is
-    composed of one of exactly k edges and one of at most k, as in `distances`, not of any two.
+    A component is named by its smallest node. Cycles around pivots are found node by node and in a bounded number of
+    rounds, so that a large component becomes one node without pairs.
     """
-    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    names = stored(nodes.withColumn("component", F.col("node")), "components")
-    edges = stored(edges.filter("src <> dst").select("src", "dst").distinct(), "pairs")
+    edges = stored(edges.select("src", "dst").distinct(), "pairs")
+    names = stored(ends(edges).withColumn("component", F.col("node")), "components")
+    edges = edges.filter("src <> dst")
     ways = on_ways(edges)
     while not ways.isEmpty():
         to = stored(around_pivots(ways).filter("least <> node"), "merged")
         if to.isEmpty():
-            break
+            return names, edges, False
         names, edges = contracted(names, edges, to)
-        ways = on_ways(contracted(names, ways, to)[1])
-    if ways.isEmpty():  # no cycle is left
+        ways = on_ways(renamed(ways, to))
+    return names, edges, True
+
+
+def condensed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, component) of all nodes of edges (src, dst), and (src, dst) of any two components of which one leads to the other.
+
+    What `without_cycles` leaves is found from the pairs: as soon as two nodes lead to each other they become one.
+    A pair is composed of one of exactly k edges and one of at most k, as in `distances`, not of any two.
+    """
+    return _paired(*without_cycles(edges))
+
+
+def _paired(names: DataFrame, edges: DataFrame, acyclic: bool) -> tuple[DataFrame, DataFrame]:
+    if acyclic:
         return names, distances(edges).select("src", "dst")
     known, k = stored(edges.withColumn("depth", F.lit(1)), "pairs"), 1
     while True:
         pairs = known.select("src", "dst")
-        back = pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        mutual = pairs.join(back, ["src", "dst"], "left_semi")
+        mutual = pairs.join(turned(pairs), ["src", "dst"], "left_semi")
         to = stored(mutual.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("least")).filter("least < node"), "merged")
         if not to.isEmpty():
             names, edges = contracted(names, edges, to)
@@ -157,11 +220,59 @@ def condensed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         known, k = stored(known.unionByName(fresh), "pairs"), 2 * k
 
 
+def led_to(starts: DataFrame, on: DataFrame, n: int, closed: DataFrame | None = None) -> DataFrame | None:
+    """(start, hub, node): what starts (start, hub) lead to over edges with loops, itself included, without nodes in closed (hub, node) and what comes after; None beyond ROUNDS edges."""
+    own, count = F.col("src") == F.col("dst"), 0
+    met = stored(starts.select("start", "hub", F.col("start").alias("node"), F.lit(True).alias("new")), "met", n)
+    for done in range(0, ROUNDS, PAIR_HOPS):
+        met = together(met, PAIR_HOPS * (n + count))
+        for _ in range(min(PAIR_HOPS, ROUNDS - done)):
+            after = met.join(on, (F.col("node") == F.col("src")) & (F.col("new") | own)).select("start", "hub", F.col("dst").alias("node"), own.alias("old"))
+            after = after if closed is None else after.join(closed, ["hub", "node"], "left_anti")
+            met = after.groupBy("start", "hub", "node").agg((~F.max("old")).alias("new"))
+        met, count, new = counted(met, "met", n + count, "new")
+        if not new:
+            return met.select("start", "hub", "node")
+    return None
+
+
+def _sums_below(edges: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(component, below): the sizes (component, size), summed up, of what a component leads to over edges (src, dst) without cycles.
+
+    Every node has a hub, the node of most edges that it leads to. What the hub leads to is counted once for
+    all nodes that have it; for each of these only what lies beside it is listed, and no pairs through the hub.
+    Paths of more than ROUNDS edges are found by doubling, from all pairs.
+    """
+    n = edges.count()
+    size_of = shuffled(sizes.select(F.col("component").alias("node"), "size"))
+    hubs = greatest(edges, turned(edges), n)[0].withColumnsRenamed({"node": "start", "to": "hub"})
+    used = stored(hubs.filter("start <> hub").select("hub").distinct(), "used", n)
+    on = with_loops(edges, n)
+    below = led_to(used.select(F.col("hub").alias("start"), "hub"), on, n)
+    beside = None if below is None else led_to(hubs.join(used.withColumnRenamed("hub", "start"), "start", "left_anti"), on, n, at_hand(below.select("hub", "node"), below.count()))
+    if beside is None:
+        pairs = distances(edges).select("src", F.col("dst").alias("node"))
+        return pairs.join(size_of, "node").groupBy(F.col("src").alias("component")).agg(F.sum("size").alias("below"))
+    of_hub = stored(below.join(size_of, "node").groupBy("hub").agg(F.sum("size").alias("whole")), "sums", n)  # with the hub itself
+    own = beside.filter("node <> start").join(size_of, "node").groupBy("start").agg(F.sum("size").alias("beside"))
+    more = hubs.join(own, "start", "left").join(of_hub, "hub", "left").join(used.select(F.col("hub").alias("start"), F.lit(True).alias("is_hub")), "start", "left")
+    more = more.join(size_of.withColumnRenamed("node", "start"), "start")
+    whole = of_hub.select(F.col("hub").alias("start"), F.col("whole").alias("own_whole"))
+    nothing = F.lit(0).cast("long")
+    sums = F.when(F.col("is_hub"), F.col("own_whole") - F.col("size")).otherwise(F.coalesce("beside", nothing) + F.coalesce("whole", nothing))
+    return more.join(whole, "start", "left").select(F.col("start").alias("component"), sums.alias("below"))
+
+
 def reachable_counts(edges: DataFrame) -> DataFrame:
     """node, component, reaches: how many other nodes a node leads to, by the sizes of components."""
-    names, pairs = condensed(edges)
-    sizes = names.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    below = pairs.join(sizes.withColumnRenamed("component", "dst"), "dst").groupBy(F.col("src").alias("component")).agg(F.sum("size").alias("below"))
+    names, between, acyclic = without_cycles(edges)
+    if not acyclic:
+        names, between = _paired(names, between, acyclic)
+    sizes = stored(names.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    if acyclic:
+        below = _sums_below(between, sizes)
+    else:
+        below = between.join(sizes.withColumnRenamed("component", "dst"), "dst").groupBy(F.col("src").alias("component")).agg(F.sum("size").alias("below"))
     of = sizes.join(below, "component", "left").select("component", (F.col("size") - 1 + F.coalesce("below", F.lit(0))).alias("reaches"))
     return names.join(of, "component").select("node", "component", "reaches")
 
